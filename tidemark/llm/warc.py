@@ -8,7 +8,7 @@ follows the header line, and only it ends a record. The converter makes of each
 a warcinfo record.
 
 Records that repeat a payload are written as revisits of the record with the largest id. Archives are written by
-Spark's text writer, whose line separator is the end of a WARC record, so that the files are plain WARC and a lost
+Spark's text writer, whose line separator is the end of a WARC record, so that the files are gzipped WARC and a lost
 executor's attempt is written anew; they are read as whole files, each of ``RECORDS_PER_FILE`` records at most.
 
 Defined results: a null payload is empty; payloads of fewer than ``least`` bytes are always responses; rows without an
@@ -20,6 +20,7 @@ table gives no records. Extra columns are not read.
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import re
 import uuid
@@ -132,7 +133,7 @@ def convert(fields: dict[str, str], content: bytes, refers_to: str | None = None
 
 def parse_warc(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
     """(header fields by lower-case name, block) of each record; declared lengths end them."""
-    at = 0
+    data, at = gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data, 0
     while at < len(data):
         stop = data.find(END, at)
         if stop < 0 or not data.startswith(b"WARC/", at):
@@ -174,7 +175,7 @@ def write_archives(pages: DataFrame, path: str, least: int = 0, id_col: str = "p
                 out.append(convert(fields, content, target, extra).decode("utf-8"))
             yield pd.DataFrame({"value": out})
 
-    joined.mapInPandas(run, "value string").write.option("lineSep", END.decode()).option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
+    joined.mapInPandas(run, "value string").write.option("lineSep", END.decode()).option("maxRecordsPerFile", RECORDS_PER_FILE).option("compression", "gzip").text(path)
 
 
 def read_archives(spark, path: str) -> DataFrame:
