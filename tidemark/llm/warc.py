@@ -173,7 +173,7 @@ def write_archives(pages: DataFrame, path: str, least: int = 0, id_col: str = "p
                 extra = [("WARC-Page-ID", "" if own is None else str(own)), ("WARC-Refers-To-Page-ID", str(last))][: 1 + again]
                 target = record_id(clean(last_url or f"urn:page:{last}"), iso(when(last)), sha1_32(payload)) if again else None
                 out.append(convert(fields, content, target, extra).decode("utf-8"))
-            yield pd.DataFrame({"value": out})
+            yield pd.DataFrame({"value": pd.Series(out, dtype=object)})
 
     joined.mapInPandas(run, "value string").write.option("lineSep", END.decode()).option("maxRecordsPerFile", RECORDS_PER_FILE).option("compression", "gzip").text(path)
 
@@ -197,8 +197,8 @@ def read_archives(spark, path: str) -> DataFrame:
                         if sha1_32(payload) != digest:
                             raise ValueError(f"{head['warc-record-id']}: the payload's digest is another")
                     out.append((int(head["warc-page-id"]) if head.get("warc-page-id") else None, head["warc-target-uri"], size, digest, head["warc-type"], int(head["warc-refers-to-page-id"]) if "warc-refers-to-page-id" in head else None))
-                frame = pd.DataFrame(out, columns=["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to"])
-                yield frame.astype({"page_id": "Int64", "refers_to": "Int64"})
+                frame = pd.DataFrame(out, columns=["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to"], dtype=object)
+                yield frame.astype({"page_id": "Int64", "payload_bytes": "int64", "refers_to": "Int64"})
 
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("content")
     return files.mapInPandas(run, "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long")
