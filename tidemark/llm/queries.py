@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import licenses, ngram_join, secrets, sentencepiece_bpe, toxicity, warc
+from . import embedding_dedup, licenses, mixing, ngram_join, pii, secrets, sentencepiece_bpe, spotsigs, toxicity, warc
 from .common import read
 
 
@@ -35,12 +35,28 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(read(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(pii.scan(read(spark, sf_dir, "documents")))
+
+
+def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(read(spark, sf_dir, "embeddings"))
+
+
 def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(read(spark, sf_dir, "documents"))
 
 
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(read(spark, sf_dir, "documents").select("doc_id", "source"))
+
+
+def op10_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spotsigs.edited(read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_secrets, op2_toxicity, op3_sentencepiece, op4_ngram_join, op5_warc, op8_licenses)}
+    return {f.__name__: f for f in (op1_secrets, op2_toxicity, op3_sentencepiece, op4_ngram_join, op5_warc, op6_pii, op7_embedding_dedup, op8_licenses, op9_mixing, op10_spotsigs)}
 
 
 def oracle_sql() -> dict[str, str]:
