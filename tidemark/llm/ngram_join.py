@@ -30,7 +30,7 @@ import numpy as np
 import pandas as pd
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import chunks, components, materialise, release
@@ -197,27 +197,43 @@ def verify(docs: DataFrame, pairs: DataFrame, width: int = WIDTH) -> DataFrame:
     return out
 
 
-def heavy_edges(docs: DataFrame, reps: DataFrame, top: int, known: DataFrame, width: int = WIDTH) -> DataFrame:
-    """(a, b) between sets of which one at least has more than ``top`` shingles. ``known``: edges found before."""
-    # One entry per class and leading shingle; entries of long lists are salted, so that no list is one task's.
-    entries = (
-        reps.where(F.col("n") >= -(-3 * (top + 1) // 4))
-        .select("rep", "n", F.posexplode(F.slice("tokens", 1, F.col("n") - F.floor((3 * F.col("n") + 3) / 4).cast("int") + 1)).alias("pos", "key"), "salts")
-        .select("key", "rep", "n", "pos", F.when(F.col("salts").isNull(), 0).otherwise(F.pmod(F.xxhash64("rep"), F.element_at("salts", F.col("pos") + 1))).cast("int").alias("salt"), F.when(F.col("salts").isNull(), False).otherwise(F.element_at("salts", F.col("pos") + 1) > 1).alias("salted"))
+def possible(top: int) -> str:
+    """Whether an entry pair (a_n, a_pos), (b_n, b_pos) may be a link's first common shingle, of sets not both light.
+
+    The sizes must fit, what is left from that place on must reach the least overlap, and the smaller set meets the
+    larger within its shorter prefix.
+    """
+    return (
+        f"least(a_n, b_n) * 4 >= greatest(a_n, b_n) * 3 and greatest(a_n, b_n) > {top} and 7 * least(a_n - a_pos, b_n - b_pos) >= 3 * (a_n + b_n)"
+        " and if(a_n <= b_n, a_pos, b_pos) <= least(a_n, b_n) - (6 * least(a_n, b_n) + 6) div 7"
     )
-    from pyspark.sql import Window
 
+
+def heavy_edges(docs: DataFrame, reps: DataFrame, top: int, known: DataFrame, width: int = WIDTH) -> DataFrame:
+    """(a, b) between sets of which one at least has more than ``top`` shingles. ``known``: edges found before."""
+    # One entry per class and leading shingle. ``np`` packs the set's size and the shingle's place in it.
+    lead = F.slice("tokens", 1, F.col("n") - F.floor((3 * F.col("n") + 3) / 4).cast("int") + 1)
+    large = reps.where(F.col("n") >= -(-3 * (top + 1) // 4))
+    packed = (F.col("n").cast("long") * 2**32 + F.col("pos")).alias("np")
+    plain = large.where("salts is null").select("rep", "n", F.posexplode(lead).alias("pos", "key")).select("key", F.lit(0).alias("salt"), "rep", packed)
+    salted = large.where("salts is not null").select("rep", "n", "salts", F.posexplode(lead).alias("pos", "key"))
+    salted = salted.select("key", (1 + F.pmod(F.xxhash64("rep"), F.element_at("salts", F.col("pos") + 1))).cast("int").alias("salt"), "rep", packed)
+    # Entries of long lists are salted, so that no list is one task's; a list has one leader per salt.
     w = Window.partitionBy("key", "salt")
-    lists = materialise(entries.withColumns({"m": F.count(F.lit(1)).over(w), "leader": F.min(F.struct("rep", "n")).over(w)}).where("m > 1 or salted").drop("m"), "lists")
-    fits = "least(n, ln) * 4 >= greatest(n, ln) * 3 and greatest(n, ln) > %d" % top
-    stars = lists.select(F.col("leader.rep").alias("a"), F.col("leader.n").alias("ln"), F.col("rep").alias("b"), "n").where("a <> b").where(fits)
-    heads = lists.where("salted").select("key", "leader").distinct()
-    chief = heads.groupBy("key").agg(F.min("leader").alias("chief"))
-    over = heads.join(chief, "key").select(F.col("chief.rep").alias("a"), F.col("chief.n").alias("ln"), F.col("leader.rep").alias("b"), F.col("leader.n").alias("n")).where("a <> b").where(fits)
-    first = verify(docs, stars.union(over).select("a", "b").distinct(), width)
+    lists = plain.union(salted).withColumns({"m": F.count(F.lit(1)).over(w), "l_rep": F.min("rep").over(w)})
+    lists = lists.withColumn("l_np", F.min(F.when(F.col("rep") == F.col("l_rep"), F.col("np"))).over(w)).where("m > 1 or salt > 0").drop("m")
+    lists = materialise(lists, "lists")
+    unpack = {"n": F.shiftright("np", 32), "pos": F.col("np").bitwiseAND(2**32 - 1), "l_n": F.shiftright("l_np", 32), "l_pos": F.col("l_np").bitwiseAND(2**32 - 1)}
+    members = lists.withColumns(unpack)
+    stars = members.select(F.col("l_rep").alias("a"), F.col("l_n").alias("a_n"), F.col("l_pos").alias("a_pos"), F.col("rep").alias("b"), F.col("n").alias("b_n"), F.col("pos").alias("b_pos")).where("a <> b")
+    heads = members.join(members.where("salt > 0").select("key").distinct(), "key").select("key", "l_rep", "l_n", "l_pos").distinct()
+    chief = heads.groupBy("key").agg(F.min(F.struct("l_rep", "l_n", "l_pos")).alias("c"))
+    over = heads.join(chief, "key").select(F.col("c.l_rep").alias("a"), F.col("c.l_n").alias("a_n"), F.col("c.l_pos").alias("a_pos"), F.col("l_rep").alias("b"), F.col("l_n").alias("b_n"), F.col("l_pos").alias("b_pos")).where("a <> b")
+    stars = stars.union(over).where(possible(top))
+    first = verify(docs, stars.select("a", "b").distinct(), width)
     comp = materialise(components(first.union(known)), "comp")
     # Lists that hold several components: members outside the list's largest one against all of other components.
-    held = lists.select("key", "rep", "n", "pos").join(comp.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("comp", F.coalesce("component", "rep")).drop("component")
+    held = members.select("key", "rep", "n", "pos").join(comp.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("comp", F.coalesce("component", "rep")).drop("component")
     held = materialise(held, "held")
     share = held.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("m"))
     mixed = share.groupBy("key").agg(F.max(F.struct("m", "comp")).alias("main"), F.count(F.lit(1)).alias("parts")).where("parts > 1").select("key", F.col("main.comp").alias("main"))
@@ -225,11 +241,7 @@ def heavy_edges(docs: DataFrame, reps: DataFrame, top: int, known: DataFrame, wi
     a = mixed.where("comp <> main").select("key", *(F.col(c).alias(f"a_{c}") for c in ("rep", "n", "pos", "comp", "main")))
     b = mixed.select("key", *(F.col(c).alias(f"b_{c}") for c in ("rep", "n", "pos", "comp")))
     # Both outside the main component: once, by their ids. The smaller set meets the larger within its shorter prefix.
-    pairs = a.join(b, "key").where(
-        f"a_comp <> b_comp and (b_comp = a_main or a_rep < b_rep) and least(a_n, b_n) * 4 >= greatest(a_n, b_n) * 3 and greatest(a_n, b_n) > {top}"
-        " and 7 * (1 + least(a_n - a_pos, b_n - b_pos) - 1) >= 3 * (a_n + b_n)"
-        " and if(a_n <= b_n, a_pos, b_pos) <= least(a_n, b_n) - (6 * least(a_n, b_n) + 6) div 7"
-    )
+    pairs = a.join(b, "key").where("a_comp <> b_comp and (b_comp = a_main or a_rep < b_rep)").where(possible(top))
     second = verify(docs, pairs.select(F.least("a_rep", "b_rep").alias("a"), F.greatest("a_rep", "b_rep").alias("b")).distinct(), width)
     for t in (lists, comp, held, mixed):
         release(t)
@@ -243,15 +255,20 @@ def join(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", width:
     load = sketch(src, width)
     counts = spark.sparkContext.broadcast(load)  # 4 MB
     signed = materialise(signatures(src, counts, width), "signatures")
-    # Equal sets: minima meet before the shuffle, so that a large group of copies is a few rows.
+    # Equal sets: minima meet before the shuffle, so that a large group of copies is a few rows. The first shingles stay
+    # where they are: copies are taken out by their ids.
     in_class = F.col("class").isNotNull() & F.col("doc_id").isNotNull()
-    classes = materialise(signed.where(in_class).groupBy("class").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("tokens").alias("tokens"), F.first("salts").alias("salts")), "classes")
+    members = signed.select("doc_id", "n", "class")
+    smallest = materialise(members.where(in_class).groupBy("class").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("m")), "smallest")
+    copies = materialise(members.where(in_class).join(smallest.where("m > 1"), "class").where("doc_id <> rep").select("class", F.col("doc_id").alias("copy")).distinct(), "copies")
+    many = copies.count() > BROADCAST_IDS
+    classes = signed.where(in_class).join(copies if many else F.broadcast(copies), (signed["class"] == copies["class"]) & (F.col("doc_id") == F.col("copy")), "left_anti")
+    classes = classes.select(F.col("doc_id").alias("rep"), "class", "n", "tokens", "salts")
     sizes = {r["n"]: r["count"] for r in classes.where(F.col("n") <= 2 * LIGHT_MOST).groupBy("n").count().collect()}
     top = boundary(sizes)
     light = materialise(light_edges(classes, top), "light")
     heavy = heavy_edges(src, classes, top, light, width)
     comp = components(light.union(heavy))
-    final = classes.select("class", "rep").join(comp, F.col("rep") == F.col("node"), "left").select("class", F.coalesce("component", "rep").alias("component_id"))
-    members = signed.select("doc_id", "n", "class")
+    final = smallest.select("class", "rep").join(comp, F.col("rep") == F.col("node"), "left").select("class", F.coalesce("component", "rep").alias("component_id"))
     out = members.where(in_class).join(final, "class", "left").select("doc_id", "n", "component_id").union(members.where(~in_class).select("doc_id", "n", F.col("doc_id")))
     return out.select(F.col("doc_id").alias(id_col), F.col("n").cast("long").alias("n_shingles"), "component_id")
