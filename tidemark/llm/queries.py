@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from . import embedding_dedup, licenses, mixing, ngram_join, pii, secrets, sentencepiece_bpe, spotsigs, toxicity, warc
 from .common import read
+from .oracles import oracle_sql  # noqa: F401
 
 
 def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,7 +58,3 @@ def op10_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_secrets, op2_toxicity, op3_sentencepiece, op4_ngram_join, op5_warc, op6_pii, op7_embedding_dedup, op8_licenses, op9_mixing, op10_spotsigs)}
-
-
-def oracle_sql() -> dict[str, str]:
-    return {}
