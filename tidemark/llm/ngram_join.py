@@ -45,6 +45,8 @@ SKETCH_BITS, SKETCH_BLOCK = 20, 1 << 14
 SALT_ROWS = 50_000
 #: Ids that are broadcast to pick documents; more of them are joined by a shuffle.
 BROADCAST_IDS = 500_000
+#: Members that are compared with one copy of a leader's set.
+GROUP = 256
 CACHE_WORDS = 500_000
 
 _fold = bytes(c + 32 if 65 <= c <= 90 else 32 if 9 <= c <= 13 else c for c in range(256))
@@ -130,7 +132,7 @@ def signatures(docs: DataFrame, counts, width: int = WIDTH) -> DataFrame:
                     n.append(len(x))
                     key.append(hashlib.blake2b(x.tobytes(), digest_size=16).digest() if len(x) else None)
                     tokens.append(x[first].view(np.int64))
-                    hot.append((c[first] // SALT_ROWS + 1).astype(np.int32) if len(x) and c[first].max() > SALT_ROWS else None)
+                    hot.append((c[first] // SALT_ROWS + 1).astype(np.int32) if len(x) and c[first].max() >= SALT_ROWS else None)
                 yield pd.DataFrame({"doc_id": pdf["doc_id"].iloc[a:b].array, "n": np.array(n, dtype=np.int32), "class": key, "tokens": tokens, "salts": hot})
 
     return docs.mapInPandas(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n int, class binary, tokens array<long>, salts array<int>")
@@ -170,30 +172,62 @@ def light_edges(reps: DataFrame, top: int) -> DataFrame:
     return keys.join(met.select("key", "a"), "key").where("a < rep").select("a", F.col("rep").alias("b")).distinct()
 
 
-def sets_of(docs: DataFrame, ids: DataFrame, width: int = WIDTH) -> DataFrame:
-    """(rep, shingles) of the documents in ``ids(rep)``."""
-    n = ids.count()
-    chosen = docs.join(F.broadcast(ids) if n <= BROADCAST_IDS else ids, docs["doc_id"] == ids["rep"], "left_semi")
+def packed_set(x: np.ndarray) -> bytes:
+    """48 bits of each hash, ascending: two sets of 20,000 have one false common shingle in a million pairs."""
+    return np.unique(x >> np.uint64(16)).astype(">u8").view(np.uint8).reshape(-1, 8)[:, 2:].tobytes()
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        words = Hashes()
-        for pdf in batches:
-            texts = [t or "" for t in pdf["text"]]
-            for a, b in chunks(texts):
-                yield pd.DataFrame({"rep": pdf["doc_id"].iloc[a:b].array, "shingles": [shingles(t, words, width).view(np.int64) for t in texts[a:b]]})
 
-    return materialise(chosen.mapInPandas(run, f"rep {docs.schema['doc_id'].dataType.simpleString()}, shingles array<long>"), "sets")
+def unpacked_set(data: bytes) -> np.ndarray:
+    raw = np.frombuffer(data, dtype=np.uint8).reshape(-1, 6)
+    out = np.zeros((len(raw), 8), dtype=np.uint8)
+    out[:, 2:] = raw
+    return out.reshape(-1).view(">u8").astype(np.uint64)
 
 
 def verify(docs: DataFrame, pairs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """Those of ``pairs(a, b)`` that are links, by their whole sets; written."""
+    """Those of ``pairs(a, b)`` that are links, by their whole sets; written.
+
+    Pairs of one ``a`` form groups of ``GROUP`` members at most, each with its own copy of a's set: one shuffle of sets,
+    read in order, one group after the other, with a's set in hand.
+    """
     pairs = materialise(pairs, "pairs")
-    sets = sets_of(docs, pairs.select(F.col("a").alias("rep")).union(pairs.select(F.col("b").alias("rep"))).distinct(), width)
-    both = pairs.join(sets.select(F.col("rep").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("rep").alias("b"), F.col("shingles").alias("y")), "b")
-    common = both.select("a", "b", (F.size("x") + F.size("y")).cast("long").alias("n"), F.size(F.array_intersect("x", "y")).cast("long").alias("i"))
-    out = materialise(common.where("100 * i >= 75 * (n - i)").select("a", "b"), "links")
+    salts = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / GROUP).cast("int").alias("salts"))
+    members = pairs.join(salts, "a").select(F.col("b").alias("rep"), F.col("a").alias("group"), F.pmod(F.xxhash64("b"), "salts").cast("int").alias("salt"), F.lit(False).alias("hub"))
+    hubs = salts.select(F.col("a").alias("rep"), F.col("a").alias("group"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(True).alias("hub"))
+    need = materialise(members.union(hubs), "need")
+    n = need.count()
+    chosen = docs.join(F.broadcast(need) if n <= BROADCAST_IDS else need, docs["doc_id"] == need["rep"]).select("group", "salt", "hub", "rep", "text")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+
+    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        words = Hashes()
+        for pdf in batches:
+            texts = [t or "" for t in pdf["text"]]
+            for a, b in chunks(texts):
+                yield pdf.iloc[a:b].drop(columns="text").assign(set=[packed_set(shingles(t, words, width)) for t in texts[a:b]])
+
+    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, own = None, []
+        for pdf in batches:
+            found = []
+            for group, salt, hub, rep, data in zip(pdf["group"], pdf["salt"], pdf["hub"], pdf["rep"], pdf["set"], strict=True):
+                if (group, salt) != at:
+                    at, own = (group, salt), []
+                x = unpacked_set(data)
+                if hub:
+                    own.append(x)
+                    continue
+                for y in own:
+                    i = len(np.intersect1d(x, y, assume_unique=True))
+                    if 100 * i >= 75 * (len(x) + len(y) - i):
+                        found.append((group, rep))
+                        break
+            yield pd.DataFrame(found, columns=["a", "b"], dtype="int64" if kind == "bigint" else object)
+
+    sets = chosen.mapInPandas(pack, f"group {kind}, salt int, hub boolean, rep {kind}, set binary")
+    out = materialise(sets.repartition("group", "salt").sortWithinPartitions("group", "salt", F.desc("hub")).mapInPandas(compare, f"a {kind}, b {kind}"), "links")
     release(pairs)
-    release(sets)
+    release(need)
     return out
 
 
@@ -216,33 +250,34 @@ def heavy_edges(docs: DataFrame, reps: DataFrame, top: int, known: DataFrame, wi
     large = reps.where(F.col("n") >= -(-3 * (top + 1) // 4))
     packed = (F.col("n").cast("long") * 2**32 + F.col("pos")).alias("np")
     plain = large.where("salts is null").select("rep", "n", F.posexplode(lead).alias("pos", "key")).select("key", F.lit(0).alias("salt"), "rep", packed)
-    salted = large.where("salts is not null").select("rep", "n", "salts", F.posexplode(lead).alias("pos", "key"))
-    salted = salted.select("key", (1 + F.pmod(F.xxhash64("rep"), F.element_at("salts", F.col("pos") + 1))).cast("int").alias("salt"), "rep", packed)
-    # Entries of long lists are salted, so that no list is one task's; a list has one leader per salt.
+    hot = large.where("salts is not null").select("rep", "n", "salts", F.posexplode(lead).alias("pos", "key")).withColumn("parts", F.element_at("salts", F.col("pos") + 1))
+    # A list's load decides whether it is salted, the same for all its entries; it has one leader per salt.
+    salted = hot.select("key", F.when(F.col("parts") > 1, 1 + F.pmod(F.xxhash64("rep"), "parts")).otherwise(0).cast("int").alias("salt"), "rep", packed)
     w = Window.partitionBy("key", "salt")
     lists = plain.union(salted).withColumns({"m": F.count(F.lit(1)).over(w), "l_rep": F.min("rep").over(w)})
-    lists = lists.withColumn("l_np", F.min(F.when(F.col("rep") == F.col("l_rep"), F.col("np"))).over(w)).where("m > 1 or salt > 0").drop("m")
+    lists = lists.withColumn("l_np", F.min(F.when(F.col("rep") == F.col("l_rep"), F.col("np"))).over(w)).where("m > 1 or salt > 0").withColumn("more", F.expr("m > 2 or salt > 0")).drop("m")
     lists = materialise(lists, "lists")
     unpack = {"n": F.shiftright("np", 32), "pos": F.col("np").bitwiseAND(2**32 - 1), "l_n": F.shiftright("l_np", 32), "l_pos": F.col("l_np").bitwiseAND(2**32 - 1)}
     members = lists.withColumns(unpack)
     stars = members.select(F.col("l_rep").alias("a"), F.col("l_n").alias("a_n"), F.col("l_pos").alias("a_pos"), F.col("rep").alias("b"), F.col("n").alias("b_n"), F.col("pos").alias("b_pos")).where("a <> b")
-    heads = members.join(members.where("salt > 0").select("key").distinct(), "key").select("key", "l_rep", "l_n", "l_pos").distinct()
+    heads = members.where("salt > 0").select("key", "l_rep", "l_n", "l_pos").distinct()
     chief = heads.groupBy("key").agg(F.min(F.struct("l_rep", "l_n", "l_pos")).alias("c"))
     over = heads.join(chief, "key").select(F.col("c.l_rep").alias("a"), F.col("c.l_n").alias("a_n"), F.col("c.l_pos").alias("a_pos"), F.col("l_rep").alias("b"), F.col("l_n").alias("b_n"), F.col("l_pos").alias("b_pos")).where("a <> b")
     stars = stars.union(over).where(possible(top))
     first = verify(docs, stars.select("a", "b").distinct(), width)
     comp = materialise(components(first.union(known)), "comp")
-    # Lists that hold several components: members outside the list's largest one against all of other components.
-    held = members.select("key", "rep", "n", "pos").join(comp.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("comp", F.coalesce("component", "rep")).drop("component")
+    # Lists that hold several components: members outside the list's largest one against all of other components. In a
+    # list of two nothing is left to compare, nor with a list's leader.
+    held = members.where("more").select("key", "rep", "n", "pos", F.when(F.col("salt") == 0, F.col("l_rep")).alias("l_rep")).join(comp.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("comp", F.coalesce("component", "rep")).drop("component")
     held = materialise(held, "held")
     share = held.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("m"))
     mixed = share.groupBy("key").agg(F.max(F.struct("m", "comp")).alias("main"), F.count(F.lit(1)).alias("parts")).where("parts > 1").select("key", F.col("main.comp").alias("main"))
     mixed = materialise(held.join(mixed, "key"), "mixed")
-    a = mixed.where("comp <> main").select("key", *(F.col(c).alias(f"a_{c}") for c in ("rep", "n", "pos", "comp", "main")))
+    a = mixed.where("comp <> main").select("key", *(F.col(c).alias(f"a_{c}") for c in ("rep", "n", "pos", "comp", "main", "l_rep")))
     b = mixed.select("key", *(F.col(c).alias(f"b_{c}") for c in ("rep", "n", "pos", "comp")))
     # Both outside the main component: once, by their ids. The smaller set meets the larger within its shorter prefix.
-    pairs = a.join(b, "key").where("a_comp <> b_comp and (b_comp = a_main or a_rep < b_rep)").where(possible(top))
-    second = verify(docs, pairs.select(F.least("a_rep", "b_rep").alias("a"), F.greatest("a_rep", "b_rep").alias("b")).distinct(), width)
+    pairs = a.join(b, "key").where("a_comp <> b_comp and (b_comp = a_main or a_rep < b_rep) and not a_rep <=> a_l_rep and not b_rep <=> a_l_rep").where(possible(top))
+    second = verify(docs, pairs.select(F.col("a_rep").alias("a"), F.col("b_rep").alias("b")).distinct(), width)
     for t in (lists, comp, held, mixed):
         release(t)
     return first.union(second)
