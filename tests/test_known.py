@@ -173,3 +173,16 @@ def test_redaction_and_units(spark):
 def test_bucket_is_anchored_at_the_epoch(spark):
     week = 7 * 86_400 * S
     assert spark.range(1).select(bucket(F.lit(-1), week)).first()[0] == -week
+
+
+def test_jobs(spark):
+    calls = ["add", "add", "update", "start", "set", "done", "start", "error", "start", "error", "start", "error", "add", "set", "cancel", "cancel", "add"]
+    log = spark.createDataFrame([(1, i, i * 3600 * S, op, str(i), None) for i, op in enumerate(calls)], "id long, seq long, at long, op string, value string, due long")
+    got = [(r.answer, r.state, r.attempt) for r in state.job_log(log, attempts=3, dedupe=0).orderBy("seq").collect()]
+    assert got == [
+        (True, "scheduled", 0), (False, "scheduled", 0), (True, "scheduled", 0), (True, "running", 1), (True, "running", 1), (True, "scheduled", 0), (True, "running", 1), (True, "scheduled", 1), (True, "running", 2), (True, "scheduled", 2), (True, "running", 3), (True, "failed", 3),
+        (False, "failed", 3), (True, "scheduled", 0), (True, None, 0), (False, None, 0), (True, "scheduled", 0),
+    ]
+    burst = spark.createDataFrame([(1, t, i) for i, t in enumerate([0, 2, 4, 20])], "k long, at long, seq long")
+    assert [r.run_at for r in state.debounce(burst, "k", "at", 5).orderBy("seq").collect()] == [9, 25]
+    assert [r.added for r in state.throttle(burst, "k", "at", 4).orderBy("seq").collect()] == [True, False, True, True]

@@ -110,3 +110,65 @@ def instruments(increments: DataFrame, keys: list[str], at: str, amount: str, ev
     tagged = increments.join(F.broadcast(sets), keys, "left")  # at most ``most_sets`` rows
     named = [F.when(F.col("_in"), F.col(k).cast("string")).otherwise("__overflow").alias(k) for k in keys]
     return tagged.groupBy(*named, (F.col(at) - F.pmod(F.col(at), F.lit(every))).alias("at_us")).agg(F.sum(F.col(amount).cast("decimal(18,2)")).cast("double").alias("added"))
+
+
+def job_log(log: DataFrame, attempts: int = 3, first: int = 1_000_000, most: int = 3_600_000_000, dedupe: int = 0) -> DataFrame:
+    """What each call on a job did, and the job after it: (id, seq, answer, state, value, due, attempt).
+
+    ``log``: (id, seq, at, op, value, due). Calls are add, set, update, cancel, start, done, error, snooze, fail; times
+    are microseconds. ``done`` keeps an id taken for ``dedupe``; an error waits from ``first``, doubling up to ``most``.
+    """
+
+    def step(s, row):
+        op, at, value, due = row["op"], row["at"], row["value"], row["due"]
+        due = at if due is None or due != due else int(due)
+        state = s["state"]
+        if state == "done" and at >= s["done_at"] + dedupe:
+            state = None
+        fresh = {"state": "scheduled", "value": value, "due": due, "attempt": 0, "again": None, "done_at": 0}
+        answer, new = False, s | {"state": state}
+        if op == "add" and state is None:
+            answer, new = True, fresh
+        elif op == "set":
+            answer, new = True, s | {"again": (value, due)} if state == "running" else fresh
+        elif op == "update" and state == "scheduled":
+            answer, new = True, s | {"value": value, "due": s["due"] if row["due"] is None or row["due"] != row["due"] else due}
+        elif op == "cancel" and state in ("scheduled", "failed"):
+            answer, new = True, s | {"state": None}
+        elif op == "cancel" and state == "running":
+            answer, new = True, s | {"again": None}  # its handler is told to stop
+        elif op == "start" and state == "scheduled" and s["due"] <= at:
+            answer, new = True, s | {"state": "running", "attempt": s["attempt"] + 1}
+        elif state == "running" and op in ("done", "error", "snooze", "fail"):
+            answer = True
+            if s["again"] and op in ("done", "error"):
+                new = fresh | {"value": s["again"][0], "due": max(at, s["again"][1])}
+            elif op == "done":
+                new = s | {"state": "done", "done_at": at}
+            elif op == "snooze":
+                new = s | {"state": "scheduled", "due": due, "attempt": s["attempt"] - 1}
+            elif op == "fail" or s["attempt"] >= attempts:
+                new = s | {"state": "failed"}
+            else:
+                new = s | {"state": "scheduled", "due": at + min(first * 2 ** (s["attempt"] - 1), most)}
+        return new, (row["id"], row["seq"], answer, new["state"], new["value"], new["due"], new["attempt"])
+
+    begin = {"state": None, "value": None, "due": 0, "attempt": 0, "again": None, "done_at": 0}
+    return fold(log, "id", ["at", "seq"], step, lambda: begin, "id long, seq long, answer boolean, state string, value string, due long, attempt long")
+
+
+def debounce(calls: DataFrame, key: str, at: str, delay: int) -> DataFrame:
+    """Runs of ``set`` with a delay: each call moves the run on, so the last of a burst runs, with its own value."""
+    following = F.lead(at).over(Window.partitionBy(key).orderBy(at, "seq"))
+    return calls.withColumn("_next", following).where(F.col("_next").isNull() | (F.col("_next") >= F.col(at) + delay)).withColumn("run_at", F.col(at) + delay).drop("_next")
+
+
+def throttle(calls: DataFrame, key: str, at: str, delay: int) -> DataFrame:
+    """Runs of ``add`` with a delay: the first call stands, calls until it runs add nothing."""
+
+    def step(begin, row):
+        if begin is None or row[at] >= begin + delay:
+            return row[at], (row[key], row["seq"], True, row[at] + delay)
+        return begin, (row[key], row["seq"], False, begin + delay)
+
+    return fold(calls, key, [at, "seq"], step, lambda: None, f"{key} long, seq long, added boolean, run_at long")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..functions.ranges import RangeError
 from ..operators import see
 from ..session import table
 from .registry import query
@@ -173,12 +174,23 @@ def q_see_decisions(spark, d):
 
 
 @query()
-def q_see_bounded(spark, d):
+def q_bounded_sample_scaled(spark, d):
     li = table(spark, d, "lineitem")
     how, out = see.bounded(see.Question("lineitem", "rows", None, "l_returnflag"), li, li.count())
     return out.withColumn("how", F.lit(how))
 
 
+@query("select 'distinct parents' question, 'refused' answer")
+def q_bounded_refuse(spark, d):
+    li = table(spark, d, "lineitem")
+    try:
+        see.bounded(see.Question("lineitem", "distinct l_partkey"), li, see.ROWS_EXACT + 1)
+        answer = "answered"
+    except RangeError:
+        answer = "refused"
+    return spark.createDataFrame([("distinct parents", answer)], "question string, answer string")
+
+
 @query()
 def q_drift(spark, d):
     li = table(spark, d, "lineitem")

@@ -65,12 +65,12 @@ def jobs(spark, d):
 
 
 @query(f"select {JOB} state, count(*) n from orders group by all")
-def q_job_states(spark, d):
+def q_jobs_state(spark, d):
     return jobs(spark, d).groupBy("state").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(f"select id, grp from (select *, row_number() over (partition by grp order by at_us, id) rn from (select o_orderkey id, o_custkey grp, epoch_us(o_orderdate) at_us, {JOB} state from orders) where state = 'waiting') where rn = 1")
-def q_job_claim(spark, d):
+def q_jobs_due(spark, d):
     return st.claim(jobs(spark, d), "grp", ["at", "id"]).select("id", "grp")
 
 
@@ -105,3 +105,21 @@ def q_json_schema_inference(spark, d):
 @query("select conv_id, turn, role, lag(role) over (partition by conv_id order by turn) before from conversations")
 def q_conversation_order(spark, d):
     return table(spark, d, "conversations").select("conv_id", "turn", "role", F.lag("role").over(Window.partitionBy("conv_id").orderBy("turn")).alias("before"))
+
+
+@query()
+def q_jobs_log(spark, d):
+    e = table(spark, d, "events")
+    ops = {"view": "add", "click": "set", "signup": "start", "purchase": "done", "error": "error"}
+    op = F.create_map(*(F.lit(x) for pair in ops.items() for x in pair))[F.col("event_type")]
+    return st.job_log(e.select(F.col("user_id").alias("id"), F.col("event_id").alias("seq"), micros(F.col("ts")).alias("at"), op.alias("op"), F.col("props").alias("value"), F.lit(None).cast("long").alias("due")))
+
+
+@query(f"select user_id as user, event_id seq, us + {6 * HOUR} run_at from (select user_id, event_id, epoch_us(ts) us, lead(epoch_us(ts)) over (partition by user_id order by ts, event_id) nx from events) where nx is null or nx >= us + {6 * HOUR}")
+def q_debounce(spark, d):
+    return st.debounce(calls(spark, d), "user", "at", 6 * HOUR).select("user", "seq", "run_at")
+
+
+@query()
+def q_throttle(spark, d):
+    return st.throttle(calls(spark, d), "user", "at", DAY)
