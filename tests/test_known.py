@@ -186,3 +186,54 @@ def test_jobs(spark):
     burst = spark.createDataFrame([(1, t, i) for i, t in enumerate([0, 2, 4, 20])], "k long, at long, seq long")
     assert [r.run_at for r in state.debounce(burst, "k", "at", 5).orderBy("seq").collect()] == [9, 25]
     assert [r.added for r in state.throttle(burst, "k", "at", 4).orderBy("seq").collect()] == [True, False, True, True]
+
+
+def test_cron():
+    import datetime as dt
+
+    from tidemark.functions import cron
+
+    utc = lambda *x: dt.datetime(*x, tzinfo=dt.UTC)
+    assert list(cron.runs("@daily", "Europe/Berlin", utc(2024, 1, 1), utc(2024, 1, 3))) == [utc(2024, 1, 1, 23), utc(2024, 1, 2, 23)]
+    assert list(cron.runs("30 2 * * *", "Europe/Berlin", utc(2024, 3, 31), utc(2024, 4, 1))) == [utc(2024, 3, 31, 1)]  # skipped
+    assert list(cron.runs("30 2 * * *", "Europe/Berlin", utc(2024, 10, 27), utc(2024, 10, 28))) == [utc(2024, 10, 27, 0, 30)]  # repeated
+    assert len(list(cron.runs("*/15 9-10 * * 1-5", "UTC", utc(2024, 1, 1), utc(2024, 1, 8)))) == 40
+    for bad in ("* * * *", "61 * * * *", "a * * * *"):
+        with pytest.raises(RangeError):
+            cron.parse(bad)
+    with pytest.raises(RangeError):
+        list(cron.runs("@daily", None, utc(2024, 1, 1), utc(2024, 1, 2)))
+
+
+def test_selectors_parameters_and_branches(spark):
+    from tidemark.operators import dash
+
+    inst = spark.createDataFrame([("a", {"site": "kazan", "env": "prod"}), ("b", {"site": "spb"})], "name string, labels map<string,string>")
+    assert [r.name for r in dash.chosen(inst, "site=kazan, env=prod").collect()] == ["a"]
+    assert dash.chosen(inst, "site=@s", {"s": ["kazan", "spb"]}).count() == 2 and dash.chosen(inst, "all").count() == 2
+    for bad in ("", "site=kazn", "site", "site=@none"):
+        with pytest.raises(RangeError):
+            dash.chosen(inst, bad)
+    spec = {"n": {"type": "int"}, "t": {"type": "text", "default": "x"}, "l": {"type": "int", "list": True, "nullable": True}}
+    assert dash.parameters(spec, {"n": 1}) == {"n": 1, "t": "x", "l": None}
+    for bad in ({}, {"n": "1"}, {"n": True}, {"n": 1, "z": 2}):
+        with pytest.raises(RangeError):
+            dash.parameters(spec, bad)
+    m = spark.createDataFrame([([],), (["eu"],), (["eu", "shop"],), (["us"],)], "branch array<string>")
+    assert [dash.heard(m, b, r).count() for b, r in (([], False), (["eu"], False), (["eu"], True), ([], True))] == [1, 1, 2, 4]
+
+
+def test_candidates():
+    from tidemark.operators import candidates as c
+
+    orders = c.Table("orders", "fact", 5000, (c.Column("id", "pk"), c.Column("made_at", "event", correlation=0.95), c.Column("amount", "money"), c.Column("priority", "category", distinct=5), c.Column("rate", "ratio")))
+    kinds = c.Table("kinds", "lookup", 8, (c.Column("label", "category", distinct=8),))
+    every = c.generate([orders, kinds])
+    assert {c.forbidden(x) for x in every if x.table is kinds and x.template != "T8"} == {"H7"}
+    assert c.forbidden(c.Candidate("T3", orders, "sum", orders.columns[4], orders.columns[1])) == "H2"
+    assert c.forbidden(c.Candidate("T3", orders, "sum", orders.columns[0], orders.columns[1])) == "H1"
+    best = c.five(every)
+    assert [x.template for x, _ in best] == ["T1", "T2"] and [p for _, p in best] == [-3, 1]
+    mixed = c.Table("pay", "fact", 5000, (*orders.columns, c.Column("currency", "currency"), c.Column("status", "category", distinct=3)))
+    assert c.forbidden(c.Candidate("T3", mixed, "sum", orders.columns[2], orders.columns[1])) == "H5"
+    assert c.abstains(c.Candidate("T3", mixed, "sum", orders.columns[2], orders.columns[1])) == "needs-population"
