@@ -74,7 +74,7 @@ def vector_top(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """(query, doc, score): the nearest ``k`` of each stated query. ``queries(query, q)`` are a stated small set."""
     near = vectors.join(F.broadcast(queries)).where("vec_id <> query").select("query", F.col("vec_id").alias("doc"), F.round(cosine(F.col("embedding"), F.col("q")), 9).alias("score"))
     w = Window.partitionBy("query").orderBy(F.desc("score"), "doc")
-    return near.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return near.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= k)
 
 
 def quantised(v: Column) -> Column:
@@ -100,7 +100,7 @@ def clustered(vectors: DataFrame, queries: DataFrame, k: int, clusters: int, pro
     asked = queries.join(F.broadcast(centres)).withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= probes).select("query", "q", "cell")
     near = placed.join(F.broadcast(asked), "cell").where("vec_id <> query").select("query", F.col("vec_id").alias("doc"), F.round(cosine(F.col("embedding"), F.col("q")), 9).alias("score"))
     r = Window.partitionBy("query").orderBy(F.desc("score"), "doc")
-    return near.withColumn("rank", F.row_number().over(r)).where(F.col("rank") <= k)
+    return near.withColumn("rank", F.row_number().over(r).cast("long")).where(F.col("rank") <= k)
 
 
 def scaled(scores: DataFrame) -> DataFrame:

@@ -68,7 +68,7 @@ def q_metric_increase(spark: SparkSession, d: str) -> DataFrame:
     return by_type(m.aggregate(counters(spark, d), "increase", BEGIN, END, DAY, by=["event_type"])).select("grp", F.col("at").alias("at_us"), F.col("value").alias("added"), "samples")
 
 
-@query(f"select event_type grp, count_if(v < p) resets from {S} where {IN} group by all")
+@query(f"select event_type grp, count_if(v < p) resets from {S} where {IN} group by all", longs="resets")
 def q_metric_resets(spark: SparkSession, d: str) -> DataFrame:
     return by_type(m.aggregate(counters(spark, d), "increase", BEGIN, END, None, by=["event_type"])).select("grp", "resets")
 
@@ -106,7 +106,7 @@ CUM = f"(select event_type, le, count_if(value <= le) n from {G}, {LE} group by
 PCT = f"(select *, (95 * total + 99) // 100 need from (select event_type, le, n, coalesce(lag(le) over w, 0) low, coalesce(lag(n) over w, 0) under, max(n) over (partition by event_type) total from {CUM} window w as (partition by event_type order by le)) where total > 0)"
 
 
-@query(f"select event_type, low lower_bound, case when le = 'inf' then -1 else le end upper_bound, total samples from {PCT} where n >= need and under < need")
+@query(f"select event_type, low lower_bound, case when le = 'inf' then -1 else le end upper_bound, total samples from {PCT} where n >= need and under < need", longs="samples")
 def q_timer_percentile(spark: SparkSession, d: str) -> DataFrame:
     b = m.cumulative(events(spark, d), ["event_type"], "value", BOUNDS)
     return m.bucket_percentile(b, ["event_type"], 95, 100).select("event_type", F.col("lower").alias("lower_bound"), F.when(F.col("upper") == float("inf"), -1.0).otherwise(F.col("upper")).alias("upper_bound"), "samples")
@@ -118,7 +118,7 @@ def q_histogram_quantile(spark: SparkSession, d: str) -> DataFrame:
     return m.bucket_percentile(b, ["event_type"], 95, 100).select("event_type", F.round("estimate", 6).alias("estimate"))
 
 
-@query(f"select le_text, n from (select case when le = 'inf' then '+Inf' else cast(cast(le as bigint) as varchar) end le_text, count_if(value <= le) n from {G}, {LE} where event_type <> 'click' or le not in (25, 50) group by all) where le_text not in ('25', '50')")
+@query(f"select le_text, n from (select case when le = 'inf' then '+Inf' else cast(cast(le as bigint) as varchar) end le_text, count_if(value <= le) n from {G}, {LE} where event_type <> 'click' or le not in (25, 50) group by all) where le_text not in ('25', '50')", longs="n")
 def q_timer_shared_bounds(spark: SparkSession, d: str) -> DataFrame:
     b = m.cumulative(events(spark, d), ["event_type"], "value", BOUNDS).where("event_type <> 'click' or le not in (25, 50)").withColumn("timer", F.lit("t"))
     text = F.when(F.col("le") == float("inf"), "+Inf").otherwise(F.col("le").cast("long").cast("string"))
@@ -141,7 +141,7 @@ def q_timer_avg(spark: SparkSession, d: str) -> DataFrame:
     return events(spark, d).groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), total.alias("total"), F.round(total / F.count("value"), 6).alias("mean"), F.max("value").alias("high"))
 
 
-@query(f"select us - us % {DAY} at_us, event_type, le, count_if(value <= le) n from (select * from {G}), (select unnest([1, 5, 10, 25, 50, 100, 250]::double[]) le) group by all")
+@query(f"select us - us % {DAY} at_us, event_type, le, count_if(value <= le) n from (select * from {G}), (select unnest([1, 5, 10, 25, 50, 100, 250]::double[]) le) group by all", longs="n")
 def q_heatmap(spark: SparkSession, d: str) -> DataFrame:
     e = events(spark, d).withColumn("at_us", bucket(F.col("us"), DAY))
     return m.cumulative(e, ["at_us", "event_type"], "value", BOUNDS).where(F.col("le") < float("inf"))

@@ -124,7 +124,7 @@ def q_log_newest(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", "n_chars").orderBy(F.desc("doc_id")).limit(100)
 
 
-@query("with l as (select doc_id, unnest(range(len(str_split(text, chr(10))))) no, unnest(str_split(text, chr(10))) line from documents), g as (select *, sum(case when regexp_matches(line, '^(\\s|[}\\])]|at |Caused by:|\\.\\.\\. \\d+ more|Traceback \\(most)') then 0 else 1 end) over (partition by doc_id order by no) event from l) select doc_id, event, count(*) as lines, sha256(string_agg(line, chr(10) order by no)) body_sha from g group by all")
+@query("with l as (select doc_id, unnest(range(len(str_split(text, chr(10))))) no, unnest(str_split(text, chr(10))) line from documents), g as (select *, sum(case when regexp_matches(line, '^(\\s|[}\\])]|at |Caused by:|\\.\\.\\. \\d+ more|Traceback \\(most)') then 0 else 1 end) over (partition by doc_id order by no) event from l) select doc_id, event, count(*) as lines, sha256(string_agg(line, chr(10) order by no)) body_sha from g group by all", longs="event")
 def q_log_lines_multiline(spark: SparkSession, d: str) -> DataFrame:
     out = r.multi_line(r.lines_of(table(spark, d, "documents"), "doc_id"), ["doc_id"], "no")
     return out.select("doc_id", "event", "lines", F.sha2("body", 256).alias("body_sha"))
@@ -167,12 +167,12 @@ def q_sha_identity(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").where("doc_id % 10 = 0").select(F.col("doc_id").alias("folder"), F.octet_length("text").cast("long").alias("size"), F.sha2("text", 256).alias("etag"))
 
 
-@query("select source folder, count(*) files, sum(strlen(text)) bytes from documents group by all")
+@query("select source folder, count(*) files, sum(strlen(text)) bytes from documents group by all", longs="bytes")
 def q_folder_usage(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").groupBy(F.col("source").alias("folder")).agg(F.count(F.lit(1)).alias("files"), F.sum(F.octet_length("text")).alias("bytes"))
 
 
-@query("select user_id, event_id, (epoch_us(ts) - lag(epoch_us(ts)) over w) // 1000000 idle_s, sum(case when lag is null or epoch_us(ts) - lag > 3600000000 then 1 else 0 end) over (partition by user_id order by ts rows unbounded preceding) run from (select *, lag(epoch_us(ts)) over (partition by user_id order by ts) lag from events) window w as (partition by user_id order by ts)")
+@query("select user_id, event_id, (epoch_us(ts) - lag(epoch_us(ts)) over w) // 1000000 idle_s, sum(case when lag is null or epoch_us(ts) - lag > 3600000000 then 1 else 0 end) over (partition by user_id order by ts rows unbounded preceding) run from (select *, lag(epoch_us(ts)) over (partition by user_id order by ts) lag from events) window w as (partition by user_id order by ts)", longs="run")
 def q_sessions(spark: SparkSession, d: str) -> DataFrame:
     w = Window.partitionBy("user_id").orderBy("us")
     e = table(spark, d, "events").withColumn("us", micros(F.col("ts"))).withColumn("idle", F.col("us") - F.lag("us").over(w))

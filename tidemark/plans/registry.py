@@ -10,8 +10,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
 
-def query(sql: str | None = None):
-    """Register a function ``q_*(spark, sf_dir)`` by its name."""
+def query(sql: str | None = None, longs: str = ""):
+    """Register a function ``q_*(spark, sf_dir)`` by its name. ``longs``: columns that the SQL would make wider."""
+    if sql is not None and longs:
+        sql = f"select * replace ({', '.join(f'{c}::bigint as {c}' for c in longs.split())}) from ({sql})"
 
     def add(f):
         QUERIES[f.__name__] = f

@@ -37,7 +37,7 @@ def q_tokens(spark, d):
     return table(spark, d, "documents").select(F.col("doc_id").alias("doc"), F.size(w).cast("long").alias("tokens"), F.size(F.array_distinct(w)).cast("long").alias("terms"))
 
 
-@query(f"select term, count(*) df, sum(tf) cf from (select doc, term, count(*) tf from (select doc, unnest(w) term from {TOK}) group by all) group by all")
+@query(f"select term, count(*) df, sum(tf) cf from (select doc, term, count(*) tf from (select doc, unnest(w) term from {TOK}) group by all) group by all", longs="cf")
 def q_postings_build(spark, d):
     return se.postings(table(spark, d, "documents"), "doc_id", "text").groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
 

@@ -97,7 +97,7 @@ def q_see_gap_days(spark, d):
     return gaps(spark, d).groupBy("l_returnflag").agg(F.round(F.sum("days") / F.count("days"), 6).alias("gap_days"))
 
 
-@query(f"select l_returnflag, count_if(n_days > 0) late, count(*) n from {GAPS} group by all")
+@query(f"select l_returnflag, count_if(n_days > 0) late, count(*) n from {GAPS} group by all", longs="late")
 def q_see_late(spark, d):
     return gaps(spark, d).groupBy("l_returnflag").agg(F.count_if(F.col("days") > 0).alias("late"), F.count(F.lit(1)).alias("n"))
 
@@ -127,7 +127,7 @@ def q_see_tiles(spark, d):
     return a.select(F.explode(F.map_from_arrays(F.array(*map(F.lit, ("orders", "customers with orders", "open", "revenue"))), F.array("a", "b", "c", "d"))).alias("tile", "value"))
 
 
-@query("select count_if(n >= 2) twice, count(*) once_or_more from (select o_custkey, count(*) n from orders group by all)")
+@query("select count_if(n >= 2) twice, count(*) once_or_more from (select o_custkey, count(*) n from orders group by all)", longs="twice")
 def q_see_two_or_more(spark, d):
     return table(spark, d, "orders").groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n")).agg(F.count_if(F.col("n") >= 2).alias("twice"), F.count(F.lit(1)).alias("once_or_more"))
 

@@ -149,7 +149,7 @@ def q_quantile_rows(spark, d):
     return table(spark, d, "orders").where("o_custkey < 200").select("o_custkey", "o_orderkey", F.row_number().over(w).cast("long").alias("rn"), F.ntile(4).over(w).cast("long").alias("fourth"))
 
 
-@query("select year(o_orderdate) y, sum(case when o_orderstatus = 'O' then 1 else 0 end) o, sum(case when o_orderstatus = 'F' then 1 else 0 end) f from orders group by all")
+@query("select year(o_orderdate) y, sum(case when o_orderstatus = 'O' then 1 else 0 end) o, sum(case when o_orderstatus = 'F' then 1 else 0 end) f from orders group by all", longs="o f")
 def q_pivot_stacked(spark, d):
     o = table(spark, d, "orders")
     return o.groupBy(F.year("o_orderdate").cast("long").alias("y")).pivot("o_orderstatus", ["O", "F"]).agg(F.count(F.lit(1))).select("y", F.coalesce("O", F.lit(0)).alias("o"), F.coalesce("F", F.lit(0)).alias("f"))

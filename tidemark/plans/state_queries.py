@@ -24,7 +24,7 @@ def q_kv_latest(spark, d):
     return st.latest(log(spark, d), "key", "version", NOW, "expires").select("key", "version", "value")
 
 
-@query("select c_mktsegment prefix, count(*) keys, sum(strlen(c_name)) bytes from customer group by all")
+@query("select c_mktsegment prefix, count(*) keys, sum(strlen(c_name)) bytes from customer group by all", longs="bytes")
 def q_kv_prefix_inventory(spark, d):
     c = table(spark, d, "customer").select(F.concat_ws(":", "c_mktsegment", "c_custkey").alias("key"), "c_name")
     return c.groupBy(F.split("key", ":")[0].alias("prefix")).agg(F.count(F.lit(1)).alias("keys"), F.sum(F.octet_length("c_name")).alias("bytes"))
