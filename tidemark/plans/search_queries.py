@@ -182,3 +182,25 @@ def q_trigram_jaccard(spark, d):
     p = table(spark, d, "part").where("p_partkey < 40").select("p_partkey", tx.trigrams(F.col("p_name")).alias("t"))
     a, b = p.select(F.col("p_partkey").alias("a"), F.col("t").alias("x")), p.select(F.col("p_partkey").alias("b"), F.col("t").alias("y"))
     return a.join(b, F.col("a") < F.col("b")).where(F.size(F.array_intersect("x", "y")) > 4).select("a", "b", F.round(tx.jaccard(F.col("x"), F.col("y")), 9).alias("j"))
+
+
+STEM1 = "regexp_replace(term, '(sses|ies)$', 'ss')"
+STEM2 = "case when len(w) > 3 and regexp_matches(w, '[^s]s$') then left(w, len(w) - 1) else w end"
+STEM3 = "case when len(x) > 6 and ends_with(x, 'ing') then left(x, len(x) - 3) when len(x) > 5 and ends_with(x, 'ed') then left(x, len(x) - 2) else x end"
+
+
+@query(f"select stem, count(distinct term) forms, count(*) uses from (select term, {STEM3} stem from (select term, {STEM2} x from (select term, {STEM1} w from (select doc, unnest(w) term from {TOK} where doc % 5 = 0)))) where starts_with(stem, 'than') group by all")
+def q_search_stem(spark, d):
+    w = table(spark, d, "documents").where("doc_id % 5 = 0").select(F.explode(tx.words(F.col("text"))).alias("term"))
+    s = w.withColumn("stem", tx.stem(F.col("term"))).where(F.startswith("stem", F.lit("than")))
+    return s.groupBy("stem").agg(F.count_distinct("term").alias("forms"), F.count(F.lit(1)).alias("uses"))
+
+
+@query(f"with kept as (select doc, w from {TOK} where doc % 10 <> 3 union all select doc, ['replaced'] from {TOK} where doc % 10 = 3) select term, count(distinct doc) df from (select doc, unnest(w) term from kept) where term in ('the', 'replaced', 'tion') group by all")
+def q_index_upsert(spark, d):
+    from ..operators.sql import upsert
+
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    changed = docs.where("doc_id % 10 = 3").select("doc_id", F.lit("replaced").alias("text"))
+    p = se.matching(upsert(docs, changed, ["doc_id"]), "doc_id", "text", ["the", "replaced", "tion"])
+    return p.groupBy("term").agg(F.count(F.lit(1)).alias("df"))

@@ -202,3 +202,28 @@ def q_drift(spark, d):
 def q_see_top_groups(spark, d):
     g = table(spark, d, "lineitem").groupBy("l_returnflag", "l_linestatus").agg(F.count(F.lit(1)).alias("n"))
     return g.withColumn("place", F.rank().over(Window.orderBy(F.desc("n"))).cast("long"))  # a few groups
+
+
+@query("select round(corr(cast(o_orderkey as double), cast(epoch_us(o_orderdate) // 86400000000 as double)), 6) by_date, round(corr(cast(o_orderkey as double), cast(o_custkey as double)), 6) by_customer from orders")
+def q_physical_correlation(spark, d):
+    o = table(spark, d, "orders")
+    day = F.date_diff("o_orderdate", F.lit("1970-01-01").cast("timestamp_ntz")).cast("double")
+    key = F.col("o_orderkey").cast("double")
+    return o.agg(F.round(F.corr(key, day), 6).alias("by_date"), F.round(F.corr(key, F.col("o_custkey").cast("double")), 6).alias("by_customer"))
+
+
+@query("select * from (values ('T1', 'orders', -2), ('T2', 'orders', 1)) t(template, \"table\", total)")
+def q_see_candidates(spark, d):
+    from ..operators import candidates as ca
+
+    o = table(spark, d, "orders")
+    rows = {r["column"]: r for r in see.profile(o, "orders").collect()}
+    n = next(iter(rows.values()))["rows"]
+    named = {"identifier": "pk", "reference": "fk"}
+    cols = []
+    for c, r in rows.items():
+        role = see.role(c, r["type"], r["distinct"], n)
+        cols.append(ca.Column(c, named.get(role, role), distinct=r["distinct"], nulls=r["nulls"] / max(1, n)))
+    # Estimated as the driver's larger tables are, so that the answer does not follow the scale.
+    got = ca.five(ca.generate([ca.Table("orders", "fact", 10_000, tuple(c for c in cols if c.name != "o_orderstatus"))]))
+    return spark.createDataFrame([(c.template, c.table.name, total) for c, total in got], "template string, `table` string, total int")
