@@ -16,8 +16,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 ANCHORS, CHAIN = 24, 3
-#: Ids that are put in order together, to find each row's successor.
-BUCKET = 1024
+#: Ids that are put in order together, to find each row's successor; buckets whose order is found together.
+BUCKET, BUCKETS = 256, 4096
 MARK = "\u0001"
 
 
@@ -98,9 +98,12 @@ def edited(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> D
     common = anchors(src)
     rows = src.withColumn("bucket", F.coalesce(F.floor(F.col("id") / BUCKET), F.lit(-(2**62))))
     heads = rows.groupBy("bucket").agg(F.max(F.struct("id", "text")).alias("head"))
-    order = rows.select("bucket").distinct().withColumn("before", F.lead("bucket").over(Window.orderBy(F.desc("bucket"))))  # a row per BUCKET ids
-    first = F.max("bucket").over(Window.partitionBy())
-    chain = order.select(F.coalesce("before", first).alias("bucket"), F.col("bucket").alias("to"))
+    # Each bucket's successor: within ranges of buckets, and from range to range, a row per BUCKET x BUCKETS ids.
+    order = rows.select("bucket").distinct().withColumn("range", F.floor(F.col("bucket") / BUCKETS))
+    ranges = order.groupBy("range").agg(F.max("bucket").alias("top")).withColumn("below", F.lead("top").over(Window.orderBy(F.desc("range"))))
+    ranges = ranges.select("range", F.coalesce("below", F.max("top").over(Window.partitionBy(F.lit(0)))).alias("below"))
+    inside = order.withColumn("next", F.lead("bucket").over(Window.partitionBy("range").orderBy(F.desc("bucket"))))
+    chain = inside.join(ranges, "range").select(F.coalesce("next", "below").alias("bucket"), F.col("bucket").alias("to"))
     guests = heads.join(chain, "bucket").select("head.id", "head.text", F.col("to").alias("bucket"), F.lit(True).alias("guest"))
     every = rows.withColumn("guest", F.lit(False)).unionByName(guests).withColumn("fp", fingerprint(F.col("text"), common))
     w = Window.partitionBy("bucket").orderBy("guest", F.desc_nulls_last("id"), F.desc("text"))
