@@ -84,9 +84,12 @@ def contexts(text: Column, base: Column) -> Column:
 
 
 def frequencies(docs: DataFrame, terms: DataFrame) -> DataFrame:
-    """(term, df): rows of ``docs`` that hold each of ``terms(term)``; sums meet before the shuffle."""
+    """(term, df): rows of ``docs`` that hold each of the distinct ``terms(term)``; sums meet before the shuffle.
+
+    An inner join, as a semi join would be moved below the sums and carry a row for each place of a common term.
+    """
     held = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0)))).alias("term"))
-    return held.groupBy("term").agg(F.count(F.lit(1)).alias("df")).join(terms, "term", "left_semi")
+    return held.groupBy("term").agg(F.count(F.lit(1)).alias("df")).join(terms, "term")
 
 
 def disclosures(docs: DataFrame, entities: DataFrame) -> DataFrame:
