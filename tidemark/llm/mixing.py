@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 PERIOD, MOST_SOURCES = 1000, 200
 BLOCK_ROWS = 16
 #: Rows that are ranked together; a source's ranks add up from such buckets.
-BUCKET_ROWS = 4096
+BUCKET_ROWS = 512
 POOL = "\u0000others"
 
 
