@@ -295,7 +295,7 @@ def join(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", width:
     in_class = F.col("class").isNotNull() & F.col("doc_id").isNotNull()
     members = signed.select("doc_id", "n", "class")
     smallest = materialise(members.where(in_class).groupBy("class").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("m")), "smallest")
-    copies = materialise(members.where(in_class).join(smallest.where("m > 1"), "class").where("doc_id <> rep").select("class", F.col("doc_id").alias("copy")).distinct(), "copies")
+    copies = materialise(members.where(in_class).join(smallest.where("m > 1").select("class", "rep"), "class").where("doc_id <> rep").select("class", F.col("doc_id").alias("copy")), "copies")
     many = copies.count() > BROADCAST_IDS
     classes = signed.where(in_class).join(copies if many else F.broadcast(copies), (signed["class"] == copies["class"]) & (F.col("doc_id") == F.col("copy")), "left_anti")
     classes = classes.select(F.col("doc_id").alias("rep"), "class", "n", "tokens", "salts")
