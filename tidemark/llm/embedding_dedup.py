@@ -193,7 +193,9 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "
     links = pairs.groupBy("key").agg(F.sum("links").alias("links"))
     comp = components(pairs.select(F.col("key").alias("a"), F.col("root").alias("b")))
     named = ids.join(comp, ids["key"] == comp["node"], "left").select(ids["key"], "id", "weight", F.coalesce("component", ids["key"]).alias("component"))
-    least = named.groupBy("component").agg(F.min("id").alias("component_id"))
+    # Written, so that a component with a great many members is split where it is joined.
+    named = materialise(named, "named")
+    least = materialise(named.groupBy("component").agg(F.min("id").alias("component_id")), "least")
     final = named.join(least, "component").join(links, "key", "left").select("key", "component_id", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"))
     out = rows.where("key is not null").join(final, "key", "left").select("id", "n_links", F.when(F.col("id").isNotNull(), F.col("component_id")).alias("component_id"))
     out = out.union(rows.where("key is null").select("id", F.lit(0).cast("long"), F.col("id")))
