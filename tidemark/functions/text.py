@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 def words(text: Column) -> Column:
     """Lower-case runs of letters, marks and digits; apostrophes inside words vanish."""
-    return F.regexp_extract_all(F.regexp_replace(F.lower(text), "['’]", ""), F.lit(r"[\p{L}\p{M}\p{N}]+"), F.lit(0))
+    return F.regexp_extract_all(F.translate(F.lower(text), "'’", ""), F.lit(r"[\p{L}\p{M}\p{N}]+"), F.lit(0))
 
 
 def normalise(text: str) -> str:
