@@ -117,6 +117,14 @@ def test_licenses(spark):
     assert licenses.scan(spark.createDataFrame(rows, "doc_id long, text string").limit(0)).count() == 0
 
 
+def test_licenses_bundled_in_one_text(spark):
+    gaps = " xyzzy" * 40 + " "
+    rows = [(0, gaps.join(t for _, t, _ in licenses.TEMPLATES)), (1, " ".join(w.decode() for w in licenses.VOCABULARY) + gaps + licenses.TEMPLATES[0][1])] + [(10 + i, licenses.TEMPLATES[0][1]) for i in range(20)]
+    got = {r.doc_id: r for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {label for label, _, _ in licenses.TEMPLATES} <= set(got[0].labels.split(","))
+    assert "mit" in got[1].labels.split(",") and got[1].score == 1
+
+
 def test_toxicity_on_held_out_rows(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
     labelled = docs.join(labels.select("doc_id"), "doc_id", "left_semi")

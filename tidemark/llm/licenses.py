@@ -1,8 +1,8 @@
 """License scans through a positional index of rare words.
 
 The templates (license notices and the openings of license texts) are indexed by their rarest words, by document
-frequency over the whole table: word -> places in templates. For each text the rarest of these words that it holds are
-looked up; each place in the text minus each place in a template is a shift, and shifts on which several words agree
+frequency over the whole table: word -> places in templates. Each of these words that a text holds is looked up, however
+many there are; each place in the text minus each place in a template is a shift, and shifts on which several words agree
 are candidates. A candidate counts if the template's mandatory key phrases stand in its window and enough of the
 template's words stand at their relative places. Fixed phrases are found the same way: their rarest word is looked up
 at every place, and the words around it are verified.
@@ -51,8 +51,8 @@ TEMPLATES = [
 ]
 PHRASES = [("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved")]
 
-#: Rarest words by which a template is indexed; rarest words of a text that are looked up.
-ANCHORS, LOOKED_UP = 8, 16
+#: Rarest words by which a template is indexed.
+ANCHORS = 8
 #: Words by which a place may be off; words of a template that must stand at their places.
 SLACK, COVERAGE = 2, 0.6
 
@@ -140,9 +140,8 @@ class Index:
         at = np.flatnonzero(self.indexed[code])
         if not len(at):
             return []
-        rare = sorted(set(code[at].tolist()), key=self.rarity.__getitem__)[:LOOKED_UP]
         votes = []
-        for c in rare:
+        for c in np.unique(code[at]).tolist():
             place, post = at[code[at] == c], self.postings[c]
             votes.append(np.column_stack((np.tile(post[:, 0], len(place)), (place[:, None] - post[None, :, 1]).ravel(), np.full(len(place) * len(post), c))))
         v = np.unique(np.concatenate(votes), axis=0)
