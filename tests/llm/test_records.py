@@ -68,6 +68,23 @@ def test_mixing_pools_small_sources(spark, monkeypatch):
     assert len(got) == 200 and got.mix_position.is_unique
 
 
+@pytest.mark.parametrize("weights", [[1, 1, 1], [0.7, 0.2999, 0.0001], [n**0.5 for n in range(2, 40)]])
+def test_mixing_keeps_the_exact_targets_over_long_runs(weights):
+    blocks = [max(1, int(20_000 * w / sum(weights))) for w in weights]
+    done, left, ideal = np.zeros(len(blocks)), np.array(blocks, dtype=float), np.zeros(len(blocks))
+    for i, k in mixing.schedule(blocks, weights):
+        assert k == done[i]
+        done[i] += 1
+        room = 1.0  # the ideal mixture: all that have rows left grow by their weights
+        while room > 1e-9 and (left > 1e-9).any():
+            own = np.where(left > 1e-9, weights, 0.0)
+            step = min(room, (left[own > 0] / own[own > 0]).min() * own.sum())
+            grown = own / own.sum() * step
+            ideal, left, room = ideal + grown, left - grown, room - step
+        assert (np.abs(done - ideal) < 1 + 1e-6).all()
+    assert done.tolist() == blocks
+
+
 def vectors(rnd, n, dim=64):
     base = rnd.standard_normal((n // 8, dim))
     rows = []

@@ -1,81 +1,92 @@
 """Mixing sources to target weights by Pfair scheduling, with DataFrame functions only.
 
-Each source's rows are dealt into blocks of equal size. Of a source with weight w out of Q, block k is released at slot
-floor(k Q / w) and due at ceil((k + 1) Q / w); in each slot the released block that is due first is taken. No source is
-ever a whole block away from its target. The order repeats after Q slots, so one period is planned on the driver, over
-the sources only, and each row's slot follows by arithmetic. When a source runs out, the others go on with their
-weights among themselves: a new phase with a period of its own. Every row gets one place; none is dropped or repeated.
-
-Defined results: a null source is a source of its own; beyond the ``MOST_SOURCES`` largest, sources are mixed as one
-pool; rows are ordered within a source by a hash of the id, so equal rows are interchangeable; empty texts and null ids
+Each source's rows are dealt into blocks of equal size. In the ideal mixture the sources that are not used up grow at
+once, each in proportion to its exact weight; a block is released at the last whole slot before the ideal mixture begins
+it and due at the first after it ends it. In each slot the released block that is due first is taken. Such a schedule
+meets all dues, so no source is ever a whole block away from the ideal mixture, however long it is. When a source runs
+out, the others go on with their weights among themselves. Every row gets one place; none is dropped or repeated.
+
+Slots depend on each other from first to last, so they are found on the driver, from the sources' sizes and weights: it
+holds a number per block and a name per source, rows never. All numbers are whole, of any length: nothing is rounded.
+
+Defined results: a null source is a source of its own; a source without a positive weight has the least of the stated
+ones; rows are ordered within a source by a hash of the id, so equal rows are interchangeable; empty texts and null ids
 are ordinary rows; an empty table gives an empty table. All columns of the input are kept, whatever their names.
 """
 
 from __future__ import annotations
 
-from math import ceil
+import heapq
+from bisect import bisect_right
+from collections.abc import Iterator
+from fractions import Fraction
+from math import lcm
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Slots of a period, and sources that have a weight of their own.
-PERIOD, MOST_SOURCES = 1000, 200
+#: Sources whose names are broadcast; more are joined by a shuffle, with the same result.
+MOST_SOURCES = 200
 BLOCK_ROWS = 16
 #: Rows that are ranked together; a source's ranks add up from such buckets.
 BUCKET_ROWS = 512
-POOL = "\u0000others"
 
 
-def shares(weights: dict[str, float], period: int = PERIOD) -> dict[str, int]:
-    """Whole slots per source, at least one each, by largest remainders."""
-    total = sum(weights.values())
-    exact = {s: w / total * period for s, w in weights.items()}
-    out = {s: max(1, int(x)) for s, x in exact.items()}
-    left = period - sum(out.values())
-    for s in sorted(exact, key=lambda s: (-(exact[s] - int(exact[s])), s))[: max(0, left)]:
-        out[s] += 1
-    return out
+def schedule(blocks: list[int], weights: list[float]) -> Iterator[tuple[int, int]]:
+    """(source, its block) of each slot: earliest due first among released blocks.
+
+    Source i's block k begins when every source has had k / w_i of its weight, or all it has: at slot
+    sum(min(w_j k / w_i, n_j)), a concave function of straight pieces, which is the least of them.
+    """
+    exact = [Fraction(w) for w in weights]
+    unit = lcm(*(w.denominator for w in exact))
+    w = [int(x * unit) for x in exact]
+    ends: dict[Fraction, list[int]] = {}
+    for i, n in enumerate(blocks):
+        if n:
+            ends.setdefault(Fraction(n, w[i]), []).append(i)
+    last = sorted(ends)
+    pieces = [(sum(w[i] for i, n in enumerate(blocks) if n), 0)]
+    for v in last:
+        pieces.append((pieces[-1][0] - sum(w[i] for i in ends[v]), pieces[-1][1] + sum(blocks[i] for i in ends[v])))
+    near = [float(v * unit) for v in last]
+
+    def bounds(i: int, k: int) -> tuple[int, int]:
+        p = bisect_right(near, k / weights[i])  # a float may be one piece off: the least of the neighbours is right
+        at = min(a * k + c * w[i] for a, c in pieces[max(p - 1, 0) : p + 2])
+        return at // w[i], -(-at // w[i])
+
+    waiting = [(0, i, 0) for i, n in enumerate(blocks) if n]
+    ready: list[tuple[int, float, int, int, int]] = []
+    for slot in range(sum(blocks)):
+        while waiting and waiting[0][0] <= slot:
+            _, i, k = heapq.heappop(waiting)
+            release, due = bounds(i, k + 1)
+            heapq.heappush(ready, (due, -weights[i], i, k, release))
+        _, _, i, k, release = heapq.heappop(ready)
+        yield i, k
+        if k + 1 < blocks[i]:
+            heapq.heappush(waiting, (release, i, k + 1))
 
 
 def period_of(slots: dict[str, int]) -> list[str]:
-    """Whose block stands in each slot of one period: earliest deadline first among released blocks."""
-    q = sum(slots.values())
-    done = dict.fromkeys(slots, 0)
-    order = []
-    for t in range(q):
-        ready = [(-(-(done[s] + 1) * q // w), -w, s) for s, w in slots.items() if done[s] < w and done[s] * q // w <= t]
-        _, _, s = min(ready)
-        done[s] += 1
-        order.append(s)
-    return order
-
-
-def plan(blocks: dict[str, int], weights: dict[str, float]) -> tuple[list[tuple], list[tuple]]:
-    """Phases (source, phase, first block, blocks, first slot, period, slots a period) and their patterns (phase,
-    source, block of the period, slot of the period). ``blocks``: blocks of each source."""
-    left = {s: n for s, n in blocks.items() if n > 0}
-    taken = dict.fromkeys(left, 0)
-    phases, patterns, start, number = [], [], 0, 0
-    every = shares({s: weights.get(s, 0) or min(weights.values(), default=1) for s in left}) if left else {}
-    while left:
-        own = {s: every[s] for s in left}
-        q, order = sum(own.values()), period_of(own)
-        at: dict[str, list[int]] = {s: [] for s in own}
-        for slot, s in enumerate(order):
-            at[s].append(slot)
-        # The phase ends with the last block of the source that runs out first.
-        stop = min((n - 1) // own[s] * q + at[s][(n - 1) % own[s]] + 1 for s, n in left.items())
-        for s in list(left):
-            n = stop // q * own[s] + sum(slot < stop % q for slot in at[s])
-            if n:
-                phases.append((s, number, taken[s], n, start, q, own[s]))
-                patterns += [(number, s, j, slot) for j, slot in enumerate(at[s])]
-            taken[s] += n
-            left[s] -= n
-            if not left[s]:
-                del left[s]
-        start, number = start + stop, number + 1
-    return phases, patterns
+    """Whose block stands in each slot of one period of whole weights."""
+    names = sorted(slots)
+    return [names[i] for i, _ in schedule([slots[s] for s in names], [slots[s] for s in names])]
+
+
+def slots_of(blocks: list[int], weights: list[float]) -> pa.Table:
+    """The schedule as (_ts, _tb, _slot): source, its block, slot."""
+    first, n = [0], sum(blocks)
+    for x in blocks:
+        first.append(first[-1] + x)
+    slot = np.empty(n, dtype=np.int64)
+    for t, (i, k) in enumerate(schedule(blocks, weights)):
+        slot[first[i] + k] = t
+    source = np.repeat(np.arange(len(blocks)), blocks)
+    return pa.table({"_ts": source, "_tb": np.arange(n) - np.array(first)[source], "_slot": slot})
 
 
 def natural(sizes: dict[str, int]) -> dict[str, float]:
@@ -92,27 +103,24 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, source_col: st
     kept = src.columns
     named = F.coalesce(F.concat(F.lit("="), F.col(source_col).cast("string")), F.lit("null"))
     sized = src.select(named.alias("s")).groupBy("s").agg(F.count(F.lit(1)).alias("n"))
-    top = {r["s"]: r["n"] for r in sized.orderBy(F.desc("n"), "s").limit(MOST_SOURCES).collect()}
-    others = sized.agg(F.sum("n").alias("n")).first()["n"] or 0
-    sizes = top | ({POOL: others - sum(top.values())} if others > sum(top.values()) else {})
+    sizes = {r["s"]: r["n"] for r in sized.orderBy("s").collect()}
     if not sizes:
         return src.select(*kept, *(F.lit(None).cast("long").alias(x) for x in names))
-    want = natural(sizes) if weights is None else {("=" + s): w for s, w in weights.items()}
-    phases, patterns = plan({s: ceil(n / block_rows) for s, n in sizes.items()}, want)
-    # At most MOST_SOURCES + 1 sources, as many phases, PERIOD slots each: bounded whatever the table.
-    sources = F.broadcast(spark.createDataFrame([(s, -(-n // BUCKET_ROWS)) for s, n in sizes.items()], "_ms string, _mn long"))
-    phase = F.broadcast(spark.createDataFrame(phases, "_ps string, _phase int, _first long, _n long, _start long, _q long, _w long"))
-    pattern = F.broadcast(spark.createDataFrame(patterns, "_pp int, _pt string, _pj long, _pslot long"))
-    pooled = F.when(named.isin(list(top)), named).otherwise(F.lit(POOL)) if POOL in sizes else named
-    rows = src.withColumns({"_s": pooled, "_h": F.xxhash64(F.lit(11), F.col(id_col))}).join(sources, F.col("_s") == F.col("_ms")).withColumn("_b", F.pmod("_h", "_mn"))
+    want = natural(sizes) if weights is None else {("=" + s): w for s, w in weights.items() if w > 0}
+    least = min(want.values(), default=1)
+    blocks = [-(-n // block_rows) for n in sizes.values()]
+    plan = spark.createDataFrame(slots_of(blocks, [want.get(s, least) for s in sizes]))
+    sources = spark.createDataFrame(pa.table({"_ms": list(sizes), "_no": np.arange(len(sizes)), "_mn": [-(-n // BUCKET_ROWS) for n in sizes.values()]}))
+    sources = F.broadcast(sources) if len(sizes) <= MOST_SOURCES else sources
+    rows = src.withColumns({"_s": named, "_h": F.xxhash64(F.lit(11), F.col(id_col))}).join(sources, F.col("_s") == F.col("_ms")).withColumn("_b", F.pmod("_h", "_mn"))
     # Ranks within a source: counts of its buckets add up, and rows are numbered within a bucket only.
-    counts = src.select(pooled.alias("_s"), F.xxhash64(F.lit(11), F.col(id_col)).alias("_h")).join(sources, F.col("_s") == F.col("_ms")).groupBy("_s", F.pmod("_h", "_mn").alias("_b")).agg(F.count(F.lit(1)).alias("_c"))
-    before = counts.withColumn("_before", F.sum("_c").over(Window.partitionBy("_s").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1))).select(F.col("_s").alias("_os"), F.col("_b").alias("_ob"), F.coalesce("_before", F.lit(0)).alias("_before"))
-    numbered = rows.withColumn("_r", F.row_number().over(Window.partitionBy("_s", "_b").orderBy("_h", id_col)))
-    ranked = numbered.join(before, (F.col("_s") == F.col("_os")) & (F.col("_b") == F.col("_ob"))).withColumn("_rank", F.col("_before") + F.col("_r") - 1)
+    counts = src.select(named.alias("_s"), F.xxhash64(F.lit(11), F.col(id_col)).alias("_h")).join(sources, F.col("_s") == F.col("_ms")).groupBy("_no", F.pmod("_h", "_mn").alias("_b")).agg(F.count(F.lit(1)).alias("_c"))
+    before = counts.withColumn("_before", F.coalesce(F.sum("_c").over(Window.partitionBy("_no").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    # A bucket's few blocks get their slots before they meet its rows.
+    covered = before.withColumn("_tb", F.explode(F.sequence(F.floor(F.col("_before") / block_rows), F.floor((F.col("_before") + F.col("_c") - 1) / block_rows))))
+    covered = covered.join(plan, (F.col("_no") == F.col("_ts")) & (covered["_tb"] == plan["_tb"])).groupBy(F.col("_no").alias("_on"), F.col("_b").alias("_ob")).agg(F.first("_before").alias("_before"), F.sort_array(F.collect_list("_slot")).alias("_slots"))
+    numbered = rows.withColumn("_r", F.row_number().over(Window.partitionBy("_no", "_b").orderBy("_h", id_col)))
+    ranked = numbered.join(covered, (F.col("_no") == F.col("_on")) & (F.col("_b") == F.col("_ob"))).withColumn("_rank", F.col("_before") + F.col("_r") - 1)
     ranked = ranked.withColumns({"mix_block": F.floor(F.col("_rank") / block_rows), "_in": F.pmod("_rank", F.lit(block_rows))})
-    local = F.col("mix_block") - F.col("_first")
-    placed = ranked.join(phase, (F.col("_s") == F.col("_ps")) & (local >= 0) & (local < F.col("_n"))).withColumn("_j", F.pmod(local, F.col("_w")))
-    placed = placed.join(pattern, (F.col("_phase") == F.col("_pp")) & (F.col("_s") == F.col("_pt")) & (F.col("_j") == F.col("_pj")))
-    slot = F.col("_start") + F.floor(local / F.col("_w")) * F.col("_q") + F.col("_pslot")
-    return placed.withColumn("mix_slot", slot).withColumn("mix_position", F.col("mix_slot") * block_rows + F.col("_in")).select(*kept, *names)
+    placed = ranked.withColumn("mix_slot", F.get("_slots", (F.col("mix_block") - F.floor(F.col("_before") / block_rows)).cast("int")))
+    return placed.withColumn("mix_position", F.col("mix_slot") * block_rows + F.col("_in")).select(*kept, *names)
