@@ -85,6 +85,21 @@ def test_mixing_keeps_the_exact_targets_over_long_runs(weights):
     assert done.tolist() == blocks
 
 
+@pytest.mark.parametrize("most", [3, 1000])
+def test_mixing_weighs_each_of_many_sources(spark, monkeypatch, most):
+    monkeypatch.setattr(mixing, "MOST_SOURCES", most)
+    df = spark.createDataFrame([(s * 1000 + k, f"s{s:03}") for s in range(250) for k in range(3)] + [(10**6 + k, "big") for k in range(400)], "doc_id long, source string")
+    weights = {f"s{s:03}": s + 1.0 for s in range(250)} | {"big": 5000.0}
+    got = mixing.mix(df, weights, block_rows=1).orderBy("mix_position").toPandas()
+    assert got.mix_position.tolist() == list(range(len(df.collect())))
+    # The schedule is kept per source: rows 0, 1, 2 of each stand where its own weight puts them.
+    names = sorted(["big", *(f"s{s:03}" for s in range(250))])
+    want = [names[i] for i, _ in mixing.schedule([400 if s == "big" else 3 for s in names], [weights[s] for s in names])]
+    assert got.source.tolist() == want
+    first = got.groupby("source").mix_position.max()
+    assert first["s249"] < first["s100"] < first["s010"]
+
+
 def vectors(rnd, n, dim=64):
     base = rnd.standard_normal((n // 8, dim))
     rows = []
