@@ -94,3 +94,16 @@ def test_terms_that_disclose_an_entity(spark):
     clean = {r.doc_id: r.text for r in pii.sanitise(df).collect()}
     assert "bob@" not in clean[0] and "Zanzibar" not in clean[0] and "<EMAIL>" in clean[0]
     assert clean[10] == rows[3][1]
+
+
+def test_terms_disclose_an_entity_from_anywhere_in_a_text(spark):
+    far = " and so on" * 60
+    rows = [(i, f"dear Zanzibar {i}{far} mail bob@corp.example today") for i in range(3)] + [(10 + i, f"plain text number {i} and so on") for i in range(300)]
+    # A term told elsewhere is found in a text where it stands once, before the entity, in another spelling.
+    rows += [(400, f"ZANZIBAR{far} BOB@corp.example"), (401, "Zanzibar alone")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.spans.split(",") for r in pii.digest(pii.scan(df)).collect()}
+    assert "term:5:13" in got[0] and "term:0:8" in got[400] and got[401] == [""]
+    clean = {r.doc_id: r.text for r in pii.sanitise(df).collect()}
+    assert all("zanzibar" not in clean[i].lower() and "<EMAIL>" in clean[i] for i in (0, 1, 2, 400))
+    assert clean[401] == "Zanzibar alone" and clean[10] == rows[3][1]

@@ -1,10 +1,11 @@
 """Personal data: fixed forms, and terms that reveal them by corpus co-occurrence; DataFrame functions only.
 
-E-mail addresses, IP addresses, card and phone numbers are the protected entities. A term near an entity tells
+E-mail addresses, IP addresses, card and phone numbers are the protected entities. A term outside them tells
 PMI(term; entity) bits of the entity's IC(entity) = log2(N / df(entity)) bits, both estimated over all rows: df counts
-rows that hold a term or an entity, co-occurrence counts different contexts of an entity that hold the term, so that
-copies of one text are no evidence. A term that tells a share of ``DISCLOSES`` or more is generalised, one that tells
-``REMOVES`` or more is removed, wherever it stands near that entity.
+rows that hold a term or an entity, co-occurrence counts different texts that hold both or, if these are more, different
+surroundings of the entity that hold the term, so that copies of one text are no evidence. An entity that stands in one
+context only has no co-occurrence to estimate. A term that tells a share of ``DISCLOSES`` or more is generalised, one
+that tells ``REMOVES`` or more is removed, wherever it stands in a text that holds that entity.
 
 Defined results: null and empty texts have no spans and stay as they are; repeated rows have equal spans; an empty
 table gives an empty table. A null id is an ordinary row. Spans count code points, end exclusive. ``sanitise`` keeps
@@ -29,7 +30,7 @@ CARD = r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?[0-9]){13,18}+(?![\x20-]?[0-
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 TERM = r"\p{L}{4,}"
 OCTET = r"0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
-#: Characters around an entity in which terms are looked at.
+#: Characters around an entity that are a context of its own within a text.
 NEAR = 80
 #: Contexts that a term and an entity must share, and shares of the entity's information.
 CONTEXTS, DISCLOSES, REMOVES = 2, 0.6, 0.9
@@ -73,56 +74,83 @@ def contexts(text: Column, base: Column) -> Column:
     def one(s: Column) -> Column:
         begin = F.greatest(s["start"] - NEAR, F.lit(0))
         before = F.substring(text, begin + 1, s["start"] - begin)
-        # A word that the window cuts is left out; what was cut off is counted, so that places stay right.
+        # A word that the window cuts is left out.
         whole = F.when(begin > 0, F.regexp_replace(before, r"^\S+", "")).otherwise(before)
         after = F.substring(text, s["end"] + 1, F.lit(NEAR))
         kept = F.when(F.length(after) == NEAR, F.regexp_replace(after, r"\S+$", "")).otherwise(after)
         entity = F.concat_ws(":", s["kind"], F.lower(F.substring(text, s["start"] + 1, s["end"] - s["start"])))
-        return F.struct(entity.alias("entity"), (s["start"] - F.length(whole)).alias("before_at"), whole.alias("before"), s["end"].alias("after_at"), kept.alias("after"))
+        return F.struct(entity.alias("entity"), whole.alias("before"), kept.alias("after"))
 
     return F.transform(base, one)
 
 
-def frequencies(docs: DataFrame, terms: DataFrame) -> DataFrame:
-    """(term, df): rows of ``docs`` that hold each of the distinct ``terms(term)``; sums meet before the shuffle.
+def outside(text: Column, base: Column) -> Column:
+    """``text`` with blanks in the places of the entities, so that places stay the same."""
+
+    def step(acc: Column, s: Column) -> Column:
+        begin = F.greatest(acc["at"], s["start"])
+        new = F.struct(s["end"].alias("at"), F.concat(acc["out"], F.substring(text, acc["at"] + 1, begin - acc["at"]), F.repeat(F.lit(" "), s["end"] - begin)).alias("out"))
+        return F.when(s["end"] <= acc["at"], acc).otherwise(new)
+
+    begin = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    return F.aggregate(base, begin, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
 
-    An inner join, as a semi join would be moved below the sums and carry a row for each place of a common term.
-    """
-    held = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0)))).alias("term"))
-    return held.groupBy("term").agg(F.count(F.lit(1)).alias("df")).join(terms, "term")
 
+def terms_of(text: Column) -> Column:
+    return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(TERM), F.lit(0)))
 
-def disclosures(docs: DataFrame, entities: DataFrame) -> DataFrame:
-    """(doc_id, mark, term spans with shares) of the rows whose terms disclose an entity near them.
 
-    ``entities``: (doc_id, mark, entity, before_at, before, after_at, after), one row per entity and place.
+def frequencies(docs: DataFrame) -> DataFrame:
+    """(term, df): rows of ``docs`` that hold each term; sums meet before the shuffle."""
+    return docs.select(F.explode(terms_of(F.col("text"))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+
+
+def disclosures(docs: DataFrame, base: DataFrame) -> DataFrame:
+    """(mark, told): per text whose terms disclose an entity in it, a map of these terms to their shares.
+
+    ``base``: (mark, near, rest) of the rows that hold entities: the entities' contexts, and the text outside them.
     """
-    n = docs.count()
-    sides = entities.select("doc_id", "mark", "entity", F.xxhash64("before", "after").alias("context"), F.explode(F.array(F.struct(F.col("before_at").alias("at"), F.col("before").alias("part")), F.struct(F.col("after_at").alias("at"), F.col("after").alias("part")))).alias("w"))
-    part = F.col("w.part")
-    words = sides.withColumn("found", spans.matches(part, TERM)).withColumn("s", F.explode(spans.placed(part, TERM, F.col("found"), "term", 4)))
-    words = words.select("doc_id", "mark", "entity", "context", (F.col("w.at") + F.col("s.start")).alias("start"), (F.col("w.at") + F.col("s.end")).alias("end"), F.lower(F.substring(part, F.col("s.start") + 1, F.col("s.end") - F.col("s.start"))).alias("term"))
-    words = materialise(words, "terms")
+    n = float(max(docs.count(), 1))
+    entity_df = base.select(F.explode(F.array_distinct(F.transform("near", lambda e: e["entity"]))).alias("entity")).groupBy("entity").agg(F.count(F.lit(1)).alias("entity_df"))
+    entity_df = materialise(entity_df, "entity-df")
+    most = entity_df.agg(F.max("entity_df").alias("m")).first()["m"] or 1
+    term_df = materialise(frequencies(docs), "term-df")
+    # As min(co, df, df(entity)) is no more than df(entity), a term with a higher df can't tell enough.
+    limit = lambda e: F.pow(F.lit(n), F.lit(1 - DISCLOSES)) * F.pow(e, F.lit(DISCLOSES)) * (1 + 1e-9)
+    texts = materialise(base.select("mark", F.array_distinct(F.transform("near", lambda e: e["entity"])).alias("entities"), terms_of(F.col("rest")).alias("held")).dropDuplicates(["mark"]), "held")
+    whose = texts.select("mark", F.explode("entities").alias("entity")).join(entity_df, "entity")
+    what = texts.select("mark", F.explode("held").alias("term")).join(term_df.where(F.col("df") <= limit(F.lit(float(most)))), "term")
+    pairs = whose.join(what, "mark").where(F.col("df") <= limit(F.col("entity_df")))
+    far = pairs.where((F.col("df") >= CONTEXTS) & (F.col("entity_df") >= CONTEXTS)).groupBy("entity", "term").agg(F.count(F.lit(1)).alias("co"))
     # A hot entity or term is many rows of one key: distinct triples and counts meet before each shuffle.
-    together = words.select("entity", "term", "context").distinct().groupBy("entity", "term").agg(F.count(F.lit(1)).alias("co")).where(F.col("co") >= CONTEXTS)
-    together = materialise(together, "together")
-    entity_df = entities.select("entity", "doc_id", "mark").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("entity_df"))
-    term_df = frequencies(docs, together.select("term").distinct())
-    ic = F.log2(F.lit(float(max(n, 1))) / F.col("entity_df"))
-    pmi = F.log2(F.lit(float(max(n, 1))) * F.least("co", "df", "entity_df") / (F.col("df") * F.col("entity_df")))
+    sides = base.select(F.explode("near").alias("e")).select("e.entity", F.xxhash64("e.before", "e.after").alias("context"), F.explode(F.array_union(terms_of(F.col("e.before")), terms_of(F.col("e.after")))).alias("term"))
+    close = sides.distinct().groupBy("entity", "term").agg(F.count(F.lit(1)).alias("co"))
+    together = far.where(F.col("co") >= CONTEXTS).unionByName(close.where(F.col("co") >= CONTEXTS)).groupBy("entity", "term").agg(F.max("co").alias("co"))
+    ic = F.log2(F.lit(n) / F.col("entity_df"))
+    pmi = F.log2(F.lit(n) * F.least("co", "df", "entity_df") / (F.col("df") * F.col("entity_df")))
     told = together.join(entity_df, "entity").join(term_df, "term").where(ic > 0).withColumn("share", F.least(pmi / ic, F.lit(1.0))).where(F.col("share") >= DISCLOSES).select("entity", "term", "share")
-    hit = words.join(told, ["entity", "term"]).groupBy("doc_id", "mark", "start", "end").agg(F.max("share").alias("share"))
-    return hit.groupBy("doc_id", "mark").agg(F.collect_list(F.struct("start", F.lit(4).alias("no"), F.lit("term").alias("kind"), "end", "share")).alias("terms"))
+    hit = pairs.select("mark", "entity", "term").join(materialise(told, "told"), ["entity", "term"]).groupBy("mark", "term").agg(F.max("share").alias("share"))
+    return hit.groupBy("mark").agg(F.map_from_entries(F.collect_list(F.struct("term", "share"))).alias("told"))
+
+
+def term_spans(rest: Column, told: Column) -> Column:
+    """Spans with shares of the terms in the map ``told``: their spellings in the text, as whole runs of letters."""
+    spelt = F.array_distinct(F.filter(F.regexp_extract_all(rest, F.lit(TERM), F.lit(0)), lambda w: F.map_contains_key(told, F.lower(w))))
+    form = F.concat(F.lit(r"(?<!\p{L})(?:"), F.array_join(spelt, "|"), F.lit(r")(?!\p{L})"))
+    at = spans.placed(rest, form, spans.matches(rest, form), "term", 4)
+    share = lambda s: told[F.lower(F.substring(rest, s["start"] + 1, s["end"] - s["start"]))]
+    return F.when(F.size(spelt) > 0, F.transform(at, lambda s: F.struct(s["start"], s["no"], s["kind"], s["end"], share(s).alias("share"))))
 
 
 def scan(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """(doc_id, mark, base, terms) of every row; ``mark`` is a hash of the text, to find the row's text again."""
     src = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    base = found_in(src).select("doc_id", F.xxhash64("text").alias("mark"), "base", F.when(F.size("base") > 0, contexts(F.col("text"), F.col("base"))).alias("near"))
+    some = F.size("base") > 0
+    base = found_in(src).select("doc_id", F.xxhash64("text").alias("mark"), "base", F.when(some, contexts(F.col("text"), F.col("base"))).alias("near"), F.when(some, outside(F.col("text"), F.col("base"))).alias("rest"))
     base = materialise(base, "entities")
-    entities = base.select("doc_id", "mark", F.explode("near").alias("e")).select("doc_id", "mark", "e.*")
-    told = disclosures(src, entities).withColumnsRenamed({"doc_id": "told_id", "mark": "told_mark"})
-    return base.join(told, F.col("doc_id").eqNullSafe(F.col("told_id")) & (F.col("mark") == F.col("told_mark")), "left").select("doc_id", "mark", "base", "terms")
+    told = disclosures(src, base.where(some).select("mark", "near", "rest")).withColumnRenamed("mark", "told_mark")
+    held = base.where(some).join(told, F.col("mark") == F.col("told_mark"), "left").select("doc_id", "mark", "base", F.when(F.col("told").isNotNull(), term_spans(F.col("rest"), F.col("told"))).alias("terms"))
+    return held.unionByName(base.where(~some).select("doc_id", "mark", "base", F.lit(None).cast(held.schema["terms"].dataType).alias("terms")))
 
 
 def digest(scanned: DataFrame, id_col: str = "doc_id") -> DataFrame:
