@@ -107,3 +107,10 @@ def test_terms_disclose_an_entity_from_anywhere_in_a_text(spark):
     clean = {r.doc_id: r.text for r in pii.sanitise(df).collect()}
     assert all("zanzibar" not in clean[i].lower() and "<EMAIL>" in clean[i] for i in (0, 1, 2, 400))
     assert clean[401] == "Zanzibar alone" and clean[10] == rows[3][1]
+
+
+def test_mail_addresses_of_any_length(spark):
+    text = "x a@b" + ".c" * 3000 + " y"
+    df = spark.createDataFrame([(0, text)], "doc_id long, text string")
+    assert pii.digest(pii.scan(df)).first().spans == listed(private_spans(text)) == f"email:2:{len(text) - 2}"
+    assert pii.sanitise(df).first().text == "x <EMAIL> y"
