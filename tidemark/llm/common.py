@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import islice
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,11 +16,13 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where the session names none."""
+    """The folder that driver and executors share; one of our own only where all run in this process."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         found = spark.sparkContext.getCheckpointDir()
     if not found:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise RuntimeError("spark.checkpoint.dir names no folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="tidemark-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
@@ -39,6 +42,20 @@ def materialise(df: DataFrame, what: str) -> DataFrame:
     return out
 
 
+def write_lines(spark: SparkSession, lines: Iterable[str], what: str) -> str:
+    """Write text that the driver holds as a file of lines in the shared folder; its path."""
+    path = new_path(spark, what)
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    out = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(hadoop)
+    try:
+        lines = iter(lines)
+        while some := "".join(f"{x}\n" for x in islice(lines, 20_000)):
+            out.write(bytearray(some.encode()))
+    finally:
+        out.close()
+    return path
+
+
 def release(df: DataFrame) -> None:
     """Delete a table that ``materialise`` wrote and nothing reads any more."""
     path = getattr(df, "_tidemark_path", None)
