@@ -8,8 +8,9 @@ context only has no co-occurrence to estimate. A term that tells a share of ``DI
 that tells ``REMOVES`` or more is removed, wherever it stands in a text that holds that entity.
 
 Defined results: null and empty texts have no spans and stay as they are; repeated rows have equal spans; an empty
-table gives an empty table. A null id is an ordinary row. Spans count code points, end exclusive. ``sanitise`` keeps
-all columns and rows; texts without spans are unchanged.
+table gives an empty table. A null id is an ordinary row. Spans count code points, end exclusive; of spans that overlap
+every code point is replaced once. Texts may be of any length and hold any number of matches: time is in proportion.
+``sanitise`` keeps all columns, whatever their names, and all rows; texts without spans are unchanged.
 """
 
 from __future__ import annotations
@@ -71,29 +72,24 @@ def found_in(docs: DataFrame) -> DataFrame:
 def contexts(text: Column, base: Column) -> Column:
     """Per entity: its value, and the text before and after it, cut at white space."""
 
-    def one(s: Column) -> Column:
-        begin = F.greatest(s["start"] - NEAR, F.lit(0))
-        before = F.substring(text, begin + 1, s["start"] - begin)
-        # A word that the window cuts is left out.
-        whole = F.when(begin > 0, F.regexp_replace(before, r"^\S+", "")).otherwise(before)
-        after = F.substring(text, s["end"] + 1, F.lit(NEAR))
-        kept = F.when(F.length(after) == NEAR, F.regexp_replace(after, r"\S+$", "")).otherwise(after)
-        entity = F.concat_ws(":", s["kind"], F.lower(F.substring(text, s["start"] + 1, s["end"] - s["start"])))
-        return F.struct(entity.alias("entity"), whole.alias("before"), kept.alias("after"))
+    def all_of(blocks: Column, size: Column) -> Column:
+        def one(s: Column) -> Column:
+            begin, end = F.greatest(s["start"] - NEAR, F.lit(0)), F.least(s["end"] + NEAR, size)
+            before, after = spans.piece(blocks, begin, s["start"]), spans.piece(blocks, s["end"], end)
+            # A word that the window cuts is left out.
+            whole = F.when(begin > 0, F.regexp_replace(before, r"^\S+", "")).otherwise(before)
+            kept = F.when(s["end"] + NEAR <= size, F.regexp_replace(after, r"\S+$", "")).otherwise(after)
+            entity = F.concat_ws(":", s["kind"], F.lower(spans.piece(blocks, s["start"], s["end"])))
+            return F.struct(entity.alias("entity"), whole.alias("before"), kept.alias("after"))
 
-    return F.transform(base, one)
+        return F.transform(base, one)
+
+    return spans.let(spans.blocks_of(text), lambda blocks: spans.let(F.length(text), lambda size: all_of(blocks, size)))
 
 
 def outside(text: Column, base: Column) -> Column:
     """``text`` with blanks in the places of the entities, so that places stay the same."""
-
-    def step(acc: Column, s: Column) -> Column:
-        begin = F.greatest(acc["at"], s["start"])
-        new = F.struct(s["end"].alias("at"), F.concat(acc["out"], F.substring(text, acc["at"] + 1, begin - acc["at"]), F.repeat(F.lit(" "), s["end"] - begin)).alias("out"))
-        return F.when(s["end"] <= acc["at"], acc).otherwise(new)
-
-    begin = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    return F.aggregate(base, begin, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
+    return spans.replaced(text, base, lambda s, word: F.repeat(F.lit(" "), F.length(word)))
 
 
 def terms_of(text: Column) -> Column:
@@ -138,8 +134,11 @@ def term_spans(rest: Column, told: Column) -> Column:
     spelt = F.array_distinct(F.filter(F.regexp_extract_all(rest, F.lit(TERM), F.lit(0)), lambda w: F.map_contains_key(told, F.lower(w))))
     form = F.concat(F.lit(r"(?<!\p{L})(?:"), F.array_join(spelt, "|"), F.lit(r")(?!\p{L})"))
     at = spans.placed(rest, form, spans.matches(rest, form), "term", 4)
-    share = lambda s: told[F.lower(F.substring(rest, s["start"] + 1, s["end"] - s["start"]))]
-    return F.when(F.size(spelt) > 0, F.transform(at, lambda s: F.struct(s["start"], s["no"], s["kind"], s["end"], share(s).alias("share"))))
+
+    def shared(blocks: Column) -> Column:
+        return F.transform(at, lambda s: F.struct(s["start"], s["no"], s["kind"], s["end"], told[F.lower(spans.piece(blocks, s["start"], s["end"]))].alias("share")))
+
+    return F.when(F.size(spelt) > 0, spans.let(spans.blocks_of(rest), shared))
 
 
 def scan(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
@@ -161,20 +160,18 @@ def digest(scanned: DataFrame, id_col: str = "doc_id") -> DataFrame:
 
 def sanitise(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """``docs`` with each span replaced: entities by their kind, disclosing terms by a general form or nothing."""
-    marked = docs.withColumn("_mark", F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))))
+    mark = F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
+    # The row travels as one value, so that none of its columns meets one of these.
+    marked = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("own_id"), mark.alias("own_mark"))
     found = scan(docs, text_col, id_col).where("size(base) > 0").dropDuplicates(["doc_id", "mark"])
     as_term = F.coalesce(F.col("terms"), F.array().cast("array<struct<start:int,no:int,kind:string,end:int,share:double>>"))
     as_base = F.transform("base", lambda s: F.struct(s["start"], s["no"], s["kind"], s["end"], F.lit(1.0).alias("share")))
-    found = found.select(F.col("doc_id").alias("_id"), F.col("mark").alias("_hash"), F.array_sort(F.concat(as_base, as_term)).alias("_spans"))
-    text = F.col(text_col)
-
-    def step(acc: Column, s: Column) -> Column:
-        word = F.substring(text, s["start"] + 1, s["end"] - s["start"])
-        instead = F.when(s["kind"] != "term", F.concat(F.lit("<"), F.upper(s["kind"]), F.lit(">"))).when(s["share"] >= REMOVES, F.lit("<REDACTED>")).otherwise(F.concat(F.substring(word, 1, 2), F.lit("*")))
-        new = F.struct(s["end"].alias("at"), F.concat(acc["out"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), instead).alias("out"))
-        return F.when(s["start"] < acc["at"], acc).otherwise(new)
-
-    begin = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    rewritten = F.aggregate("_spans", begin, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
-    joined = marked.join(found, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_mark") == F.col("_hash")), "left")
-    return joined.withColumn(text_col, F.when(F.col("_spans").isNotNull(), rewritten).otherwise(text)).select(*docs.columns)
+    found = found.select("doc_id", "mark", F.array_sort(F.concat(as_base, as_term)).alias("found"))
+
+    def instead(s: Column, word: Column) -> Column:
+        return F.when(s["kind"] != "term", F.concat(F.lit("<"), F.upper(s["kind"]), F.lit(">"))).when(s["share"] >= REMOVES, F.lit("<REDACTED>")).otherwise(F.concat(F.substring(word, 1, 2), F.lit("*")))
+
+    joined = marked.join(found, F.col("own_id").eqNullSafe(F.col("doc_id")) & (F.col("own_mark") == F.col("mark")), "left")
+    text = F.col("row")[text_col]
+    new = F.when(F.col("found").isNotNull(), spans.replaced(text.cast("string"), F.col("found"), instead)).otherwise(text)
+    return joined.select(*(new.alias(c) if c == text_col else F.col("row")[c].alias(c) for c in docs.columns))
