@@ -8,7 +8,8 @@ at worst, never too few.
 
 Defined results: a null text is the empty text; a null id is in no index and is searched by every rule; rows that share
 an id are searched by the rules that either calls for and keep their own spans. An empty table gives an empty table.
-Spans count code points. Extra columns are not read.
+Spans count code points. Texts may be of any length and hold any number of matches: time is in proportion. Extra columns
+are not read.
 """
 
 from __future__ import annotations
@@ -23,7 +24,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import spans
-
 #: (kind, expression, what its matches must fulfil, in base). Expressions read alike in Java and Python.
 RULES = [
     ("assign", r"(?i:(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?)([A-Za-z0-9+/_.=-]+)", True),
@@ -36,7 +36,7 @@ RULES = [
     ("stripe", r"[rs]k_live_[0-9A-Za-z]{16,}", False),
     ("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", False),
     ("pem", r"-----BEGIN (?:RSA |EC |DSA |OPENSSH )?PRIVATE KEY-----", False),
-    ("url_password", r"://[^\s:/@]{1,64}:[^\s:/@]{1,64}@", False),
+    ("url_password", r"://[^\s:/@]+:[^\s:/@]+@", False),
 ]
 #: Ids per block of the index: a posting list is so long at most (but for repeated ids, which it holds once).
 BLOCK = 1024
