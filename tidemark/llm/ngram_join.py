@@ -15,8 +15,10 @@ No link between components is lost: a pair that is not compared lies within one
 orders shingles, whatever it counts the result is the same.
 
 Defined results: null and empty texts have size 0 and link with nothing; fewer than ``width`` words make one shingle of
-all words; rows that share an id are one document, linked if any of its rows is; a null id links with nothing and has a
-null component. An empty table gives an empty table. Extra columns are not read.
+all words; rows that share an id are one document with the links of all of them, each row with the size of its own set; a
+null id links with nothing and has a null component. Texts may be of any length: a task holds the sets of some two
+million characters, and of the longest text. Equal sizes and frequencies are ordered by hash and id. An empty table gives
+an empty table. Extra columns are not read.
 """
 
 from __future__ import annotations
@@ -173,15 +175,11 @@ def light_edges(reps: DataFrame, top: int) -> DataFrame:
 
 
 def packed_set(x: np.ndarray) -> bytes:
-    """48 bits of each hash, ascending: two sets of 20,000 have one false common shingle in a million pairs."""
-    return np.unique(x >> np.uint64(16)).astype(">u8").view(np.uint8).reshape(-1, 8)[:, 2:].tobytes()
+    return x.astype("<u8").tobytes()
 
 
 def unpacked_set(data: bytes) -> np.ndarray:
-    raw = np.frombuffer(data, dtype=np.uint8).reshape(-1, 6)
-    out = np.zeros((len(raw), 8), dtype=np.uint8)
-    out[:, 2:] = raw
-    return out.reshape(-1).view(">u8").astype(np.uint64)
+    return np.frombuffer(data, dtype="<u8")
 
 
 def verify(docs: DataFrame, pairs: DataFrame, width: int = WIDTH) -> DataFrame:
@@ -207,21 +205,19 @@ def verify(docs: DataFrame, pairs: DataFrame, width: int = WIDTH) -> DataFrame:
                 yield pdf.iloc[a:b].drop(columns="text").assign(set=[packed_set(shingles(t, words, width)) for t in texts[a:b]])
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        at, own = None, []
+        at, own = None, None
         for pdf in batches:
             found = []
             for group, salt, hub, rep, data in zip(pdf["group"], pdf["salt"], pdf["hub"], pdf["rep"], pdf["set"], strict=True):
                 if (group, salt) != at:
-                    at, own = (group, salt), []
+                    at, own = (group, salt), None
                 x = unpacked_set(data)
                 if hub:
-                    own.append(x)
+                    own = x
                     continue
-                for y in own:
-                    i = len(np.intersect1d(x, y, assume_unique=True))
-                    if 100 * i >= 75 * (len(x) + len(y) - i):
-                        found.append((group, rep))
-                        break
+                i = len(np.intersect1d(x, own, assume_unique=True))
+                if 100 * i >= 75 * (len(x) + len(own) - i):
+                    found.append((group, rep))
             yield pd.DataFrame(found, columns=["a", "b"], dtype="int64" if kind == "bigint" else object)
 
     sets = chosen.mapInPandas(pack, f"group {kind}, salt int, hub boolean, rep {kind}, set binary")
@@ -285,8 +281,31 @@ def heavy_edges(docs: DataFrame, reps: DataFrame, top: int, known: DataFrame, wi
 
 def join(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", width: int = WIDTH) -> DataFrame:
     """(id, n_shingles, component_id): one row per row of ``docs``."""
-    spark = docs.sparkSession
     src = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    repeated = src.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("m")).where("m > 1").limit(1).count() > 0
+    out = of_repeated_ids(src, width) if repeated else of_ids(src, width)
+    return out.select(F.col("doc_id").alias(id_col), "n_shingles", "component_id")
+
+
+def of_repeated_ids(src: DataFrame, width: int) -> DataFrame:
+    """``of_ids`` of the different (id, text), numbered; then the classes that share an id are one."""
+    rows = src.where("doc_id is not null").groupBy("doc_id", F.coalesce("text", F.lit("")).alias("text")).agg(F.count(F.lit(1)).alias("m"))
+    rows = materialise(rows.withColumn("row", F.monotonically_increasing_id()), "rows")
+    own = of_ids(rows.select(F.col("row").alias("doc_id"), "text"), width).select(F.col("doc_id").alias("row"), "n_shingles", F.col("component_id").alias("part"))
+    own = materialise(rows.select("row", "doc_id", "m").join(own, "row"), "parts")
+    first = own.groupBy("doc_id").agg(F.min("part").alias("first"))
+    joins = own.select("doc_id", "part").distinct().join(first, "doc_id").select(F.col("first").alias("a"), F.col("part").alias("b"))
+    named = own.join(components(joins.where("a <> b")), F.col("part") == F.col("node"), "left").withColumn("whole", F.coalesce("component", "part"))
+    named = materialise(named.select("doc_id", "n_shingles", "m", "whole"), "whole")
+    least = materialise(named.groupBy("whole").agg(F.min("doc_id").alias("component_id")), "least")
+    out = named.join(least, "whole").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("m")))).select("doc_id", "n_shingles", "component_id")
+    nameless = of_ids(src.where("doc_id is null"), width)
+    return out.union(nameless.select("doc_id", "n_shingles", "component_id"))
+
+
+def of_ids(src: DataFrame, width: int) -> DataFrame:
+    """(doc_id, n_shingles, component_id) of rows whose ids are different or null."""
+    spark = src.sparkSession
     load = sketch(src, width)
     counts = spark.sparkContext.broadcast(load)  # 4 MB
     signed = materialise(signatures(src, counts, width), "signatures")
@@ -306,4 +325,4 @@ def join(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", width:
     comp = components(light.union(heavy))
     final = smallest.select("class", "rep").join(comp, F.col("rep") == F.col("node"), "left").select("class", F.coalesce("component", "rep").alias("component_id"))
     out = members.where(in_class).join(final, "class", "left").select("doc_id", "n", "component_id").union(members.where(~in_class).select("doc_id", "n", F.col("doc_id")))
-    return out.select(F.col("doc_id").alias(id_col), F.col("n").cast("long").alias("n_shingles"), "component_id")
+    return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id")
