@@ -8,13 +8,16 @@ follows the header line, and only it ends a record. The converter makes of each
 a warcinfo record.
 
 Records that repeat a payload are written as revisits of the record with the largest id. Archives are written by
-Spark's text writer, whose line separator is the end of a WARC record, so that the files are gzipped WARC and a lost
-executor's attempt is written anew; they are read as whole files, each of ``RECORDS_PER_FILE`` records at most.
+Spark's text writer, whose line separator is the end of a WARC record, so that the files are gzipped WARC (one member a
+file) and a lost executor's attempt is written anew. They are read by Spark's text reader as a stream: a task holds one
+record at a time, by its declared length, and ``RECORDS_PER_FILE`` only sets how many tasks there are. Archives of ARC
+records, plain or gzipped with any number of members, are read by ``convert_archives``: a task holds one file as it is
+stored and one record unpacked.
 
 Defined results: a null payload is empty; payloads of fewer than ``least`` bytes are always responses; rows without an
 id take part as a null id (never referred to unless no other row of the payload has an id); rows that repeat an id with
 an equal payload are responses both, as each holds the largest id; a null URL is written as ``urn:page:<id>``; an empty
-table gives no records. Extra columns are not read.
+table gives no records. Pages may be of any length. Extra columns are not read.
 """
 
 from __future__ import annotations
@@ -22,15 +25,17 @@ from __future__ import annotations
 import base64
 import gzip
 import hashlib
+import io
 import re
 import uuid
 from collections.abc import Iterator
+from typing import BinaryIO
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import new_path
+from .common import chunks, new_path
 
 # Fixed values of the two formats.
 ARC_FIELDS = {
@@ -63,17 +68,20 @@ def arc_record(version: int, url: str, date: str, content: bytes, ip: str = "0.0
     return " ".join([clean(url), ip, date, mime, *middle, str(len(content))]).encode("utf-8", "replace") + b"\n" + content + b"\n"
 
 
-def parse_arc(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """(header fields by lower-case name, content) of each record, the version block first."""
-    fields, version, at = None, 1, 0
-    while at < len(data):
-        stop = data.find(b"\n", at)
-        if stop < 0:
+def parse_arc(data: bytes | BinaryIO) -> Iterator[tuple[dict[str, str], bytes]]:
+    """(header fields by lower-case name, content) of each record, the version block first; gzip is unpacked."""
+    stream = io.BufferedReader(io.BytesIO(data)) if isinstance(data, bytes) else io.BufferedReader(data)
+    if stream.peek(2)[:2] == b"\x1f\x8b":
+        stream = gzip.GzipFile(fileobj=stream)
+    fields, version = None, 1
+    while line := stream.readline():
+        if line == b"\n":  # what stands between records
+            continue
+        if not line.endswith(b"\n"):
             raise ValueError("an ARC header line has no end")
-        parts = data[at:stop].decode("utf-8", "replace").split(" ")
-        length = int(parts[-1])
-        content = data[stop + 1 : stop + 1 + length]
-        if len(content) < length:
+        parts = line[:-1].decode("utf-8", "replace").split(" ")
+        content = stream.read(int(parts[-1]))
+        if len(content) < int(parts[-1]):
             raise ValueError("an ARC record is shorter than declared")
         if fields is None:
             if not parts[0].startswith("filedesc://"):
@@ -87,9 +95,6 @@ def parse_arc(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
         # A URL that holds spaces makes the line longer: the other fields count from its end.
         extra = len(parts) - len(fields)
         yield dict(zip(fields, [" ".join(parts[: extra + 1]), *parts[extra + 1 :]], strict=True)) | {"version": str(version)}, content
-        at = stop + 1 + length
-        while data[at : at + 1] == b"\n":
-            at += 1
 
 
 def iso(date: str) -> str:
@@ -131,20 +136,63 @@ def convert(fields: dict[str, str], content: bytes, refers_to: str | None = None
     return warc_record([*head, *extra], block)
 
 
+class Records:
+    """Records of a WARC that comes in pieces, each as (header fields by lower-case name, block) once it is whole."""
+
+    def __init__(self):
+        self.kept, self.size = [], 0
+        self.need = 0  # bytes without which nothing can be said
+
+    def feed(self, piece: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
+        self.kept.append(piece)
+        self.size += len(piece)
+        if self.size < self.need:
+            return
+        data, at = b"".join(self.kept), 0
+        while True:
+            self.need = 0
+            stop = data.find(END, at)
+            if not data.startswith(b"WARC/"[: len(data) - at], at):
+                raise ValueError("no WARC record where one should begin")
+            if stop < 0:
+                break
+            head = dict(((k.strip().lower(), v.strip()) for k, _, v in (x.partition(":") for x in data[at:stop].decode("utf-8", "replace").split("\r\n")[1:])))
+            begin = stop + 4
+            end = begin + int(head["content-length"])
+            if len(data) < end + 4:
+                self.need = end + 4 - at
+                break
+            if data[end : end + 4] != END:
+                raise ValueError("a WARC record does not end where it declares")
+            yield head, data[begin:end]
+            at = end + 4
+        self.kept, self.size = [data[at:]], len(data) - at
+
+    def close(self) -> None:
+        if self.size:
+            raise ValueError("a WARC record has no end")
+
+
 def parse_warc(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
     """(header fields by lower-case name, block) of each record; declared lengths end them."""
-    data, at = gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data, 0
-    while at < len(data):
-        stop = data.find(END, at)
-        if stop < 0 or not data.startswith(b"WARC/", at):
-            raise ValueError("no WARC record where one should begin")
-        head = dict(((k.strip().lower(), v.strip()) for k, _, v in (x.partition(":") for x in data[at:stop].decode("utf-8", "replace").split("\r\n")[1:])))
-        begin = stop + 4
-        at = begin + int(head["content-length"])
-        if data[at : at + 4] != END:
-            raise ValueError("a WARC record does not end where it declares")
-        yield head, data[begin:at]
-        at += 4
+    records = Records()
+    yield from records.feed(gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data)
+    records.close()
+
+
+def convert_archives(spark, path: str) -> DataFrame:
+    """(file, record, kind, url, warc) of each record of the ARC files under ``path``: the WARC record made of it."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for file, data in zip(pdf["path"], pdf["content"], strict=True):
+                for no, (fields, content) in enumerate(parse_arc(data)):
+                    made = convert(fields, content) + END
+                    ((head, _),) = parse_warc(made)
+                    yield pd.DataFrame({"file": [file], "record": [no], "kind": [head["warc-type"]], "url": [fields["url"]], "warc": [made]})
+
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).where(F.col("path").rlike(r"\.arc(\.gz)?$")).select("path", "content")
+    return files.mapInPandas(run, "file string, record long, kind string, url string, warc binary")
 
 
 def write_archives(pages: DataFrame, path: str, least: int = 0, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html") -> None:
@@ -160,48 +208,61 @@ def write_archives(pages: DataFrame, path: str, least: int = 0, id_col: str = "p
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            out = []
-            for i, url, html, last, last_url in zip(pdf["id"], pdf["url"], pdf["html"], pdf["last"], pdf["last_url"], strict=True):
-                payload = html.encode("utf-8", "replace")
-                own, last = None if pd.isna(i) else int(i), None if pd.isna(last) else int(last)
-                again = last is not None and own != last and len(payload) >= least
-                version = 1 + (own or 0) % 2  # both versions of the format occur
-                date = when(own)
-                http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
-                arc = arc_version_block(version, "pages.arc", date) + arc_record(version, url or f"urn:page:{own}", date, http + payload, name="pages.arc")
-                _, (fields, content) = parse_arc(arc)
-                extra = [("WARC-Page-ID", "" if own is None else str(own)), ("WARC-Refers-To-Page-ID", str(last))][: 1 + again]
-                target = record_id(clean(last_url or f"urn:page:{last}"), iso(when(last)), sha1_32(payload)) if again else None
-                out.append(convert(fields, content, target, extra).decode("utf-8"))
-            yield pd.DataFrame({"value": pd.Series(out, dtype=object)})
+            for a, b in chunks([x or "" for x in pdf["html"]]):
+                part, out = pdf.iloc[a:b], []
+                arcs = {v: (io.BytesIO(), []) for v in (1, 2)}  # both versions of the format occur
+                for i, url, html, last, last_url in zip(part["id"], part["url"], part["html"], part["last"], part["last_url"], strict=True):
+                    payload = html.encode("utf-8", "replace")
+                    own, last = None if pd.isna(i) else int(i), None if pd.isna(last) else int(last)
+                    version = 1 + (own or 0) % 2
+                    arc, facts = arcs[version]
+                    if not facts:
+                        arc.write(arc_version_block(version, "pages.arc", when(own)))
+                    http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
+                    arc.write(arc_record(version, url or f"urn:page:{own}", when(own), http + payload, name="pages.arc", offset=arc.tell()))
+                    facts.append((own, last, last_url, last is not None and own != last and len(payload) >= least, sha1_32(payload)))
+                for arc, facts in arcs.values():
+                    if not facts:
+                        continue
+                    arc.seek(0)
+                    records = parse_arc(arc)
+                    next(records)  # the version block
+                    for (fields, content), (own, last, last_url, again, digest) in zip(records, facts, strict=True):
+                        extra = [("WARC-Page-ID", "" if own is None else str(own)), ("WARC-Refers-To-Page-ID", str(last))][: 1 + again]
+                        target = record_id(clean(last_url or f"urn:page:{last}"), iso(when(last)), digest) if again else None
+                        out.append(convert(fields, content, target, extra).decode("utf-8"))
+                yield pd.DataFrame({"value": pd.Series(out, dtype=object)})
 
     joined.mapInPandas(run, "value string").write.option("lineSep", END.decode()).option("maxRecordsPerFile", RECORDS_PER_FILE).option("compression", "gzip").text(path)
 
 
 def read_archives(spark, path: str) -> DataFrame:
-    """(page_id, url, payload_bytes, payload_digest, record_type, refers_to) of each record under ``path``."""
+    """(page_id, url, payload_bytes, payload_digest, record_type, refers_to) of each record under ``path``.
+
+    Lines end where a WARC record may end; what they hold is a stream of bytes again, from file to file.
+    """
+
+    def fact(head: dict[str, str], block: bytes) -> tuple:
+        http, payload = split_http(block)
+        digest = head["warc-payload-digest"].removeprefix("sha1:")
+        if head["warc-type"] == "revisit":  # the payload isn't there: its length stands in the HTTP headers
+            size = int(re.search(rb"(?i)\r\ncontent-length: *(\d+)", http)[1])
+        else:
+            size = len(payload)
+            if sha1_32(payload) != digest:
+                raise ValueError(f"{head['warc-record-id']}: the payload's digest is another")
+        return int(head["warc-page-id"]) if head.get("warc-page-id") else None, head["warc-target-uri"], size, digest, head["warc-type"], int(head["warc-refers-to-page-id"]) if "warc-refers-to-page-id" in head else None
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        records = Records()
         for pdf in batches:
-            for data in pdf["content"]:
-                out = []
-                for head, block in parse_warc(data):
-                    if head["warc-type"] not in ("response", "revisit", "resource"):
-                        continue
-                    http, payload = split_http(block)
-                    digest = head["warc-payload-digest"].removeprefix("sha1:")
-                    if head["warc-type"] == "revisit":  # the payload isn't there: its length stands in the HTTP headers
-                        size = int(re.search(rb"(?i)\r\ncontent-length: *(\d+)", http)[1])
-                    else:
-                        size = len(payload)
-                        if sha1_32(payload) != digest:
-                            raise ValueError(f"{head['warc-record-id']}: the payload's digest is another")
-                    out.append((int(head["warc-page-id"]) if head.get("warc-page-id") else None, head["warc-target-uri"], size, digest, head["warc-type"], int(head["warc-refers-to-page-id"]) if "warc-refers-to-page-id" in head else None))
-                frame = pd.DataFrame(out, columns=["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to"], dtype=object)
-                yield frame.astype({"page_id": "Int64", "payload_bytes": "int64", "refers_to": "Int64"})
-
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("content")
-    return files.mapInPandas(run, "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long")
+            out = [fact(*r) for line in pdf["value"] for r in records.feed(line.encode("utf-8") + END) if r[0]["warc-type"] in ("response", "revisit", "resource")]
+            frame = pd.DataFrame(out, columns=["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to"], dtype=object)
+            yield frame.astype({"page_id": "Int64", "payload_bytes": "int64", "refers_to": "Int64"})
+        records.close()
+
+    lines = spark.read.option("lineSep", END.decode()).option("recursiveFileLookup", "true").text(path)
+    return lines.mapInPandas(run, "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long")
 
 
 def round_trip(pages: DataFrame, least: int = 0) -> DataFrame:
