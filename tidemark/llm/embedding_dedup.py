@@ -34,6 +34,8 @@ MARGIN = 0.16
 #: Width of the confidence bound in standard deviations.
 SIGMAS = 4.0
 BLOCK = 1024
+#: Products of vectors and pivots that are held at once, 16 MB.
+TILE = 1 << 21
 SEED = 7
 
 
@@ -115,8 +117,9 @@ def dealt(found: DataFrame, points, spark) -> DataFrame:
                 turn = turns.setdefault(dim, rotation(dim))
                 p = points.value.get(g)
                 p = np.zeros((1, dim)) if p is None else p
-                for a in range(0, len(x), 2048):
-                    y, own = x[a : a + 2048], part.iloc[a : a + 2048]
+                step = max(1, TILE // len(p))
+                for a in range(0, len(x), step):
+                    y, own = x[a : a + step], part.iloc[a : a + step]
                     dot = y @ p.T
                     home = dot.argmax(axis=1)
                     near = dot >= dot[np.arange(len(y)), home][:, None] - MARGIN
