@@ -9,7 +9,8 @@ at every place, and the words around it are verified.
 
 Defined results: a null text is the empty text: no words, no labels, score 0. Labels are sorted and distinct; ties
 between words of equal frequency go to the lesser word. Rows don't depend on each other but for the frequencies, which
-count every row of the table. An empty table gives an empty table. Columns besides id and text are not read.
+count every row of the table. Rows of a null id or of a repeated one are ordinary rows. Texts may be of any length. An
+empty table gives an empty table. Columns besides id and text are not read.
 """
 
 from __future__ import annotations
@@ -55,6 +56,8 @@ PHRASES = [("cc by", "cc-by"), ("general public license", "gpl"), ("all rights r
 ANCHORS = 8
 #: Words by which a place may be off; words of a template that must stand at their places.
 SLACK, COVERAGE = 2, 0.6
+#: Words that are matched at once.
+WINDOW = 200_000
 
 _fold = bytes(c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else c + 32 if 65 <= c <= 90 else 32 for c in range(256))
 
@@ -136,7 +139,19 @@ class Index:
         return found
 
     def matches(self, code: np.ndarray) -> list[tuple[str, int, float]]:
-        """(label, shift, share of the template's words in place) of each verified candidate."""
+        """(label, shift, share of the template's words in place) of each verified candidate.
+
+        Long texts are gone through in windows that overlap by more than a template, so memory follows the window.
+        """
+        over = 2 * max(len(t) for _, t, _ in self.templates) + 4 * SLACK
+        found = set()
+        for a in range(0, max(len(code), 1), WINDOW):
+            first = max(0, a - over)
+            found |= {(label, shift + first, share) for label, shift, share in self.near(code[first : a + WINDOW + over])}
+        return sorted(found)
+
+    def near(self, code: np.ndarray) -> list[tuple[str, int, float]]:
+        """The candidates of one window."""
         at = np.flatnonzero(self.indexed[code])
         if not len(at):
             return []
