@@ -49,7 +49,8 @@ def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(read(spark, sf_dir, "documents").select("doc_id", "source"))
+    docs = read(spark, sf_dir, "documents").select("doc_id", "source", F.xxhash64("text").alias("tie"))
+    return mixing.mix(docs).drop("tie")
 
 
 def op10_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
