@@ -6,18 +6,22 @@ Jaccard likeness, partitioned by set length, so that pairs whose lengths alone e
 
 Defined results: a text without anchors takes the chains at all its words; a text without words has the empty
 fingerprint. The likeness of two empty fingerprints is 1, of an empty and another 0. Equal texts have equal
-fingerprints. A null text is the empty text. Anchors of equal frequency are taken by the word. Columns besides id and
-text are not read.
+fingerprints. A null text is the empty text. Anchors of equal frequency are taken by the word. Texts may be of any
+length. A single row is its own successor; an empty table gives an empty table. Columns besides id and text are not read.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import json
+
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
+from .common import write_lines
+
 ANCHORS, CHAIN = 24, 3
-#: Ids that are put in order together, to find each row's successor; buckets whose order is found together.
-BUCKET, BUCKETS = 256, 4096
+#: Rows that are put in order together, to find each row's successor; the most such buckets (beyond, they grow).
+BUCKET, MOST_BUCKETS = 32_768, 65_536
 MARK = "\u0001"
 
 
@@ -87,27 +91,61 @@ def near_pairs(docs: DataFrame, least: float = 0.75, text_col: str = "text", id_
     return scored.where(F.col("likeness") >= least), members
 
 
-def edited(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
+def ranges(keys: DataFrame, bucket: int = BUCKET) -> tuple[list[Row], list[Row], int]:
+    """The least and the greatest key of ranges of ``keys(id, h, m)``, in order, nulls first; the greatest ``m``.
+
+    The ranges are dealt from a sample of the keys, so sparse, dense and repeated ids make no difference; none is empty.
+    Two keys of each of ``MOST_BUCKETS`` ranges at most come to the driver.
+    """
+    parts = max(1, min(MOST_BUCKETS, -(-keys.count() // bucket)))
+    dealt = keys.repartitionByRange(parts, F.asc_nulls_first("id"), "h").groupBy(F.spark_partition_id().alias("part"))
+    key = F.struct("id", "h")
+    found = dealt.agg(F.min(key).alias("low"), F.max(key).alias("top"), F.max("m").alias("m")).orderBy("part").collect()
+    return [r["low"] for r in found], [r["top"] for r in found], max((r["m"] for r in found), default=1)
+
+
+def range_of(key: Column, low: list[Row], kind: str) -> Column:
+    """The last range whose least key is not above ``key``: a search by halves, no join."""
+    bounds = F.from_json(F.lit(json.dumps([{"id": r["id"], "h": r["h"]} for r in low], default=str)), f"array<struct<id:{kind},h:bigint>>")
+    steps = F.sequence(F.lit(1), F.lit(max(1, len(low).bit_length())))
+
+    def half(at: Column, _: Column) -> Column:
+        mid = F.floor((at["lo"] + at["hi"] + 1) / 2).cast("int")
+        up = key >= F.get(bounds, mid)
+        return F.when(at["lo"] >= at["hi"], at).otherwise(F.struct(F.when(up, mid).otherwise(at["lo"]).alias("lo"), F.when(up, at["hi"]).otherwise(mid - 1).alias("hi")))
+
+    return F.aggregate(steps, F.struct(F.lit(0).alias("lo"), F.lit(len(low) - 1).alias("hi")), half, lambda at: at["lo"])
+
+
+def edited(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", bucket: int = BUCKET) -> DataFrame:
     """Each row's fingerprint beside that of its edited text and of the next row, in descending order of ids.
 
     The edited text ends with the beginning of the next row's text instead of its own last third. Rows are put in order
-    within buckets of ids; each bucket gets a copy of the next bucket's first row, so that one shuffle of the texts is
-    enough. Null ids come last; equal ids are ordered by their texts.
+    within ranges of ids; each range gets a copy of the next range's first row, so that one shuffle of the texts is
+    enough. Null ids come last; equal ids are ordered by a hash of their texts. Equal rows are one in that order: all
+    but the last of them are followed by an equal row.
     """
     src = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    spark, kind = docs.sparkSession, src.schema["id"].dataType.simpleString()
     common = anchors(src)
-    rows = src.withColumn("bucket", F.coalesce(F.floor(F.col("id") / BUCKET), F.lit(-(2**62))))
-    heads = rows.groupBy("bucket").agg(F.max(F.struct("id", "text")).alias("head"))
-    # Each bucket's successor: within ranges of buckets, and from range to range, a row per BUCKET x BUCKETS ids.
-    order = rows.select("bucket").distinct().withColumn("range", F.floor(F.col("bucket") / BUCKETS))
-    ranges = order.groupBy("range").agg(F.max("bucket").alias("top")).withColumn("below", F.lead("top").over(Window.orderBy(F.desc("range"))))
-    ranges = ranges.select("range", F.coalesce("below", F.max("top").over(Window.partitionBy(F.lit(0)))).alias("below"))
-    inside = order.withColumn("next", F.lead("bucket").over(Window.partitionBy("range").orderBy(F.desc("bucket"))))
-    chain = inside.join(ranges, "range").select(F.coalesce("next", "below").alias("bucket"), F.col("bucket").alias("to"))
-    guests = heads.join(chain, "bucket").select("head.id", "head.text", F.col("to").alias("bucket"), F.lit(True).alias("guest"))
-    every = rows.withColumn("guest", F.lit(False)).unionByName(guests).withColumn("fp", fingerprint(F.col("text"), common))
-    w = Window.partitionBy("bucket").orderBy("guest", F.desc_nulls_last("id"), F.desc("text"))
+    src = src.withColumn("h", F.xxhash64("text"))
+    keys = src.groupBy("id", "h").agg(F.count(F.lit(1)).alias("m"))
+    low, top, most = ranges(keys, bucket)
+    rows = src.withColumn("bucket", range_of(F.struct("id", "h"), low, kind))
+    if most > 1:
+        again = keys.where("m > 1").select(F.col("id").alias("kid"), F.col("h").alias("kh"), "m")
+        rows = rows.dropDuplicates(["id", "h"]).join(again, F.col("id").eqNullSafe(F.col("kid")) & (F.col("h") == F.col("kh")), "left").drop("kid", "kh")
+    # The greatest key of each range names the successor of the next range's last row.
+    lines = (json.dumps({"kid": r["id"], "kh": r["h"], "after": (i + 1) % len(top)}, default=str) for i, r in enumerate(top))
+    heads = F.broadcast(spark.read.schema(f"kid {kind}, kh long, after int").json(write_lines(spark, lines, "heads")))
+    guests = src.join(heads, F.col("id").eqNullSafe(F.col("kid")) & (F.col("h") == F.col("kh"))).groupBy("after").agg(F.min(F.struct("id", "h", "text")).alias("g")).select("g.*", F.col("after").alias("bucket"))
+    every = rows.withColumn("guest", F.lit(False)).unionByName(guests.withColumn("guest", F.lit(True)), allowMissingColumns=True).withColumn("fp", fingerprint(F.col("text"), common))
+    w = Window.partitionBy("bucket").orderBy("guest", F.desc_nulls_last("id"), F.desc("h"))
     ahead = every.withColumns({"next_text": F.lead("text").over(w), "next_fp": F.lead("fp").over(w)}).where("not guest")
+    if most > 1:
+        # The first of a row and its copies is followed by the next row, the others by an equal one.
+        follow = F.transform(F.sequence(F.lit(1), F.coalesce("m", F.lit(1))), lambda k: F.when(k == 1, F.struct("next_text", "next_fp")).otherwise(F.struct(F.col("text").alias("next_text"), F.col("fp").alias("next_fp"))))
+        ahead = ahead.select("id", "text", "fp", F.explode(follow).alias("f")).select("id", "text", "fp", "f.*")
     n = F.length("text")
     cut = F.floor(n / 3).cast("int")
     changed = F.concat(F.substring(F.col("text"), F.lit(1), n - cut), F.substring(F.col("next_text"), F.lit(1), cut))
