@@ -91,3 +91,18 @@ def test_boundary_follows_cost():
     assert ngram_join.boundary({}) == 0
     assert 0 < ngram_join.boundary({4: 1000, 5: 1000, 8: 1000}) <= ngram_join.LIGHT_MOST
     assert ngram_join.boundary({24: 1000}) < 24
+
+
+def test_rows_that_share_an_id_are_one_document(spark):
+    a, b, c = "a b c d e f g", "p q r s t u v w", "k l m n o"
+    rows = [(3, a), (5, a), (5, b), (5, b), (9, b), (9, c), (7, c), (1, "alone in here"), (None, a), (2, None), (2, "alone in here"), (8, ""), (8, None)]
+    got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.join(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=str)
+    want = [(3, 3, 3), (5, 3, 3), (5, 4, 3), (5, 4, 3), (9, 4, 3), (9, 1, 3), (7, 1, 3), (1, 1, 1), (None, 3, None), (2, 0, 1), (2, 1, 1), (8, 0, 8), (8, 0, 8)]
+    assert got == sorted(want, key=str)
+
+
+def test_ids_of_letters_and_a_very_long_text(spark):
+    rnd = random.Random(7)
+    long = [f"w{rnd.randrange(50_000)}" for _ in range(300_000)]
+    rows = [("b", " ".join(long)), ("a", " ".join([*long[:-1], "end"])), ("c", "some other words than those")]
+    assert joined(spark.createDataFrame(rows, "doc_id string, text string")) == brute(rows)

@@ -2,7 +2,9 @@
 
 import base64
 import hashlib
+import itertools
 import random
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -41,6 +43,31 @@ def test_arc_versions(version):
         list(warc.parse_arc(data[:-3]))
 
 
+def test_arc_files_are_converted(spark, tmp_path):
+    import gzip
+
+    pages = [(f"http://h/{i}", b"HTTP/1.1 200 OK\r\nA: b\r\n\r\n" + bytes([i]) * i * 50) for i in range(20)]
+    for version in (1, 2):
+        parts = [warc.arc_version_block(version, f"{version}.arc", "2001")] + [warc.arc_record(version, u, "20020304", c) for u, c in pages]
+        (tmp_path / f"{version}.arc").write_bytes(b"".join(parts))
+        (tmp_path / f"{version}.arc.gz").write_bytes(b"".join(map(gzip.compress, parts)))
+    (tmp_path / "other.txt").write_bytes(b"no archive")
+    got = warc.convert_archives(spark, str(tmp_path)).collect()
+    assert len(got) == 4 * 21 and sum(r.kind == "warcinfo" for r in got) == 4
+    for r in got:
+        ((head, block),) = warc.parse_warc(r.warc)
+        if r.record:
+            assert (r.url, block) == pages[r.record - 1] and head["warc-date"] == "2002-03-04T00:00:00Z" and head["warc-type"] == "response"
+
+
+def test_warc_of_long_pages_and_line_ends(spark):
+    texts = ["\r\n", "\r\n\r\n", "x\r\n\r\n\r\n", "WARC/1.1\r\n\r\n", "\r", "é" * 3_000_000, "a\r\n" * 200_000, ""]
+    df = spark.createDataFrame([(i, None, t) for i, t in enumerate(texts)], "page_id long, url string, html string")
+    got = {r.page_id: r for r in warc.round_trip(df).collect()}
+    for i, t in enumerate(texts):
+        assert got[i].payload_bytes == len(t.encode()) and got[i].payload_digest == warc.sha1_32(t.encode()) and got[i].url == f"urn:page:{i}"
+
+
 def test_mixing_is_never_a_block_away():
     rnd = random.Random(1)
     for _ in range(20):
@@ -61,6 +88,50 @@ def test_mixing_places_every_row_once(spark):
     assert mixing.mix(df.limit(0)).count() == 0
 
 
+def test_mixing_keeps_columns_of_any_name_and_splits_repeated_ids(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "BUCKET_ROWS", 8)
+    monkeypatch.setattr(mixing, "RUN", 4)
+    names = ["s", "h", "g", "b", "r", "row", "no", "slots", "before", "name", "_s", "_h"]
+    rows = [(None if i % 3 == 0 else 7, "abc"[i % 2], *([i] * len(names)), {"k": i}) for i in range(700)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, " + ", ".join(f"{n} int" for n in names) + ", m map<string,int>")
+    got = mixing.mix(df)
+    assert got.columns == [*df.columns, "mix_block", "mix_slot", "mix_position"]
+    out = got.collect()
+    assert sorted(r["_s"] for r in out) == list(range(700)) and all(r[n] == r["_s"] for r in out for n in names) and all(r.m["k"] == r["_s"] for r in out)
+    assert len({r.mix_position for r in out}) == 700
+
+
+def test_mixing_bounds_the_blocks(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "MOST_BLOCKS", 10)
+    df = spark.createDataFrame([(i, f"s{i % 3}") for i in range(1000)], "doc_id long, source string")
+    got = mixing.mix(df).toPandas()
+    assert got.mix_position.is_unique and got.mix_slot.nunique() <= 12 and (got.groupby("mix_slot").source.nunique() == 1).all()
+
+
+def test_mixing_places_against_arithmetic(spark):
+    """Places of all rows from the definition: ranks by hash within a source, the earliest due released block per slot."""
+    rows = [(i, f"s{i % 7 % 3}") for i in range(1500)]
+    weights = {"s0": 5.0, "s1": 2.0, "s2": 0.5}
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, source string"), weights, block_rows=4).orderBy("mix_position").collect()
+    blocks = {s: -(-sum(x == s for _, x in rows) // 4) for s in weights}
+
+    def ideal(v):  # slots used when each source has had v times its weight, or all it has
+        return sum(min(Fraction(weights[s]) * v, blocks[s]) for s in weights)
+
+    done, order = dict.fromkeys(weights, 0), []
+    for slot in range(sum(blocks.values())):
+        due = {}
+        for s, k in done.items():
+            if k < blocks[s] and ideal(k / Fraction(weights[s])) < slot + 1:
+                due[s] = (-(-ideal((k + 1) / Fraction(weights[s])) // 1), -weights[s], s)
+        s = min(due, key=due.get)
+        done[s] += 1
+        order.append(s)
+    assert [x for x, _ in itertools.groupby((r.mix_slot, r.source) for r in got)] == list(enumerate(order))
+    for s in weights:
+        assert [k for _, k in sorted({(r.mix_slot, r.mix_block) for r in got if r.source == s})] == list(range(blocks[s]))
+
+
 def test_mixing_pools_small_sources(spark, monkeypatch):
     monkeypatch.setattr(mixing, "MOST_SOURCES", 2)
     df = spark.createDataFrame([(i, f"s{i % 5}") for i in range(200)], "doc_id long, source string")
@@ -133,6 +204,15 @@ def test_near_vectors_against_brute_force(spark, monkeypatch):
     assert len(got) == len(rows)
 
 
+def test_vectors_of_repeated_ids_clashing_columns_and_none(spark):
+    names = ["id", "v", "key", "group", "weight", "component", "cells"]
+    rows = [(1, [1.0, 0.0], 0), (1, [1.0, 0.0], 0), (2, [1.0, 0.1], 0), (None, [1.0, 0.0], 0), (3, [], 0), (4, [0.0, 1.0], 0)]
+    df = spark.createDataFrame([(*r, *(["x"] * len(names))) for r in rows], "vec_id long, embedding array<double>, label int, " + ", ".join(f"{n} string" for n in names))
+    got = sorted(((r.vec_id, r.n_links, r.component_id) for r in embedding_dedup.near_duplicates(df).collect()), key=str)
+    assert got == [(1, 3, 1), (1, 3, 1), (2, 3, 1), (3, 0, 3), (4, 0, 4), (None, 3, None)]
+    assert embedding_dedup.near_duplicates(df.limit(0)).count() == 0
+
+
 def test_estimates_are_unbiased_and_bounded():
     rnd = np.random.default_rng(3)
     turn = embedding_dedup.rotation(64)

@@ -114,3 +114,101 @@ def test_mail_addresses_of_any_length(spark):
     df = spark.createDataFrame([(0, text)], "doc_id long, text string")
     assert pii.digest(pii.scan(df)).first().spans == listed(private_spans(text)) == f"email:2:{len(text) - 2}"
     assert pii.sanitise(df).first().text == "x <EMAIL> y"
+
+
+def test_a_great_many_matches_in_one_text(spark):
+    text = "".join(f"é{i} a{i}@b.cd token=abcdef{i} " for i in range(40_000))
+    df = spark.createDataFrame([(0, text), (1, None)], "doc_id long, text string")
+    want = [s for s in private_spans(text) if s[2] == "email"]
+    got = pii.digest(pii.scan(df)).where("doc_id = 0").first()
+    assert got.n_email == len(want) == 40_000 and [x for x in got.spans.split(",") if x.startswith("email")] == listed(want).split(",")
+    assert secrets.digest(secrets.scan(df)).where("doc_id = 0").first().spans == listed(secret_spans(text))
+    clean = pii.sanitise(df).where("doc_id = 0").first().text
+    assert clean.count("<EMAIL>") == 40_000 and "@" not in clean and clean.startswith("é0 <EMAIL> token=abcdef0 ")
+
+
+def test_columns_of_any_name_are_kept(spark):
+    names = ["mark", "base", "near", "rest", "told", "terms", "found", "row", "own_id", "own_mark", "_mark", "_id", "_hash", "_spans", "spans", "rules", "cand_id"]
+    df = spark.createDataFrame([(i, f"mail a{i}@b.cd", *([i] * len(names))) for i in range(5)], "doc_id long, text string, " + ", ".join(f"{n} int" for n in names))
+    clean = pii.sanitise(df)
+    assert clean.columns == df.columns
+    for r in clean.collect():
+        assert r.text == "mail <EMAIL>" and all(r[n] == r.doc_id for n in names)
+    assert pii.digest(pii.scan(df)).count() == secrets.digest(secrets.scan(df)).count() == 5
+
+
+def test_spans_that_overlap_are_replaced_whole(spark):
+    rows = [(0, "x 4111 1111 1111 1111@b.cd y"), (1, "+1 555 123 4567@b.cd"), (2, "10.0.0.1@b.cd")]
+    for r in pii.sanitise(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        assert not private_spans(r.text) and not any(c.isdigit() for c in r.text.replace("x", "")), r.text
+
+
+def test_long_user_names_and_ties(spark):
+    rows = [(0, "ftp://" + "u" * 200 + ":" + "p" * 300 + "@host"), (1, "same"), (1, "same"), (None, None)]
+    got = secrets.digest(secrets.scan(spark.createDataFrame(rows, "doc_id long, text string"))).collect()
+    assert sorted(r.spans for r in got) == ["", "", "", "url_password:3:508"]
+
+
+def disclosed(rows):
+    """The terms that tell of an entity, by the definition, in Python: (text, term) pairs."""
+    from collections import defaultdict
+    from math import log2
+
+    n = len(rows)
+    term = lambda t: {w.lower() for w in re.findall(r"[^\W\d_]{4,}", t)}
+    df = defaultdict(int)
+    for _, t in rows:
+        for w in term(t):
+            df[w] += 1
+    entity_df, texts, sides, held = defaultdict(int), defaultdict(set), defaultdict(set), {}
+    for _, t in rows:
+        spans = [s for s in sorted(private_spans(t))]
+        rest = t
+        for a, _, _, b in spans:
+            rest = rest[:a] + " " * (b - a) + rest[b:]
+        names = {f"{k}:{t[a:b].lower()}" for a, _, k, b in spans}
+        held[t] = (names, term(rest))
+        for e in names:
+            entity_df[e] += 1
+        for a, _, k, b in spans:
+            before, after = t[max(a - pii.NEAR, 0) : a], t[b : b + pii.NEAR]
+            before = re.sub(r"^\S+", "", before) if a > pii.NEAR else before
+            after = re.sub(r"\S+$", "", after) if len(after) == pii.NEAR else after
+            for w in term(before) | term(after):
+                sides[f"{k}:{t[a:b].lower()}", w].add((before, after))
+    for t, (names, words) in held.items():
+        for e in names:
+            for w in words:
+                texts[e, w].add(t)
+    out = set()
+    for t, (names, words) in held.items():
+        for e in names:
+            for w in words:
+                far = len(texts[e, w]) if min(df[w], entity_df[e]) >= 2 else 0
+                co = max(far if far >= 2 else 0, len(sides[e, w]) if len(sides[e, w]) >= 2 else 0)
+                if co and entity_df[e] < n:
+                    share = log2(n * min(co, df[w], entity_df[e]) / (df[w] * entity_df[e])) / log2(n / entity_df[e])
+                    if share >= pii.DISCLOSES:
+                        out.add((t, w))
+    return out
+
+
+def test_disclosed_terms_against_the_definition(spark):
+    rnd = random.Random(8)
+    names, words = [f"p{i}@h.io" for i in range(12)], [f"term{'abcdefghij'[i % 10]}{'klmnopqrst'[i // 10]}" for i in range(60)]
+    rows = []
+    for i in range(260):
+        who = rnd.randrange(12) if rnd.random() < 0.5 else None
+        text = [rnd.choice(words) for _ in range(rnd.randint(0, 25))]
+        if who is not None:
+            text += [f"secretname{'abcdefghijkl'[who]}"] * (rnd.random() < 0.8)
+            rnd.shuffle(text)
+            text.insert(rnd.randrange(len(text) + 1), names[who])
+        rows.append((i, " ".join(text)))
+    rows += [(300 + i, rows[i][1]) for i in range(40)]
+    want = disclosed(rows)
+    got = {r.doc_id: r.spans for r in pii.digest(pii.scan(spark.createDataFrame(rows, "doc_id long, text string"))).collect()}
+    assert len(want) > 30
+    for i, t in rows:
+        spans = [x.split(":") for x in got[i].split(",") if x.startswith("term:")]
+        assert {t[int(a) : int(b)].lower() for _, a, b in spans} == {w for x, w in want if x == t}, t

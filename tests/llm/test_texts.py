@@ -83,6 +83,24 @@ def test_spotsigs_against_brute_force(spark):
     assert got[rows[4][0]].fingerprint == got[rows[5][0]].fingerprint
 
 
+def test_spotsigs_of_sparse_null_and_repeated_ids(spark):
+    rnd = random.Random(3)
+    words = ["the", "of", "and", *(f"word{i}" for i in range(40)), "é😀"]
+    text = lambda: " ".join(rnd.choice(words) for _ in range(rnd.randint(0, 30)))
+    rows = [(rnd.randrange(-(2**62), 2**62), text()) for _ in range(80)] + [(None, text()) for _ in range(50)] + [(11, text()) for _ in range(20)] + [(12, "the same copy")] * 40 + [(None, None)] * 9
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    out = spotsigs.edited(df, bucket=16)
+    assert "SinglePartition" not in out._jdf.queryExecution().toString()
+    got = Counter((r.doc_id, r.n_chars, r.edited_sha256) for r in out.collect())
+    hashed = lambda t: (lambda h: h - 2**64 if h >= 2**63 else h)(xxhash.xxh64_intdigest(t.encode(), seed=42))
+    order = sorted(((i, t or "") for i, t in rows), key=lambda r: (r[0] is not None, r[0] or 0, hashed(r[1])), reverse=True)
+    want = Counter()
+    for k, (i, t) in enumerate(order):
+        cut = len(t) // 3
+        want[i, len(t), hashlib.sha256((t[: len(t) - cut] + order[(k + 1) % len(order)][1][:cut]).encode()).hexdigest()] += 1
+    assert got == want
+
+
 def test_spotsigs_pairs_and_edges(spark):
     rnd = random.Random(8)
     base = [rnd.choice(["the", "of", f"q{rnd.randrange(400)}", f"q{rnd.randrange(400)}"]) for _ in range(300)]
@@ -145,3 +163,75 @@ def test_toxicity_edges(spark):
     assert out[1] == 1.0 and out[2] == out[None] == out[3] == 0.0
     x, y = toxicity.isotonic(np.array([0.0, 1, 2, 3]), np.array([0.0, 1, 0, 1]))
     assert y.tolist() == [0, 0.5, 1] and x.tolist() == [0, 1.5, 3]
+
+
+def test_isotonic_pools_equal_margins():
+    x, y = toxicity.isotonic(np.array([0.0, 0, 0, 1]), np.array([0.0, 1, 1, 1]))
+    assert np.interp(0, x, y) == 2 / 3 and np.interp(1, x, y) == 1
+
+
+def test_toxicity_with_repeated_ids_long_texts_and_clashing_columns(spark):
+    docs = [(i, f"you idiot number {i}" if i % 3 == 0 else f"a fine day number {i}") for i in range(300)] + [(0, f"other text {k}") for k in range(500)] + [(0, "other text 1")] * 300
+    docs += [(9000, "you idiot " * 300_000), (9001, None), (9002, "")]
+    labels = spark.createDataFrame([(i, 1, int(i % 3 == 0)) for i in range(300)] + [(0, 1, 0), (5, 1, None), (None, 1, 1)], "doc_id long, quality int, toxic int")
+    names = ["score", "predicted", "id", "y", "half", "label", "toxic", "m"]
+    df = spark.createDataFrame([(*r, *(["v"] * len(names))) for r in docs], "doc_id long, text string, " + ", ".join(f"{n} string" for n in names))
+    got = toxicity.score(df, toxicity.fit(df, labels, sample_rows=400))
+    out = got.collect()
+    assert len(out) == len(docs) and all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.3) and r.id == r.m == "v" for r in out)
+    assert toxicity.score(df.limit(0), toxicity.fit(df.limit(0), labels)).count() == 0
+    assert next(r.score for r in out if r.doc_id == 9001) == next(r.score for r in out if r.doc_id == 9002)
+
+
+def test_encoding_edges(spark):
+    long = "lorem ipsum 42 " * 40_000
+    names = ["ids", "n_tokens", "t"]
+    rows = [(0, long, "v", "v", "v"), (None, "x", "v", "v", "v"), (0, long, "v", "v", "v"), (1, "ab" * 30_000, "v", "v", "v")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"{n} string" for n in names))
+    for r in sentencepiece_bpe.digests(df, PATH).collect():
+        ids = LIB.encode(next(t for i, t, *_ in rows if i == r.doc_id), add_bos=True, add_eos=True)
+        assert r.n_tokens == len(ids) and r.ids_sha256 == hashlib.sha256(np.array(ids, dtype="<u4").tobytes()).hexdigest()
+
+
+def test_licenses_edges(spark, monkeypatch):
+    gaps = " xyzzy license" * 300 + " "
+    text = gaps.join(t for _, t, _ in licenses.TEMPLATES)
+    names = ["id", "word", "n", "n_words", "labels"]
+    rows = [(1, text), (1, text), (None, "general public license"), (2, "general public license " * 100_000)]
+    df = spark.createDataFrame([(*r, *(["v"] * len(names))) for r in rows], "doc_id long, text string, " + ", ".join(f"{n} string" for n in names))
+    got = licenses.scan(df).collect()
+    assert [r.labels for r in got if r.doc_id == 1] == [",".join(sorted({x for x, _, _ in licenses.TEMPLATES}))] * 2
+    assert [(r.n_base, r.first_word, r.last_word) for r in got if r.doc_id == 2] == [(100_000, 0, 299_997)]
+    code = licenses.codes(licenses.words(text))
+    index = licenses.Index(10, np.ones(len(licenses.VOCABULARY) + 1))
+    best = lambda found: {(x, s): max(c for y, t, c in found if (y, t) == (x, s)) for x, s, _ in found}
+    whole = best(index.matches(code))
+    monkeypatch.setattr(licenses, "WINDOW", 97)
+    parts = best(index.matches(code))
+    assert len(whole) >= 18 and whole.items() <= parts.items()
+
+
+def test_license_labels_and_scores_against_the_definition(spark):
+    """A template counts where its key phrases stand and enough of its words are in place, whatever the candidates."""
+    rnd = random.Random(4)
+    rows = []
+    for i in range(120):
+        _, t, _ = rnd.choice(licenses.TEMPLATES)
+        w = [rnd.choice(["lorem", "x1"]) if rnd.random() < 0.15 else x for x in t.split()]
+        rows.append((i, " ".join([*["pad"] * rnd.randint(0, 9), *w, *["pad"] * rnd.randint(0, 9)])))
+    got = {r.doc_id: r for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, t in rows:
+        w, found = t.split(), {}
+        for label, template, keys in licenses.TEMPLATES:
+            x = template.split()
+            for shift in range(-len(x), len(w)):
+                lo, hi = max(shift - licenses.SLACK, 0), min(shift + len(x) + licenses.SLACK, len(w))
+                if hi > lo and all(f" {k} " in f" {' '.join(w[lo:hi])} " for k in keys):
+                    share = sum(any(0 <= shift + p + d < len(w) and w[shift + p + d] == c for d in range(-licenses.SLACK, licenses.SLACK + 1)) for p, c in enumerate(x)) / len(x)
+                    if share >= licenses.COVERAGE:
+                        found[label] = max(found.get(label, 0), share)
+        base = {label for p, label in licenses.PHRASES if f" {p} " in f" {t} "}
+        labels = set(got[i].labels.split(",")) - {""}
+        # The index may miss a template whose rare words are gone; it never adds one.
+        assert base <= labels <= set(found) | base
+        assert got[i].score <= max([1.0] * bool(base) + list(found.values()), default=0) + 1e-9
