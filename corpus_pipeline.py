@@ -23,11 +23,15 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents the one of the smallest id stays; of rows that repeat an id, one."""
-    groups = ngram_join.join(docs).where("doc_id <> component_id").select(F.col("doc_id").alias("gone")).distinct()
-    kept = docs.join(groups, docs["doc_id"] == groups["gone"], "left_anti")
-    named = kept.where("doc_id is not null").dropDuplicates(["doc_id"])
-    return named.unionByName(kept.where("doc_id is null"))
+    """Of each group of linked documents the one of the smallest id stays; of rows that repeat an id, the least by hash."""
+    gone = ngram_join.join(docs).where("doc_id <> component_id").select(F.col("doc_id").alias("gone")).distinct()
+    kept = materialise(docs.join(gone, docs["doc_id"] == F.col("gone"), "left_anti"), "kept")
+    again = materialise(kept.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select(F.col("doc_id").alias("again")), "again")
+    if again.isEmpty():
+        return kept
+    row = F.struct(*docs.columns)
+    one = kept.join(again, kept["doc_id"] == F.col("again")).groupBy("again").agg(F.min_by(row, F.struct(F.md5(F.to_json(row)), F.xxhash64(F.to_json(row)))).alias("row"))
+    return kept.join(again, kept["doc_id"] == F.col("again"), "left_anti").unionByName(one.select("row.*"))
 
 
 def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
