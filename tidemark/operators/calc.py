@@ -5,29 +5,43 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import exact
 from ..functions.ranges import RangeError
 
-OPS = {"sum": F.sum, "count": F.count, "min": F.min, "max": F.max}
-
-
 def calculate(frame: DataFrame, values: dict[str, dict], by: list[str], time: str | None = None) -> DataFrame:
-    """``values``: column -> {op, as?}. first and last need the frame's one time column."""
-    aggs = []
-    for column, v in values.items():
-        name, op = v.get("as", column), v["op"]
+    """``values``: column -> {op, as?}. first and last need the frame's one time column.
+
+    Sums and means of doubles are exact and rounded once, those of decimals and whole numbers exact to the last digit.
+    """
+    kinds = dict(frame.dtypes)
+    totals, others, final = {}, {}, []
+    for i, (column, v) in enumerate(values.items()):
+        name, op, own = v.get("as", column), v["op"], f"_v{i}"
         if name in by:
             raise RangeError(f"{name!r} is a value and a group")
+        floats = kinds[column] in ("double", "float")
         if op in ("first", "last"):
             if time is None:
                 raise RangeError(f"{op} needs exactly one time column")
-            aggs.append((F.min_by if op == "first" else F.max_by)(column, time).alias(name))
-        elif op == "avg":
-            aggs.append(F.round(F.sum(F.col(column).cast("decimal(38,6)")).cast("double") / F.count(column), 6).alias(name))
-        elif op == "sum":
-            aggs.append(F.sum(F.col(column).cast("decimal(18,2)")).cast("double").alias(name))
+            how = "min" if op == "first" else "max"
+            others[own] = (getattr(F, how)(F.struct(F.col(time).alias("at"), F.col(column).alias("value"))), how)
+            final.append(F.col(own)["value"].alias(name))
+        elif op in ("sum", "avg"):
+            if floats:
+                totals[own] = [F.col(column)]
+            else:
+                others[own] = (F.sum(column), "sum")
+            others[f"{own}_n"] = (F.count(column), "sum")
+            total = F.col(own).cast("double") if op == "avg" or kinds[column].startswith("decimal") else F.col(own)
+            final.append((total / F.nullif(f"{own}_n", F.lit(0)) if op == "avg" else total).alias(name))
+        elif op in ("count", "min", "max"):
+            others[own] = (getattr(F, op)(column), "sum" if op == "count" else op)
+            final.append(F.col(own).alias(name))
         else:
-            aggs.append(OPS[op](column).alias(name))
-    return frame.groupBy(*by).agg(*aggs)
+            raise RangeError(f"no calculation {op!r}")
+    if not totals:
+        return frame.groupBy(*by).agg(*(a.alias(n) for n, (a, _) in others.items())).select(*by, *final)
+    return exact.sums(frame, by, totals, others).select(*by, *final)
 
 
 def one_unit(frame: DataFrame, unit: str, by: list[str]) -> DataFrame:

@@ -1,22 +1,20 @@
 """Time series: ingest rules, label conditions, bucket aggregates by the step rule, percentiles, rollups, names.
 
 Samples are a DataFrame (name, kind, labels map<string,string>, us long, value double, seq long); ``us`` is
-microseconds since 1970. Sums are taken in DECIMAL where values have fixed digits (``money``), so that they do not
-depend on partitioning; ``exact_sum`` gives the correctly rounded sum of any doubles.
+microseconds since 1970. Sums of values are exact and rounded once (``functions.exact``): they do not depend on
+partitioning, lose no digits, and are infinite past a double.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import exact
 from ..functions.ranges import RangeError, bucket, within
 
-MONEY = "decimal(18,2)"
-
 
 def dedupe(samples: DataFrame) -> DataFrame:
     """Of samples with one time in one series, the last written."""
@@ -77,19 +75,25 @@ def group_key(by: list[str] | None = None, without: list[str] | None = None) ->
 
 
 def steps(samples: DataFrame) -> DataFrame:
-    """Counter steps: ``step`` (what was added since the sample before; null for the first), ``reset``, ``before``."""
+    """The sample before each in its series: ``prev`` and ``before``, its value and time, and whether ``reset`` (0 or 1)."""
     w = Window.partitionBy("name", series_key()).orderBy("us", "seq")
-    prev = F.lag("value").over(w)
-    return samples.withColumns({"prev": prev, "before": F.lag("us").over(w)}).withColumns({
-        "step": F.when(F.col("prev").isNull(), None).when(F.col("value") >= F.col("prev"), F.col("value").cast(MONEY) - F.col("prev").cast(MONEY)).otherwise(F.col("value").cast(MONEY)),
-        "reset": F.coalesce((F.col("value") < F.col("prev")).cast("long"), F.lit(0)),
-    })
+    return samples.withColumns({"prev": F.lag("value").over(w), "before": F.lag("us").over(w)}).withColumn("reset", F.coalesce((F.col("value") < F.col("prev")).cast("long"), F.lit(0)))
+
+
+def with_last(samples: DataFrame, begin: int, end: int, back: int | None = None) -> DataFrame:
+    """The samples of the range, and of each series the newest one before it, at most ``back`` older.
+
+    Older samples meet before the shuffle: one row per series and task, not the history.
+    """
+    old = samples.where(F.col("us") < begin)
+    old = old if back is None else old.where(F.col("us") >= begin - back)
+    row = F.struct(*samples.columns)
+    newest = old.groupBy("name", series_key().alias("_series")).agg(F.max_by(row, F.struct("us", "seq")).alias("_row"))
+    return samples.where(within(F.col("us"), begin, end)).unionByName(newest.select("_row.*"))
 
 
 GAUGE = {
     "count": lambda: F.count(F.lit(1)),
-    "sum": lambda: F.sum(F.col("value").cast(MONEY)).cast("double"),
-    "avg": lambda: F.sum(F.col("value").cast(MONEY)).cast("double") / F.count("value"),
     "min": lambda: F.min("value"),
     "max": lambda: F.max("value"),
     "first": lambda: F.min_by("value", F.struct("us", "seq")),
@@ -97,34 +101,41 @@ GAUGE = {
 }
 
 
-def aggregate(samples: DataFrame, op: str, begin: int, end: int, every: int | None = None, by: list[str] | None = None, without: list[str] | None = None) -> DataFrame:
+def aggregate(samples: DataFrame, op: str, begin: int, end: int, every: int | None = None, by: list[str] | None = None, without: list[str] | None = None, back: int | None = None) -> DataFrame:
     """(name, kind, grp, at, value, samples, resets, partial, gap); empty buckets are absent.
 
     Increase, rate and delta count each step in the bucket where it ends; the step before the range's first sample
-    begins at the newest sample before the range, so samples before ``begin`` are read for it, and only for it.
+    begins at the newest sample before the range (``back`` older at most: what retention keeps), so older samples are
+    read for it, and only one per series goes on. Steps are not rounded: what is added are the values themselves.
     """
     every = every or 0
     at = bucket(F.col("us"), every) if every else F.lit(begin)
+    keys, none = ["name", "kind", "grp", "at"], {"resets": F.lit(0).cast("long"), "gap": F.lit(False)}
+    many = {"samples": (F.count(F.lit(1)), "sum")}
+    value, prev = F.col("value"), F.col("prev")
     if op in ("increase", "rate", "delta", "resets"):
-        s = steps(samples.where(F.col("us") < end)).where(within(F.col("us"), begin, end))
-        if op == "delta":
-            s = s.withColumn("step", F.col("value").cast(MONEY) - F.col("prev").cast(MONEY))
-        s = s.withColumns({"at": at, "grp": group_key(by, without)})
+        s = steps(with_last(samples, begin, end, back)).where(within(F.col("us"), begin, end)).withColumns({"at": at, "grp": group_key(by, without)})
         late = F.coalesce(bucket(F.col("before"), every) < F.col("at") - every, F.lit(False)) if every else F.lit(False)
-        out = s.groupBy("name", "kind", "grp", "at").agg(F.coalesce(F.sum("step"), F.lit(0)).cast("double").alias("value"), F.count(F.lit(1)).alias("samples"), F.sum("reset").alias("resets"), F.max(late).alias("gap"))
+        less = prev.isNotNull() if op == "delta" else value >= prev
+        out = exact.sums(s, keys, {"value": [F.when(prev.isNotNull(), value), F.when(less, -prev)]}, many | {"resets": (F.sum("reset"), "sum"), "gap": (F.max(late), "max")})
+        out = out.withColumn("value", F.coalesce("value", F.lit(0.0)))
         if op == "resets":
             out = out.withColumn("value", F.col("resets").cast("double"))
         if op == "rate":
             right = F.least(F.col("at") + every, F.lit(end)) if every else F.lit(end)
-            out = out.withColumn("value", F.col("value") / ((right - F.greatest(F.col("at"), F.lit(begin))) / 1e6))
+            out = out.withColumn("value", value / ((right - F.greatest(F.col("at"), F.lit(begin))) / 1e6))
     elif op in ("first", "last"):
         # Per series first; over a group the series' values add.
         s = samples.where(within(F.col("us"), begin, end)).withColumns({"at": at, "grp": group_key(by, without), "series": series_key()})
-        own = s.groupBy("name", "kind", "grp", "series", "at").agg(GAUGE[op]().cast(MONEY).alias("v"), F.count(F.lit(1)).alias("n"))
-        out = own.groupBy("name", "kind", "grp", "at").agg(F.sum("v").cast("double").alias("value"), F.sum("n").alias("samples")).withColumns({"resets": F.lit(0).cast("long"), "gap": F.lit(False)})
+        own = s.groupBy("name", "kind", "grp", "series", "at").agg(GAUGE[op]().alias("value"), F.count(F.lit(1)).alias("n"))
+        out = exact.sums(own, keys, {"value": [value]}, {"samples": (F.sum("n"), "sum")}).withColumns(none)
+    elif op in ("sum", "avg"):
+        s = samples.where(within(F.col("us"), begin, end)).withColumns({"at": at, "grp": group_key(by, without)})
+        out = exact.sums(s, keys, {"value": [value]}, many | {"known": (F.count("value"), "sum")}).withColumns(none)
+        out = out.withColumn("value", value / F.nullif("known", F.lit(0))) if op == "avg" else out
     elif op in GAUGE:
         s = samples.where(within(F.col("us"), begin, end)).withColumns({"at": at, "grp": group_key(by, without)})
-        out = s.groupBy("name", "kind", "grp", "at").agg(GAUGE[op]().alias("value"), F.count(F.lit(1)).alias("samples")).withColumns({"resets": F.lit(0).cast("long"), "gap": F.lit(False)})
+        out = s.groupBy(*keys).agg(GAUGE[op]().alias("value"), F.count(F.lit(1)).alias("samples")).withColumns(none)
     else:
         raise RangeError(f"no aggregate {op!r}")
     cut = (F.col("at") < begin) | (F.col("at") + every > end) if every else F.lit(False)
@@ -139,33 +150,8 @@ def nearest_rank(df: DataFrame, keys: list[str], value: str, num: int, den: int)
 
 
 def exact_sum(df: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """Correctly rounded sums of doubles, whatever the partitioning: whole numbers of 2^-1074, added exactly.
-
-    Partial sums leave the map side as decimal text, so that a hot key is a row per batch; only those meet.
-    """
-
-    def units(x: float) -> int:
-        n, d = float(x).as_integer_ratio()
-        return n * (1 << 1074) // d
-
-    def partial(batches):
-        for pdf in batches:
-            pdf = pdf.dropna(subset=[value])
-            if (pdf[value].abs() == float("inf")).any():
-                raise ValueError("a value is not finite")
-            if len(pdf):
-                yield pdf.groupby(keys, dropna=False)[value].agg(lambda s: str(sum(map(units, s)))).reset_index()
-
-    def total(pdf: pd.DataFrame) -> pd.DataFrame:
-        n = sum(int(x) for x in pdf[value])
-        try:
-            out = n / (1 << 1074)
-        except OverflowError:
-            out = float("inf") if n > 0 else float("-inf")
-        return pdf[keys].iloc[:1].assign(**{value: out + 0.0})
-
-    kinds = ", ".join(f"{k} {df.schema[k].dataType.simpleString()}" for k in keys)
-    return df.select(*keys, F.col(value).cast("double").alias(value)).mapInPandas(partial, f"{kinds}, {value} string").groupBy(*keys).applyInPandas(total, f"{kinds}, {value} double")
+    """Correctly rounded sums of doubles, whatever the partitioning."""
+    return exact.sums(df, keys, {value: [F.col(value)]})
 
 
 def cumulative(df: DataFrame, keys: list[str], value: str, bounds: list[float]) -> DataFrame:
@@ -215,16 +201,18 @@ def coarser(hist: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def rollup(samples: DataFrame, every: int, keys: list[str]) -> DataFrame:
-    """Per bucket what coarser buckets can be made of."""
-    v = F.col("value").cast(MONEY)
-    order = F.struct("us", "seq")
-    return samples.groupBy(*keys, bucket(F.col("us"), every).alias("at")).agg(F.count(F.lit(1)).alias("n"), F.sum(v).alias("total"), F.min("value").alias("low"), F.max("value").alias("high"), F.min_by("value", order).alias("first"), F.max_by("value", order).alias("last"))
+    """Per bucket what coarser buckets can be made of: ``total_parts`` hold the sum with all its digits."""
+    order = F.struct("us", "seq", "value")
+    others = {"n": (F.count(F.lit(1)), "sum"), "low": (F.min("value"), "min"), "high": (F.max("value"), "max"), "first": (F.min(order), "min"), "last": (F.max(order), "max")}
+    out = exact.sums(samples.withColumn("at", bucket(F.col("us"), every)), [*keys, "at"], {"total": [F.col("value")]}, others, parts=True)
+    return out.withColumns({"first": F.col("first.value"), "last": F.col("last.value")})
 
 
 def roll_again(rolled: DataFrame, fine: int, coarse: int, keys: list[str]) -> DataFrame:
     if coarse % fine:
         raise RangeError("a coarser span must be a whole multiple of the finer one")
-    return rolled.groupBy(*keys, bucket(F.col("at"), coarse).alias("at")).agg(F.sum("n").alias("n"), F.sum("total").cast("double").alias("total"), F.min("low").alias("low"), F.max("high").alias("high"), F.min_by("first", "at").alias("first"), F.max_by("last", "at").alias("last"))
+    others = {"n": (F.sum("n"), "sum"), "low": (F.min("low"), "min"), "high": (F.max("high"), "max"), "first": (F.min_by("first", "fine"), "min"), "last": (F.max_by("last", "fine"), "max")}
+    return exact.again(rolled.withColumnRenamed("at", "fine").withColumn("at", bucket(F.col("fine"), coarse)), [*keys, "at"], "total", others)
 
 
 def latest(samples: DataFrame, begin: int, end: int) -> DataFrame:
@@ -233,6 +221,17 @@ def latest(samples: DataFrame, begin: int, end: int) -> DataFrame:
     return samples.where(within(F.col("us"), begin, end)).groupBy("name", series_key().alias("series")).agg(F.max("us").alias("us"), F.max_by("value", order).alias("value"))
 
 
+def page(samples: DataFrame, limit: int, cursor: tuple | None = None) -> DataFrame:
+    """The next ``limit`` samples in the order of (name, series, us, seq), after ``cursor``, the last of the page before."""
+    if not 0 < limit <= 100_000:
+        raise RangeError("between 1 and 100000 samples")
+    s = samples.withColumn("series", series_key())
+    order = ["name", "series", "us", "seq"]
+    if cursor is not None:
+        s = s.where(F.struct(*order) > F.struct(*(F.lit(v).cast(s.schema[c].dataType) for c, v in zip(order, cursor, strict=True))))
+    return s.orderBy(*order).limit(limit)
+
+
 def before_range(samples: DataFrame, begin: int) -> DataFrame:
     """The newest sample of each series before the range."""
     return latest(samples, -(2**62), begin)

@@ -7,11 +7,13 @@ trace_id).
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import exact
 from ..functions.ranges import RangeError, bucket
 
 # Levels in order.
@@ -79,15 +81,26 @@ def top(events: DataFrame, value: Column, limit: int = 10) -> DataFrame:
 
 
 def aggregate(events: DataFrame, every: int | None, by: list[str], stats: dict[str, Column] | None = None, distinct: dict[str, Column] | None = None) -> DataFrame:
-    """A row per span and keys: count, statistics over numeric values, numbers of different values."""
-    aggs = [F.count(F.lit(1)).alias("n")]
-    for name, c in (stats or {}).items():
-        v = F.try_to_number(c.cast("string"), F.lit("S999999999999D999999")) if c is None else c.cast("double")
-        aggs += [F.count(v).alias(f"{name}_samples"), F.sum(v.cast("decimal(38,6)")).cast("double").alias(f"{name}_sum"), F.min(v).alias(f"{name}_min"), F.max(v).alias(f"{name}_max"), F.round(F.sum(v.cast("decimal(38,6)")).cast("double") / F.count(v), 6).alias(f"{name}_avg")]
-    for name, c in (distinct or {}).items():
-        aggs.append(F.count_distinct(c).alias(f"{name}_distinct"))
+    """A row per span and keys: count, statistics over numeric values, numbers of different values. Sums are exact."""
     keys = ([bucket(F.col("us"), every).alias("at_us")] if every else []) + [F.col(b) for b in by]
-    return events.groupBy(*keys).agg(*aggs)
+    names = ["at_us"] * bool(every) + by
+    values = {n: c.cast("double").alias(f"_s_{n}") for n, c in (stats or {}).items()}
+    rows = events.select(*keys, *values.values(), *(c.alias(f"_d_{n}") for n, c in (distinct or {}).items()))
+    others = {"n": (F.count(F.lit(1)), "sum")}
+    for n in values:
+        v = F.col(f"_s_{n}")
+        others |= {f"{n}_samples": (F.count(v), "sum"), f"{n}_min": (F.min(v), "min"), f"{n}_max": (F.max(v), "max")}
+    if values:
+        out = exact.sums(rows, names, {f"{n}_sum": [F.col(f"_s_{n}")] for n in values}, others)
+        out = out.withColumns({f"{n}_avg": F.round(F.col(f"{n}_sum") / F.nullif(f"{n}_samples", F.lit(0)), 6) for n in values})
+        out = out.select(*names, "n", *(f"{n}_{x}" for n in values for x in ("samples", "sum", "min", "max", "avg")))
+    else:
+        out = rows.groupBy(*names).agg(F.count(F.lit(1)).alias("n"), *(F.count_distinct(f"_d_{n}").alias(f"{n}_distinct") for n in distinct or {}))
+    if values and distinct:
+        few = rows.groupBy(*(F.col(k).alias(f"_{k}") for k in names)).agg(*(F.count_distinct(f"_d_{n}").alias(f"{n}_distinct") for n in distinct))
+        same = reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(f"_{k}")) for k in names), F.lit(True))
+        out = out.join(few, same).drop(*(f"_{k}" for k in names))
+    return out
 
 
 def field_names(events: DataFrame, json: str) -> DataFrame:

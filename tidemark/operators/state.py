@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import exact
+
 
 def latest(log: DataFrame, key: str, version: str, now: int | None = None, expires: str | None = None) -> DataFrame:
     """The newest version of each key; what has expired is absent. Newest per key meets before the shuffle."""
@@ -109,7 +111,8 @@ def instruments(increments: DataFrame, keys: list[str], at: str, amount: str, ev
     sets = increments.groupBy(*keys).agg(F.min(at).alias("_first")).orderBy("_first", *keys).limit(most_sets).drop("_first").withColumn("_in", F.lit(True))
     tagged = increments.join(F.broadcast(sets), keys, "left")  # at most ``most_sets`` rows
     named = [F.when(F.col("_in"), F.col(k).cast("string")).otherwise("__overflow").alias(k) for k in keys]
-    return tagged.groupBy(*named, (F.col(at) - F.pmod(F.col(at), F.lit(every))).alias("at_us")).agg(F.sum(F.col(amount).cast("decimal(18,2)")).cast("double").alias("added"))
+    rows = tagged.select(*named, (F.col(at) - F.pmod(F.col(at), F.lit(every))).alias("at_us"), F.col(amount).alias("added"))
+    return exact.sums(rows, [*keys, "at_us"], {"added": [F.col("added")]})
 
 
 def job_log(log: DataFrame, attempts: int = 3, first: int = 1_000_000, most: int = 3_600_000_000, dedupe: int = 0) -> DataFrame:

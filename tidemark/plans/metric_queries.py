@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import exact
 from ..functions.ranges import bucket, within
 from ..operators import metrics as m
 from ..session import micros, table
@@ -31,7 +32,7 @@ def gauges(spark: SparkSession, d: str) -> DataFrame:
 
 def counters(spark: SparkSession, d: str) -> DataFrame:
     g = gauges(spark, d)
-    run = F.sum(F.col("value").cast(m.MONEY)).over(Window.partitionBy(m.series_key()).orderBy("us", "seq").rowsBetween(Window.unboundedPreceding, 0))
+    run = F.sum(F.col("value").cast("decimal(18,2)")).over(Window.partitionBy(m.series_key()).orderBy("us", "seq").rowsBetween(Window.unboundedPreceding, 0))
     return g.withColumns({"name": F.lit("total"), "kind": F.lit("counter"), "value": F.when(F.col("seq") % 97 == 0, 0.0).otherwise(run.cast("double"))})
 
 
@@ -39,14 +40,16 @@ def by_type(df: DataFrame) -> DataFrame:
     return df.withColumn("grp", F.regexp_extract("grp", '"event_type","value":"([a-z]+)"', 1))
 
 
-@query(f"select event_type grp, us - us % {HOUR} at_us, cast(sum(v) as double) total, count(*) samples from {G} where {IN} group by all")
+@query(f"select event_type grp, us - us % {HOUR} at_us, round(fsum(value / 7), 6) total, count(*) samples from {G} where {IN} group by all")
 def q_metric_sum_exact(spark: SparkSession, d: str) -> DataFrame:
-    return by_type(m.aggregate(gauges(spark, d), "sum", BEGIN, END, HOUR, by=["event_type"])).select("grp", F.col("at").alias("at_us"), F.col("value").alias("total"), "samples")
+    g = gauges(spark, d).withColumn("value", F.col("value") / 7)
+    return by_type(m.aggregate(g, "sum", BEGIN, END, HOUR, by=["event_type"])).select("grp", F.col("at").alias("at_us"), F.round("value", 6).alias("total"), "samples")
 
 
-@query(f"select event_type grp, us - us % {DAY} at_us, round(cast(sum(v) as double) / count(*), 6) mean from {G} where {IN} group by all")
+@query(f"select event_type grp, us - us % {DAY} at_us, round(fsum(value / 7) / count(*), 6) mean from {G} where {IN} group by all")
 def q_metric_avg(spark: SparkSession, d: str) -> DataFrame:
-    return by_type(m.aggregate(gauges(spark, d), "avg", BEGIN, END, DAY, by=["event_type"])).select("grp", F.col("at").alias("at_us"), F.round("value", 6).alias("mean"))
+    g = gauges(spark, d).withColumn("value", F.col("value") / 7)
+    return by_type(m.aggregate(g, "avg", BEGIN, END, DAY, by=["event_type"])).select("grp", F.col("at").alias("at_us"), F.round("value", 6).alias("mean"))
 
 
 @query(f"select us - us % {HOUR} at_us, count(*) n from {G} where {IN} group by all")
@@ -63,9 +66,9 @@ def q_metric_minmax(spark: SparkSession, d: str) -> DataFrame:
 STEP = "case when p is null then null when v >= p then v - p else v end"
 
 
-@query(f"select event_type grp, us - us % {DAY} at_us, cast(coalesce(sum({STEP}), 0) as double) added, count(*) samples from {S} where {IN} group by all")
+@query(f"select event_type grp, us - us % {DAY} at_us, round(cast(coalesce(sum({STEP}), 0) as double), 6) added, count(*) samples from {S} where {IN} group by all")
 def q_metric_increase(spark: SparkSession, d: str) -> DataFrame:
-    return by_type(m.aggregate(counters(spark, d), "increase", BEGIN, END, DAY, by=["event_type"])).select("grp", F.col("at").alias("at_us"), F.col("value").alias("added"), "samples")
+    return by_type(m.aggregate(counters(spark, d), "increase", BEGIN, END, DAY, by=["event_type"])).select("grp", F.col("at").alias("at_us"), F.round("value", 6).alias("added"), "samples")
 
 
 @query(f"select event_type grp, count_if(v < p) resets from {S} where {IN} group by all", longs="resets")
@@ -79,19 +82,19 @@ def q_metric_rate(spark: SparkSession, d: str) -> DataFrame:
     return by_type(m.aggregate(counters(spark, d), "rate", BEGIN, END, DAY, by=["event_type"])).select("grp", F.col("at").alias("at_us"), F.round("value", 9).alias("per_second"))
 
 
-@query(f"select event_type grp, us - us % {DAY} at_us, cast(coalesce(sum(v - p), 0) as double) delta from (select *, lag(v) over (partition by event_type, user_id order by us, event_id) p from {G} where us < {END}) where {IN} group by all")
+@query(f"select event_type grp, us - us % {DAY} at_us, round(cast(coalesce(sum(v - p), 0) as double), 6) delta from (select *, lag(v) over (partition by event_type, user_id order by us, event_id) p from {G} where us < {END}) where {IN} group by all")
 def q_metric_delta(spark: SparkSession, d: str) -> DataFrame:
-    return by_type(m.aggregate(gauges(spark, d), "delta", BEGIN, END, DAY, by=["event_type"])).select("grp", F.col("at").alias("at_us"), F.col("value").alias("delta"))
+    return by_type(m.aggregate(gauges(spark, d), "delta", BEGIN, END, DAY, by=["event_type"])).select("grp", F.col("at").alias("at_us"), (F.round("value", 6) + 0.0).alias("delta"))
 
 
-@query(f"select event_type grp, at_us, cast(sum(v) as double) last_sum from (select event_type, user_id, us - us % {DAY} at_us, arg_max(v, us) v from {G} where {IN} group by all) group by all")
+@query(f"select event_type grp, at_us, round(fsum(v), 6) last_sum from (select event_type, user_id, us - us % {DAY} at_us, arg_max(value / 7, us) v from {G} where {IN} group by all) group by all")
 def q_metric_last_group(spark: SparkSession, d: str) -> DataFrame:
-    return by_type(m.aggregate(gauges(spark, d), "last", BEGIN, END, DAY, by=["event_type"])).select("grp", F.col("at").alias("at_us"), F.col("value").alias("last_sum"))
+    return by_type(m.aggregate(gauges(spark, d).withColumn("value", F.col("value") / 7), "last", BEGIN, END, DAY, by=["event_type"])).select("grp", F.col("at").alias("at_us"), F.round("value", 6).alias("last_sum"))
 
 
-@query(f"select event_type grp, cast(sum(v) as double) first_sum from (select event_type, user_id, arg_min(v, us) v from {G} where {IN} group by all) group by all")
+@query(f"select event_type grp, round(fsum(v), 6) first_sum from (select event_type, user_id, arg_min(value / 7, us) v from {G} where {IN} group by all) group by all")
 def q_metric_first_group(spark: SparkSession, d: str) -> DataFrame:
-    return by_type(m.aggregate(gauges(spark, d), "first", BEGIN, END, None, by=["event_type"])).select("grp", F.col("value").alias("first_sum"))
+    return by_type(m.aggregate(gauges(spark, d).withColumn("value", F.col("value") / 7), "first", BEGIN, END, None, by=["event_type"])).select("grp", F.round("value", 6).alias("first_sum"))
 
 
 @query(f"select event_type, pct, value from (select event_type, value, row_number() over (partition by event_type order by value) rn, count(*) over (partition by event_type) n from {G}), (values ('p50', 50, 100), ('p95', 95, 100), ('p99.9', 999, 1000)) t(pct, num, den) where rn = greatest(1, (num * n + den - 1) // den)")
@@ -135,10 +138,10 @@ def q_exp_histogram_coarser(spark: SparkSession, d: str) -> DataFrame:
     return m.coarser(m.exponential(events(spark, d), ["event_type"], "value"), ["event_type"]).withColumn("i", F.col("i").cast("long"))
 
 
-@query(f"select event_type, count(*) n, cast(sum(v) as double) total, round(cast(sum(v) as double) / count(*), 6) mean, max(value) high from {G} group by all")
+@query(f"select event_type, count(*) n, round(fsum(value / 7), 6) total, round(fsum(value / 7) / count(*), 6) mean, max(value) high from {G} group by all")
 def q_timer_avg(spark: SparkSession, d: str) -> DataFrame:
-    total = F.sum(F.col("value").cast(m.MONEY)).cast("double")
-    return events(spark, d).groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), total.alias("total"), F.round(total / F.count("value"), 6).alias("mean"), F.max("value").alias("high"))
+    out = exact.sums(events(spark, d), ["event_type"], {"total": [F.col("value") / 7]}, {"n": (F.count(F.lit(1)), "sum"), "high": (F.max("value"), "max")})
+    return out.select("event_type", "n", F.round("total", 6).alias("total"), F.round(F.col("total") / F.col("n"), 6).alias("mean"), "high")
 
 
 @query(f"select us - us % {DAY} at_us, event_type, le, count_if(value <= le) n from (select * from {G}), (select unnest([1, 5, 10, 25, 50, 100, 250]::double[]) le) group by all", longs="n")
@@ -161,16 +164,16 @@ def q_asof_previous(spark: SparkSession, d: str) -> DataFrame:
     return out.select(F.col("l")["user_id"].cast("long").alias("user_id"), F.col("l")["event_type"].alias("event_type"), "us", "value")
 
 
-@query(f"select us - us % {DAY} at_us, count(*) n, cast(sum(v) as double) total, min(value) low, max(value) high, arg_min(value, us) first_value, arg_max(value, us) last_value from {G} group by all")
+@query(f"select us - us % {DAY} at_us, count(*) n, round(fsum(value / 7), 6) total, min(value / 7) low, max(value / 7) high, arg_min(value / 7, us) first_value, arg_max(value / 7, us) last_value from {G} group by all")
 def q_rollup_reaggregate(spark: SparkSession, d: str) -> DataFrame:
-    r = m.roll_again(m.rollup(gauges(spark, d), HOUR, ["name"]), HOUR, DAY, ["name"])
-    return r.select(F.col("at").alias("at_us"), "n", "total", "low", "high", F.col("first").alias("first_value"), F.col("last").alias("last_value"))
+    r = m.roll_again(m.rollup(gauges(spark, d).withColumn("value", F.col("value") / 7), HOUR, ["name"]), HOUR, DAY, ["name"])
+    return r.select(F.col("at").alias("at_us"), "n", F.round("total", 6).alias("total"), "low", "high", F.col("first").alias("first_value"), F.col("last").alias("last_value"))
 
 
-@query(f"select event_type grp, count(*) samples, cast(sum(v) as double) total from {G} where {IN} and user_id in (1, 2, 3) group by all")
+@query(f"select event_type grp, count(*) samples, round(fsum(value), 6) total from {G} where {IN} and user_id in (1, 2, 3) group by all")
 def q_metric_group_by(spark: SparkSession, d: str) -> DataFrame:
     g = gauges(spark, d).where(m.where(F.col("labels"), {"user_id": ["1", "2", "3"]}))
-    return by_type(m.aggregate(g, "sum", BEGIN, END, None, by=["event_type"])).select("grp", "samples", F.col("value").alias("total"))
+    return by_type(m.aggregate(g, "sum", BEGIN, END, None, by=["event_type"])).select("grp", "samples", F.round("value", 6).alias("total"))
 
 
 @query(f"select cast(user_id as varchar) grp, count(*) samples, max(value) high from {G} where {IN} group by all")
@@ -184,11 +187,10 @@ def q_metric_partial(spark: SparkSession, d: str) -> DataFrame:
     return m.aggregate(gauges(spark, d), "count", BEGIN, END, DAY).select(F.col("at").alias("at_us"), "partial")
 
 
-@query(f"select event_type, user_id, us - us % {HOUR} at_us, coalesce(max(b - b % {HOUR} < us - us % {HOUR} - {HOUR}), false) gap from {S} where {IN} and user_id < 20 group by all")
+@query(f"select event_type, user_id, us - us % {HOUR} at_us, coalesce(max(b - b % {HOUR} < us - us % {HOUR} - {HOUR}), false) gap from {S} where {IN} group by all")
 def q_metric_gap(spark: SparkSession, d: str) -> DataFrame:
-    c = counters(spark, d).where(F.col("labels")["user_id"].cast("long") < 20)
     l = F.map_from_entries(F.from_json("grp", "array<struct<key:string,value:string>>"))  # noqa: E741
-    return m.aggregate(c, "increase", BEGIN, END, HOUR, without=[]).select(l["event_type"].alias("event_type"), l["user_id"].cast("long").alias("user_id"), F.col("at").alias("at_us"), "gap")
+    return m.aggregate(counters(spark, d), "increase", BEGIN, END, HOUR, without=[]).select(l["event_type"].alias("event_type"), l["user_id"].cast("long").alias("user_id"), F.col("at").alias("at_us"), "gap")
 
 
 @query(f"select us, event_id, user_id, value from {G} where event_type not in ('view', 'click') and {IN}")
@@ -268,10 +270,11 @@ def q_tsbs_cpu_max_all(spark: SparkSession, d: str) -> DataFrame:
     return e.groupBy("event_type", bucket(F.col("us"), HOUR).alias("at_us")).agg(F.max("value").alias("high"))
 
 
-@query(f"select user_id, us - us % {HOUR} at_us, round(cast(sum(v) as double) / count(*), 6) mean from {G} where us >= {T0 + DAY} and us < {T0 + DAY + 12 * HOUR} group by all")
+@query(f"select user_id, us - us % {HOUR} at_us, round(fsum(value) / count(*), 6) mean from {G} where us >= {T0 + DAY} and us < {T0 + DAY + 12 * HOUR} group by all")
 def q_tsbs_double_groupby(spark: SparkSession, d: str) -> DataFrame:
     e = events(spark, d).where(within(F.col("us"), T0 + DAY, T0 + DAY + 12 * HOUR))
-    return e.groupBy("user_id", bucket(F.col("us"), HOUR).alias("at_us")).agg(F.round(F.sum(F.col("value").cast(m.MONEY)).cast("double") / F.count("value"), 6).alias("mean"))
+    out = exact.sums(e.select("user_id", bucket(F.col("us"), HOUR).alias("at_us"), "value"), ["user_id", "at_us"], {"total": [F.col("value")]}, {"n": (F.count("value"), "sum")})
+    return out.select("user_id", "at_us", F.round(F.col("total") / F.col("n"), 6).alias("mean"))
 
 
 @query(f"select event_id, us, value from {G} where user_id = 8 and us >= {T0 + 2 * DAY} and us < {T0 + 9 * DAY}")
@@ -289,13 +292,21 @@ def q_stream_window_count(spark: SparkSession, d: str) -> DataFrame:
     return events(spark, d).groupBy(F.col("event_type").alias("stream"), bucket(F.col("us"), 10 * MINUTE).alias("at_us")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("select r_name, epoch_us(o_orderdate) // 2592000000000 * 2592000000000 at_us, cast(sum(cast(o_totalprice as decimal(18,2))) as double) total from orders join customer on o_custkey = c_custkey join nation on c_nationkey = n_nationkey join region on n_regionkey = r_regionkey group by all")
+@query("select r_name, epoch_us(o_orderdate) // 2592000000000 * 2592000000000 at_us, round(fsum(o_totalprice), 4) total from orders join customer on o_custkey = c_custkey join nation on c_nationkey = n_nationkey join region on n_regionkey = r_regionkey group by all")
 def q_region_hour_sum(spark: SparkSession, d: str) -> DataFrame:
     o, c, n, r = (table(spark, d, t) for t in ("orders", "customer", "nation", "region"))
     j = o.join(c, o.o_custkey == c.c_custkey).join(n, c.c_nationkey == n.n_nationkey).join(r, n.n_regionkey == r.r_regionkey)
-    return j.groupBy("r_name", bucket(micros(F.col("o_orderdate")), 30 * DAY).alias("at_us")).agg(F.sum(F.col("o_totalprice").cast(m.MONEY)).cast("double").alias("total"))
+    rows = j.select("r_name", bucket(micros(F.col("o_orderdate")), 30 * DAY).alias("at_us"), "o_totalprice")
+    return exact.sums(rows, ["r_name", "at_us"], {"total": [F.col("o_totalprice")]}).withColumn("total", F.round("total", 4))
 
 
-@query(f"select event_type, cast(sum(v) as double) total from {G} group by all")
+@query(f"select event_type, sum((value / 7 * pow(2, 70))::hugeint)::double / pow(2, 70) total from {G} group by all")
 def q_exact_sum(spark: SparkSession, d: str) -> DataFrame:
-    return m.exact_sum(events(spark, d).select("event_type", "value"), ["event_type"], "value").select("event_type", F.round("value", 2).alias("total"))
+    return m.exact_sum(events(spark, d).select("event_type", (F.col("value") / 7).alias("total")), ["event_type"], "total")
+
+
+@query("select event_type, user_id, us, event_id from (select event_type, user_id, epoch_us(ts) us, event_id, row_number() over (order by event_type, cast(user_id as varchar), epoch_us(ts), event_id) rn from events) where rn between 501 and 1000")
+def q_metric_pages(spark: SparkSession, d: str) -> DataFrame:
+    last = m.page(gauges(spark, d), 500).orderBy(F.desc("series"), F.desc("us"), F.desc("seq")).first()
+    rows = m.page(gauges(spark, d), 500, (last["name"], last["series"], last["us"], last["seq"]))
+    return rows.select(F.col("labels")["event_type"].alias("event_type"), F.col("labels")["user_id"].cast("long").alias("user_id"), "us", F.col("seq").alias("event_id"))

@@ -85,10 +85,10 @@ def q_schedule_every(spark, d):
     return st.schedule(ids, "begin", 6 * HOUR, T0 + DAY).select("id", "run_at")
 
 
-@query(f"with s as (select user_id, event_type, min(epoch_us(ts)) f from events group by all order by f, user_id, event_type limit 100), t as (select coalesce(cast(s.user_id as varchar), '__overflow') user_id, coalesce(s.event_type, '__overflow') event_type, epoch_us(ts) // {DAY} * {DAY} at_us, cast(value as decimal(18,2)) v from events e left join s on e.user_id = s.user_id and e.event_type = s.event_type) select user_id, event_type, at_us, cast(sum(v) as double) added from t group by all")
+@query(f"with s as (select user_id, event_type, min(epoch_us(ts)) f from events group by all order by f, user_id, event_type limit 100), t as (select coalesce(cast(s.user_id as varchar), '__overflow') user_id, coalesce(s.event_type, '__overflow') event_type, epoch_us(ts) // {DAY} * {DAY} at_us, value v from events e left join s on e.user_id = s.user_id and e.event_type = s.event_type) select user_id, event_type, at_us, round(fsum(v), 6) added from t group by all")
 def q_instrument_fold(spark, d):
     e = table(spark, d, "events").select("user_id", "event_type", micros(F.col("ts")).alias("us"), "value")
-    return st.instruments(e, ["user_id", "event_type"], "us", "value", DAY, 100)
+    return st.instruments(e, ["user_id", "event_type"], "us", "value", DAY, 100).withColumn("added", F.round("added", 6))
 
 
 @query("select conv_id, count(*) turns, max(turn) last_turn from conversations group by all")
