@@ -1,44 +1,95 @@
-"""Text analysis: words, stems, edit distances, names."""
+"""Text analysis: words, stems, edit distances, names; columns with built-in functions only."""
 
 from __future__ import annotations
 
 import re
 import unicodedata
+from functools import cache, reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-
-def words(text: Column) -> Column:
-    """Lower-case runs of letters, marks and digits; apostrophes inside words vanish."""
-    return F.regexp_extract_all(F.translate(F.lower(text), "'’", ""), F.lit(r"[\p{L}\p{M}\p{N}]+"), F.lit(0))
+# Scripts whose letters take no accents off, and scripts without spaces between words.
+FOLDED = ("LATIN", "CYRILLIC", "GREEK")
+UNSPACED = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}"
+WORD = rf"[{UNSPACED}][{UNSPACED}\p{{M}}]*|(?:(?![{UNSPACED}])[\p{{L}}\p{{M}}\p{{N}}])+"
 
 
 def normalise(text: str) -> str:
     """NFKC, lower case, no combining marks on Latin, Cyrillic and Greek letters, ё as е."""
     out = []
     for c in unicodedata.normalize("NFD", unicodedata.normalize("NFKC", text).lower()):
-        if unicodedata.combining(c) and out and unicodedata.name(out[-1], "").split(" ")[0] in ("LATIN", "CYRILLIC", "GREEK"):
+        if unicodedata.combining(c) and out and unicodedata.name(out[-1], "").split(" ")[0] in FOLDED:
             continue
         out.append(c)
     return unicodedata.normalize("NFC", "".join(out))
 
 
-UNSPACED = re.compile(r"[぀-ヿ㐀-鿿฀-๿]+")
+@cache
+def folding() -> tuple[str, str, list[tuple[str, str]]]:
+    """Letters and what ``normalise`` makes of each: one for one, and the Latin ones that become several."""
+    one, several = [], []
+    for c in map(chr, [*range(128, 0xAC00), *range(0xF900, 0x30000)]):
+        if unicodedata.category(c)[0] in "LN" and (to := normalise(c)) != c:
+            if len(to) == 1:
+                one.append((c, to))
+            elif unicodedata.name(c, "").startswith("LATIN"):
+                several.append((c, to))
+    return "".join(a for a, _ in one), "".join(b for _, b in one), several
 
 
-def bigrams(run: str) -> list[str]:
-    """Overlapping pairs for scripts that don't put spaces between words."""
-    return [run[i : i + 2] for i in range(len(run) - 1)] if len(run) > 1 else [run]
+def normalised(text: Column) -> Column:
+    """``normalise`` as a column, for letters and digits: by a table, and by taking marks off the folded scripts."""
+    one, to, several = folding()
+    bare = F.translate(F.lower(text), one, to)
+    # The few letters that become several are rare: they are looked for together first.
+    some = bare.rlike("[" + "".join(a for a, _ in several) + "]")
+    bare = F.when(some, reduce(lambda t, x: F.replace(t, F.lit(x[0]), F.lit(x[1])), several, bare)).otherwise(bare)
+    return F.when(bare.rlike(r"\p{M}"), F.regexp_replace(bare, r"(?<=[\p{IsLatin}\p{IsCyrillic}\p{IsGreek}])\p{M}+", "")).otherwise(bare)
 
 
-def stem(word: Column) -> Column:
-    """A light English stem with built-in functions: plural and participle endings."""
+def words(text: Column) -> Column:
+    """Normalised runs of letters, marks and digits; apostrophes inside words vanish; overlapping pairs of characters
+    for scripts that put no spaces between words."""
+    plain = F.translate(text, "'’", "")
+    # Most texts are ASCII: for them nothing is folded.
+    low = F.when(plain.rlike(r"[^\x00-\x7F]"), normalised(plain)).otherwise(F.lower(plain))
+    found = F.regexp_extract_all(low, F.lit(WORD), F.lit(0))
+    paired = F.flatten(F.transform(found, lambda w: F.when(w.rlike(f"^[{UNSPACED}]"), bigrams(w)).otherwise(F.array(w))))
+    return F.when(low.rlike(f"[{UNSPACED}]"), paired).otherwise(found)
+
+
+def bigrams(run: Column) -> Column:
+    """Overlapping pairs of characters with their marks; a single one is itself."""
+    signs = F.regexp_extract_all(run, F.lit(r"\P{M}\p{M}*"), F.lit(0))
+    return F.when(F.size(signs) < 2, F.array(run)).otherwise(F.zip_with(F.slice(signs, 1, F.size(signs) - 1), F.slice(signs, 2, F.size(signs) - 1), lambda a, b: F.concat(a, b)))
+
+
+# Endings that light stemmers take off, longest first, of words that keep so many letters at least.
+ENDINGS = {
+    "ru": (3, "иями|ями|ами|ыми|ими|ого|его|ому|ему|ость|ости|остью|ешь|ет|ем|ете|ут|ют|ит|им|ите|ат|ят|ать|ять|еть|ить|ал|ала|али|ил|ила|или|ая|яя|ое|ее|ые|ие|ый|ий|ой|ей|ую|юю|ых|их|ым|ов|ев|ам|ям|ах|ях|ом|ием|ия|ию|ии|а|я|о|е|ы|и|у|ю|ь|й"),
+    "de": (4, "ungen|heiten|keiten|ung|heit|keit|isch|lich|ern|em|er|en|es|e|s|n"),
+    "fr": (4, "issements|issement|atrices|ateurs|ations|atrice|ateur|ation|ements|ement|euses|euse|ables|ibles|able|ible|ités|ite|ives|ive|ifs|if|eaux|aux|ées|és|ee|er|ez|es|e|s"),
+    "es": (4, "amientos|imientos|amiento|imiento|aciones|acion|adores|ador|mente|idades|idad|ables|ibles|able|ible|ando|iendo|ados|adas|idos|idas|ado|ada|ido|ida|ar|er|ir|os|as|es|o|a|e|s"),
+}
+
+
+def stem(word: Column, language: str = "en") -> Column:
+    """A light stem with built-in functions: plural and participle endings of English, fixed endings of the others."""
+    if language in ENDINGS:
+        least, endings = ENDINGS[language]
+        longest = "|".join(sorted(set(map(normalise, endings.split("|"))), key=lambda x: (-len(x), x)))
+        return F.regexp_replace(word, rf"(?<=^.{{{least},60}})(?:{longest})$", "")
     w = F.regexp_replace(word, "(sses|ies)$", "ss")
     w = F.when((F.length(w) > 3) & w.rlike("[^s]s$"), F.substring(w, F.lit(1), F.length(w) - 1)).otherwise(w)
     return F.when((F.length(w) > 6) & w.rlike("ing$"), F.substring(w, F.lit(1), F.length(w) - 3)).when((F.length(w) > 5) & w.rlike("ed$"), F.substring(w, F.lit(1), F.length(w) - 2)).otherwise(w)
 
 
+def stem_by_script(word: Column, latin: str = "en") -> Column:
+    """Russian stems of Cyrillic words, those of ``latin`` of Latin words, other words as they are."""
+    return F.when(word.rlike(r"^\p{IsCyrillic}"), stem(word, "ru")).when(word.rlike(r"^\p{IsLatin}"), stem(word, latin)).otherwise(word)
+
+
 def edits_allowed(word: str) -> int:
     return 0 if len(word) < 5 else 1 if len(word) < 9 else 2
 
@@ -60,6 +111,22 @@ def close(a: str, b: str, most: int) -> bool:
     return row[-1] <= most
 
 
+def distance(term: Column, word: str) -> Column:
+    """Edits between a column and a word, exact up to two; a swap of neighbours that no other edit touches is one edit."""
+    swaps = [i for i in range(len(word) - 1) if word[i] != word[i + 1]]
+    swap = lambda w, i: w[:i] + w[i + 1] + w[i] + w[i + 2 :]
+    parts = [F.levenshtein(term, F.lit(word))]
+    for i in swaps:
+        for at in (i - 1, i, i + 1):
+            if at >= 0:
+                beside = F.levenshtein(F.substring(term, F.lit(1), F.lit(at)), F.lit(word[:i])) + F.levenshtein(F.substring(term, F.lit(at + 3), F.length(term)), F.lit(word[i + 2 :])) + 1
+                parts.append(F.when(F.substring(term, F.lit(at + 1), F.lit(2)) == word[i + 1] + word[i], beside))
+    two = [swap(swap(word, i), j) for i in swaps for j in swaps if j > i + 1]
+    if two:
+        parts.append(F.when(term.isin(two), F.lit(2)))
+    return F.least(*parts) if len(parts) > 1 else parts[0]
+
+
 def trigrams(text: Column) -> Column:
     t = F.concat(F.lit("  "), F.lower(text), F.lit(" "))
     return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(t) - 2), lambda i: F.substring(t, i, F.lit(3))))

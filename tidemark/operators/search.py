@@ -5,36 +5,23 @@ Scores are rounded to nine digits before ranking, so that a sum's order does not
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from .index import counted
 
 K1, B = 1.2, 0.75
 
 
 def postings(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc, term, tf, len); counts meet per document and term."""
-    toks = docs.select(F.col(id_col).alias("doc"), tx.words(F.col(text_col)).alias("w"))
-    per = toks.select("doc", F.size("w").alias("len"), F.explode("w").alias("term"))
-    return per.groupBy("doc", "term").agg(F.count(F.lit(1)).alias("tf"), F.first("len").alias("len"))
-
-
-def statistics(docs: DataFrame, text_col: str) -> tuple[int, float]:
-    """Documents and mean length."""
-    r = docs.agg(F.count(F.lit(1)).alias("n"), F.sum(F.size(tx.words(F.col(text_col)))).alias("words")).first()
-    return r["n"], (r["words"] or 0) / max(1, r["n"])
-
-
-def matching(docs: DataFrame, id_col: str, text_col: str, terms: list[str]) -> DataFrame:
-    """Postings of the asked terms only: each document gives as many rows as terms it holds, without exploding it."""
-    toks = docs.select(F.col(id_col).alias("doc"), tx.words(F.col(text_col)).alias("w"))
-    rows = F.array(*(F.struct(F.lit(t).alias("term"), F.size(F.filter("w", _equal(t))).alias("tf")) for t in terms))
-    return toks.select("doc", F.size("w").alias("len"), F.explode(F.filter(rows, lambda r: r["tf"] > 0)).alias("p")).select("doc", "p.term", F.col("p.tf").cast("long").alias("tf"), "len")
-
-
-def _equal(t: str):
-    return lambda w: w == t
+    """(term, doc, tf, len) of a table without an index."""
+    return counted(docs, id_col, tx.words(F.col(text_col)))
 
 
 def scored(post: DataFrame, n: int, mean: float) -> DataFrame:
@@ -70,11 +57,58 @@ def cosine(a: Column, b: Column) -> Column:
     return dot(a, b) / F.sqrt(dot(a, a) * dot(b, b))
 
 
+def _blocks(queries: DataFrame, most: int = 2048):
+    """A stated query set in blocks for the driver: (names, unit vectors) of ``most`` queries at most each."""
+    at, n = queries.withColumn("_b", F.pmod(F.xxhash64("query"), F.lit(max(1, -(-queries.count() // (most // 2)))))), None
+    n = at.agg(F.max("_b").alias("m")).first()["m"]
+    for i in range(0 if n is None else n + 1):
+        rows = at.where(F.col("_b") == i).select("query", "q").collect()
+        if rows:
+            yield np.array([r["query"] for r in rows]), _units(np.array([r["q"] for r in rows], dtype=np.float64))
+
+
+def _units(x: np.ndarray) -> np.ndarray:
+    return x / np.linalg.norm(x, axis=1)[:, None]
+
+
+def _scores(vectors: DataFrame, queries: DataFrame, keep) -> DataFrame:
+    """(query, doc, score) that ``keep(scores)`` marks, blocks of queries against all vectors; a vector isn't its own."""
+    spark, out = vectors.sparkSession, []
+    kind = vectors.schema["vec_id"].dataType.simpleString()
+    for names, q in _blocks(queries):
+        block = spark.sparkContext.broadcast((names, q))  # 2048 vectors at most
+
+        def run(batches: Iterator[pd.DataFrame], block=block) -> Iterator[pd.DataFrame]:
+            names, q = block.value
+            for pdf in batches:
+                for a in range(0, len(pdf), 1024):
+                    part = pdf.iloc[a : a + 1024]
+                    docs = part["vec_id"].to_numpy()
+                    s = np.round(q @ _units(np.array(part["embedding"].tolist(), dtype=np.float64)).T, 9)
+                    s[names[:, None] == docs[None, :]] = np.nan
+                    i, j = np.nonzero(keep(s, docs))
+                    yield pd.DataFrame({"query": names[i], "doc": docs[j], "score": s[i, j]})
+
+        out.append(vectors.select("vec_id", "embedding").mapInPandas(run, f"query {kind}, doc {kind}, score double"))
+    return reduce(DataFrame.union, out) if out else vectors.sparkSession.createDataFrame([], f"query {kind}, doc {kind}, score double")
+
+
 def vector_top(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """(query, doc, score): the nearest ``k`` of each stated query. ``queries(query, q)`` are a stated small set."""
-    near = vectors.join(F.broadcast(queries)).where("vec_id <> query").select("query", F.col("vec_id").alias("doc"), F.round(cosine(F.col("embedding"), F.col("q")), 9).alias("score"))
+    """(query, doc, score, rank): the nearest ``k`` of each stated query. Each batch gives its own ``k`` at most."""
+
+    def best(s: np.ndarray, docs: np.ndarray) -> np.ndarray:
+        order = np.lexsort((np.broadcast_to(docs, s.shape), np.nan_to_num(-s, nan=np.inf)), axis=1)[:, :k]
+        out = np.zeros(s.shape, dtype=bool)
+        np.put_along_axis(out, order, True, axis=1)
+        return out & ~np.isnan(s)
+
     w = Window.partitionBy("query").orderBy(F.desc("score"), "doc")
-    return near.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= k)
+    return _scores(vectors, queries, best).withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= k)
+
+
+def vector_near(vectors: DataFrame, queries: DataFrame, least: float) -> DataFrame:
+    """(query, doc, score) of all pairs above a cosine: a filter, nothing is ranked."""
+    return _scores(vectors, queries, lambda s, _: s > least)
 
 
 def quantised(v: Column) -> Column:
@@ -87,18 +121,33 @@ def sign_bits(v: Column) -> Column:
     return F.array_join(F.transform(v, lambda x: F.when(x >= 0, "1").otherwise("0")), "")
 
 
-def clustered(vectors: DataFrame, queries: DataFrame, k: int, clusters: int, probes: int, seed: int = 7) -> DataFrame:
-    """Inverted lists by k-means; each query reads the lists of its nearest ``probes`` centres and rescores them."""
+def clustered(vectors: DataFrame, queries: DataFrame, k: int, clusters: int | None = None, recall: float = 0.95, tried: int = 64, seed: int = 7) -> DataFrame:
+    """Inverted lists by k-means on unit vectors; each query reads the lists of its nearest centres, rescored exactly.
+
+    As many lists are read as hold a share of ``recall`` of the true neighbours of ``tried`` queries, found exactly.
+    """
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
-    rows = vectors.withColumn("features", array_to_vector(F.col("embedding").cast("array<double>")))
-    model = KMeans(k=clusters, seed=seed, maxIter=10).fit(rows)
-    placed = model.transform(rows).select("vec_id", "embedding", F.col("prediction").alias("cell"))
-    centres = vectors.sparkSession.createDataFrame([(i, [float(x) for x in c]) for i, c in enumerate(model.clusterCenters())], "cell int, centre array<double>")
-    w = Window.partitionBy("query").orderBy(F.desc(cosine(F.col("q"), F.col("centre"))), "cell")
-    asked = queries.join(F.broadcast(centres)).withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= probes).select("query", "q", "cell")
-    near = placed.join(F.broadcast(asked), "cell").where("vec_id <> query").select("query", F.col("vec_id").alias("doc"), F.round(cosine(F.col("embedding"), F.col("q")), 9).alias("score"))
+    n = vectors.count()
+    clusters = clusters or max(2, round(n**0.5 / 2))
+    rows = vectors.select("vec_id", "embedding", array_to_vector(F.transform("embedding", lambda x: x.cast("double") / F.sqrt(dot(F.col("embedding"), F.col("embedding"))))).alias("features"))
+    fitted = KMeans(k=clusters, seed=seed, maxIter=10).fit(rows.sample(min(1.0, 256 * clusters / max(1, n)), seed=seed))
+    placed = fitted.transform(rows).select("vec_id", "embedding", F.col("prediction").alias("cell"))
+    centres = _units(np.array(fitted.clusterCenters()) + 1e-12)
+    some = queries.orderBy(F.xxhash64("query")).limit(tried)
+    own = {r["query"]: r["q"] for r in some.collect()}
+    true = vector_top(vectors, some, k).join(placed.select(F.col("vec_id").alias("doc"), "cell"), "doc").select("query", "cell").collect()
+    places = sorted(int((centres @ np.array(own[r["query"]]) > centres[r["cell"]] @ np.array(own[r["query"]])).sum()) for r in true)
+    probes = places[min(len(places) - 1, int(recall * len(places)))] + 1 if places else 1
+    asked = []
+    for names, q in _blocks(queries):
+        order = np.argsort(-(q @ centres.T), axis=1)[:, :probes]
+        asked += [(int(name), int(c)) for name, own in zip(names, order, strict=True) for c in own]
+    # A row per stated query and list that it reads.
+    cells = vectors.sparkSession.createDataFrame(asked, "query long, cell int").join(queries, "query")
+    cells = F.broadcast(cells) if len(asked) <= 200_000 else cells
+    near = placed.join(cells, "cell").where("vec_id <> query").select("query", F.col("vec_id").alias("doc"), F.round(cosine(F.col("embedding"), F.col("q")), 9).alias("score"))
     r = Window.partitionBy("query").orderBy(F.desc("score"), "doc")
     return near.withColumn("rank", F.row_number().over(r).cast("long")).where(F.col("rank") <= k)
 
@@ -124,6 +173,28 @@ def reciprocal(lists: list[DataFrame], k: int = 60) -> DataFrame:
     return out.groupBy("doc").agg(F.round(F.sum("part"), 9).alias("score"))
 
 
+def similar(rows: DataFrame, key: str, grams: str, least: float) -> DataFrame:
+    """(a, b, j, a_row, b_row): pairs of rows whose sets of grams reach a Jaccard likeness.
+
+    Sets are ordered rare grams first; two that are alike enough share one of their first n - ceil(least n) + 1.
+    """
+    each = rows.select(F.col(key).alias("id"), F.explode(grams).alias("g"))
+    rank = each.groupBy("g").agg(F.count(F.lit(1)).alias("df"))
+    first = each.join(rank, "g").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("df", "g"))).alias("o"))
+    lead = first.select("id", F.explode(F.slice("o", 1, (F.size("o") - F.ceil(F.size("o") * least - 1e-9) + 1).cast("int"))).alias("x")).select("id", "x.g")
+    met = lead.select(F.col("id").alias("a"), "g").join(lead.select(F.col("id").alias("b"), "g"), "g").where("a < b").select("a", "b").distinct()
+    x, y = (rows.select(F.col(key).alias(n), F.struct(*rows.columns).alias(f"{n}_row")) for n in "ab")
+    scored = met.join(x, "a").join(y, "b").withColumn("j", F.round(tx.jaccard(F.col(f"a_row.{grams}"), F.col(f"b_row.{grams}")), 9))
+    return scored.where(F.col("j") >= least)
+
+
+def facets(docs: DataFrame, found: DataFrame, id_col: str, by: list[str], most: int = 10) -> DataFrame:
+    """(facet, value, n): how many of the documents found have each value, the most frequent ones of each facet."""
+    held = docs.select(F.col(id_col).alias("doc"), *by).join(found.select("doc"), "doc", "left_semi")
+    each = held.select(F.explode(F.array(*(F.struct(F.lit(b).alias("facet"), F.col(b).cast("string").alias("value")) for b in by))).alias("f")).groupBy("f.facet", "f.value").agg(F.count(F.lit(1)).alias("n"))
+    return each.withColumn("rn", F.row_number().over(Window.partitionBy("facet").orderBy(F.desc("n"), "value"))).where(F.col("rn") <= most).drop("rn")
+
+
 def evaluation(ranked: DataFrame, judged: DataFrame, k: int = 10) -> DataFrame:
     """(query, recall, mrr, ndcg) at k, binary relevance. ranked(query, doc, rank), judged(query, doc)."""
     hit = ranked.where(F.col("rank") <= k).join(judged.withColumn("rel", F.lit(1)), ["query", "doc"], "left").withColumn("rel", F.coalesce("rel", F.lit(0)))
@@ -133,13 +204,14 @@ def evaluation(ranked: DataFrame, judged: DataFrame, k: int = 10) -> DataFrame:
     return want.join(got, "query", "left").select("query", F.round(F.coalesce(F.col("found"), F.lit(0)) / F.col("all"), 9).alias("recall"), F.round(F.coalesce("rr", F.lit(0.0)), 9).alias("mrr"), F.round(F.coalesce("dcg", F.lit(0.0)) / ideal, 9).alias("ndcg"))
 
 
-def prefix(post: DataFrame, begin: str, most: int = 32) -> DataFrame:
-    """The most frequent terms that begin so."""
-    return post.where(F.startswith("term", F.lit(begin))).groupBy("term").agg(F.count(F.lit(1)).alias("df")).orderBy(F.desc("df"), "term").limit(most)
+def prefix(terms: DataFrame, begin: str, most: int = 32) -> DataFrame:
+    """The most frequent terms that begin so. terms(term, df)."""
+    return terms.where(F.startswith("term", F.lit(begin))).orderBy(F.desc("df"), "term").limit(most)
 
 
 def typo_candidates(terms: DataFrame, word: str, most: int = 8) -> DataFrame:
     """Terms within the edits that a word's length allows, nearest and most frequent first. terms(term, df)."""
     n = tx.edits_allowed(word)
-    close = terms.where(F.length("term").between(len(word) - n, len(word) + n)).withColumn("distance", F.levenshtein("term", F.lit(word)))
-    return close.where(F.col("distance") <= n).orderBy("distance", F.desc("df"), "term").limit(most)
+    # Two edits of the plain distance may be one swap: those further away than that are left out first.
+    near = terms.where(F.length("term").between(len(word) - n, len(word) + n) & (F.col("term") != word) & (F.levenshtein("term", F.lit(word), 2 * n) >= 0))
+    return near.withColumn("distance", tx.distance(F.col("term"), word)).where(F.col("distance") <= n).orderBy("distance", F.desc("df"), "term").limit(most)

@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from ..operators import index as ix
 from ..operators import search as se
-from ..session import table
+from ..session import shared_dir, table
 from .registry import query
 
 TERMS = ["the", "tion", "thanedble", "idiot"]
-W = "regexp_extract_all(replace(replace(lower(text), '''', ''), '’', ''), '[\\p{L}\\p{M}\\p{N}]+')"
+W = "regexp_extract_all(strip_accents(lower(replace(replace(text, '''', ''), '’', ''))), '[\\p{L}\\p{M}\\p{N}]+')"
 TOK = f"(select doc_id doc, {W} w from documents)"
 ST = f"(select count(*) n, sum(len(w)) / cast(count(*) as double) mean from {TOK})"
 
@@ -25,10 +28,14 @@ def score(terms) -> str:
     return f"(select doc, round(sum({part}), 9) score, count(*) terms from {p} p join (select term, count(*) df from {p} group by all) using (term), {ST} group by all)"
 
 
+def indexed(spark, d):
+    return ix.kept(table(spark, d, "documents"), "doc_id", "text")
+
+
 def bm25(spark, d, terms):
-    docs = table(spark, d, "documents")
-    n, mean = se.statistics(docs, "text")
-    return docs, n, mean, se.matching(docs, "doc_id", "text", terms)
+    """The index's numbers, and its postings of the terms: only the files that hold them are read."""
+    own = indexed(spark, d)
+    return table(spark, d, "documents"), *own.statistics, own.postings(terms)
 
 
 @query(f"select doc, len(w) tokens, len(list_distinct(w)) terms from {TOK}")
@@ -100,24 +107,29 @@ def q_bm25_fields(spark, d):
 
 @query(f"select term, count(*) df from (select distinct doc, unnest(w) term from {TOK}) where starts_with(term, 'than') group by all order by df desc, term limit 32")
 def q_prefix_expand(spark, d):
-    return se.prefix(se.postings(table(spark, d, "documents"), "doc_id", "text"), "than")
+    return se.prefix(indexed(spark, d).dictionary(), "than")
 
 
-@query(f"select term, distance from (select term, levenshtein(term, 'worthles') distance, count(*) df from (select distinct doc, unnest(w) term from {TOK}) where len(term) between 7 and 9 group by all) where distance <= 1 order by distance, df desc, term limit 8")
+@query(f"select term, distance from (select term, damerau_levenshtein(term, 'wrothless') distance, count(*) df from (select distinct doc, unnest(w) term from {TOK}) where len(term) between 7 and 11 group by all) where distance between 1 and 2 order by distance, df desc, term limit 8")
 def q_typo_candidates(spark, d):
-    terms = se.postings(table(spark, d, "documents"), "doc_id", "text").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    return se.typo_candidates(terms, "worthles").select("term", F.col("distance").cast("long").alias("distance"))
+    return se.typo_candidates(indexed(spark, d).dictionary(), "wrothless").select("term", F.col("distance").cast("long").alias("distance"))
+
+
+@query(f"with h as (select doc, lang, source from {score(TERMS[:3])} join documents on doc = doc_id where terms = 3), f as (select 'lang' facet, lang as value, count(*) n from h group by all union all select 'source', source, count(*) from h group by all) select facet, value, n from f qualify row_number() over (partition by facet order by n desc, value) <= 10")
+def q_search_facets(spark, d):
+    docs, n, mean, p = bm25(spark, d, TERMS[:3])
+    return se.facets(docs, se.scored(p, n, mean).where("terms = 3"), "doc_id", ["lang", "source"])
 
 
 def cos(a: str, b: str) -> str:
     return f"list_inner_product({a}::double[], {b}::double[]) / sqrt(list_inner_product({a}::double[], {a}::double[]) * list_inner_product({b}::double[], {b}::double[]))"
 
 
-NEAR = f"(select q.vec_id query, v.vec_id doc, round({cos('q.embedding', 'v.embedding')}, 9) score from embeddings q, embeddings v where q.vec_id < 5 and q.vec_id <> v.vec_id)"
+NEAR = f"(select q.vec_id query, v.vec_id doc, round({cos('q.embedding', 'v.embedding')}, 9) score from embeddings q, embeddings v where q.vec_id % 50 = 0 and q.vec_id <> v.vec_id)"
 
 
 def asked(spark, d):
-    return table(spark, d, "embeddings").where("vec_id < 5").select(F.col("vec_id").alias("query"), F.col("embedding").alias("q"))
+    return table(spark, d, "embeddings").where("vec_id % 50 = 0").select(F.col("vec_id").alias("query"), F.col("embedding").alias("q"))
 
 
 @query(f"select query, doc, score, rank from (select *, row_number() over (partition by query order by score desc, doc) rank from {NEAR}) where rank <= 10")
@@ -127,8 +139,7 @@ def q_vector_topk(spark, d):
 
 @query(f"select query, doc, round(score, 6) score from {NEAR} where score > 0.2")
 def q_vector_cosine(spark, d):
-    e = table(spark, d, "embeddings")
-    return se.vector_top(e, asked(spark, d), 10**9).where("score > 0.2").select("query", "doc", F.round("score", 6).alias("score"))
+    return se.vector_near(table(spark, d, "embeddings"), asked(spark, d), 0.2).select("query", "doc", F.round("score", 6).alias("score"))
 
 
 @query("select vec_id, list_max(list_transform(embedding, lambda x: abs(x::double))) / 127 step, array_to_string(list_transform(embedding, lambda x: case when x >= 0 then '1' else '0' end), '') bits from embeddings")
@@ -139,7 +150,7 @@ def q_vector_quantized(spark, d):
 
 @query()
 def q_vector_ivf(spark, d):
-    return se.clustered(table(spark, d, "embeddings"), asked(spark, d), 10, 16, 6)
+    return se.clustered(table(spark, d, "embeddings"), asked(spark, d), 10)
 
 
 LIST = f"select doc, score from {score(TERMS)} order by score desc, doc limit 100"
@@ -165,23 +176,25 @@ def q_hybrid_rrf(spark, d):
 @query(f"with a as ({LIST}), b as (select doc, score from {NEAR} where query = 0) select a.doc, coalesce(b.score, -1) score from a left join b on a.doc = b.doc")
 def q_hybrid_rerank(spark, d):
     words, _ = both_lists(spark, d)
-    near = se.vector_top(table(spark, d, "embeddings"), asked(spark, d).where("query = 0"), 10**9).select("doc", F.col("score").alias("s"))
+    e = table(spark, d, "embeddings")
+    one = e.where("vec_id = 0").select(F.col("embedding").alias("q"), F.lit(0).cast("long").alias("one"))  # a row
+    near = e.join(words.select("doc"), F.col("vec_id") == F.col("doc"), "left_semi").where("vec_id <> 0").withColumn("one", F.lit(0).cast("long")).join(F.broadcast(one), "one")
+    near = near.select(F.col("vec_id").alias("doc"), F.round(se.cosine(F.col("embedding"), F.col("q")), 9).alias("s"))
     return words.select("doc").join(near, "doc", "left").select("doc", F.coalesce("s", F.lit(-1.0)).alias("score"))
 
 
-@query(f"with r as (select query, doc, rank from (select *, row_number() over (partition by query order by score desc, doc) rank from {NEAR}) where rank <= 10), j as (select q.vec_id query, v.vec_id doc from embeddings q, embeddings v where q.vec_id < 5 and v.vec_id <> q.vec_id and q.label = v.label), i as (select query, count(*) n from j group by all), h as (select query, rank, doc in (select doc from j where j.query = r.query) rel from r) select query, round(coalesce(sum(case when rel then 1 else 0 end), 0) / cast(n as double), 9) recall, round(coalesce(max(case when rel then 1.0::double / rank end), 0), 9) mrr, round(coalesce(sum(case when rel then 1 / log2(rank + 1) else 0 end), 0) / (select sum(1 / log2(g + 1)) from range(1, 11) t(g) where g <= n), 9) ndcg from h join i using (query) group by query, n")
+@query(f"with r as (select query, doc, rank from (select *, row_number() over (partition by query order by score desc, doc) rank from {NEAR}) where rank <= 10), j as (select q.vec_id query, v.vec_id doc from embeddings q, embeddings v where q.vec_id % 50 = 0 and v.vec_id <> q.vec_id and q.label = v.label), i as (select query, count(*) n from j group by all), h as (select query, rank, doc in (select doc from j where j.query = r.query) rel from r) select query, round(coalesce(sum(case when rel then 1 else 0 end), 0) / cast(n as double), 9) recall, round(coalesce(max(case when rel then 1.0::double / rank end), 0), 9) mrr, round(coalesce(sum(case when rel then 1 / log2(rank + 1) else 0 end), 0) / (select sum(1 / log2(g + 1)) from range(1, 11) t(g) where g <= n), 9) ndcg from h join i using (query) group by query, n")
 def q_ir_metrics(spark, d):
     e = table(spark, d, "embeddings")
-    q = e.where("vec_id < 5").select(F.col("vec_id").alias("query"), F.col("label").alias("ql"))
+    q = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query"), F.col("label").alias("ql"))
     judged = e.join(F.broadcast(q), (F.col("label") == F.col("ql")) & (F.col("vec_id") != F.col("query"))).select("query", F.col("vec_id").alias("doc"))
     return se.evaluation(se.vector_top(e, asked(spark, d), 10), judged)
 
 
-@query("with g as (select p_partkey, p_name, list_distinct(list_transform(range(1, len(p_name) + 2), lambda i: substr('  ' || lower(p_name) || ' ', i, 3))) t from part where p_partkey < 40) select a.p_partkey a, b.p_partkey b, round(len(list_intersect(a.t, b.t)) / cast(len(a.t) + len(b.t) - len(list_intersect(a.t, b.t)) as double), 9) j from g a, g b where a.p_partkey < b.p_partkey and len(list_intersect(a.t, b.t)) > 4")
+@query("with g as (select p_name, count(*) parts, list_distinct(list_transform(range(1, len(p_name) + 2), lambda i: substr('  ' || lower(p_name) || ' ', i, 3))) t from part group by p_name), p as (select a.p_name a, b.p_name b, a.parts * b.parts pairs, round(len(list_intersect(a.t, b.t)) / cast(len(a.t) + len(b.t) - len(list_intersect(a.t, b.t)) as double), 9) j from g a, g b where a.p_name < b.p_name) select * from p where j >= 0.4", longs="pairs")
 def q_trigram_jaccard(spark, d):
-    p = table(spark, d, "part").where("p_partkey < 40").select("p_partkey", tx.trigrams(F.col("p_name")).alias("t"))
-    a, b = p.select(F.col("p_partkey").alias("a"), F.col("t").alias("x")), p.select(F.col("p_partkey").alias("b"), F.col("t").alias("y"))
-    return a.join(b, F.col("a") < F.col("b")).where(F.size(F.array_intersect("x", "y")) > 4).select("a", "b", F.round(tx.jaccard(F.col("x"), F.col("y")), 9).alias("j"))
+    names = table(spark, d, "part").groupBy("p_name").agg(F.count(F.lit(1)).alias("parts"))
+    return se.similar(names.select("p_name", "parts", tx.trigrams(F.col("p_name")).alias("t")), "p_name", "t", 0.4).select("a", "b", (F.col("a_row.parts") * F.col("b_row.parts")).alias("pairs"), "j")
 
 
 STEM1 = "regexp_replace(term, '(sses|ies)$', 'ss')"
@@ -189,18 +202,16 @@ STEM2 = "case when len(w) > 3 and regexp_matches(w, '[^s]s$') then left(w, len(w
 STEM3 = "case when len(x) > 6 and ends_with(x, 'ing') then left(x, len(x) - 3) when len(x) > 5 and ends_with(x, 'ed') then left(x, len(x) - 2) else x end"
 
 
-@query(f"select stem, count(distinct term) forms, count(*) uses from (select term, {STEM3} stem from (select term, {STEM2} x from (select term, {STEM1} w from (select doc, unnest(w) term from {TOK} where doc % 5 = 0)))) where starts_with(stem, 'than') group by all")
+@query(f"select stem, count(distinct term) forms, count(*) uses from (select term, {STEM3} stem from (select term, {STEM2} x from (select term, {STEM1} w from (select doc, unnest(w) term from {TOK})))) where starts_with(stem, 'than') group by all")
 def q_search_stem(spark, d):
-    w = table(spark, d, "documents").where("doc_id % 5 = 0").select(F.explode(tx.words(F.col("text"))).alias("term"))
+    w = table(spark, d, "documents").select(F.explode(tx.words(F.col("text"))).alias("term"))
     s = w.withColumn("stem", tx.stem(F.col("term"))).where(F.startswith("stem", F.lit("than")))
     return s.groupBy("stem").agg(F.count_distinct("term").alias("forms"), F.count(F.lit(1)).alias("uses"))
 
 
 @query(f"with kept as (select doc, w from {TOK} where doc % 10 <> 3 union all select doc, ['replaced'] from {TOK} where doc % 10 = 3) select term, count(distinct doc) df from (select doc, unnest(w) term from kept) where term in ('the', 'replaced', 'tion') group by all")
 def q_index_upsert(spark, d):
-    from ..operators.sql import upsert
-
     docs = table(spark, d, "documents").select("doc_id", "text")
     changed = docs.where("doc_id % 10 = 3").select("doc_id", F.lit("replaced").alias("text"))
-    p = se.matching(upsert(docs, changed, ["doc_id"]), "doc_id", "text", ["the", "replaced", "tion"])
-    return p.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    own = ix.Index(spark, f"{shared_dir(spark)}/tidemark-index-{uuid.uuid4().hex}").build(docs, "doc_id", "text").upsert(changed, "doc_id", "text")
+    return own.postings(["the", "replaced", "tion"]).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
