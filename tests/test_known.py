@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import text as tx
 from tidemark.functions.ranges import RangeError, bucket, duration, span, step
-from tidemark.operators import calc, metrics, records, see, state
+from tidemark.operators import calc, dash, index, metrics, records, search, see, state
 from tidemark.operators import sql as b
 from tidemark.sources import formats, frames
 
@@ -62,6 +62,45 @@ def test_exact_sum_does_not_depend_on_partitions(spark):
         assert metrics.exact_sum(df.repartition(n), ["g"], "v").first().v == math.fsum(values)
 
 
+def test_sums_keep_all_digits(spark):
+    from fractions import Fraction
+
+    def near(values):
+        try:
+            return float(sum(map(Fraction, values)))
+        except OverflowError:
+            return float("inf")
+
+    rnd = random.Random(1)
+    groups = {"thousandths": [0.001] * 5, "large": [1e17, 1.0], "past a double": [1e308, 1e308], "least": [5e-324] * 3, "cancel": [1e300, 1.0, -1e300], "half": [2.0**53, 1.0, 2.0**-60], "zero": [0.0, -0.0]}
+    groups |= {f"r{i}": [rnd.choice([-1, 1]) * rnd.random() * 2.0 ** rnd.randint(-1070, 1000) for _ in range(rnd.randint(1, 20))] for i in range(40)}
+    groups |= {f"s{i}": [rnd.uniform(-9, 9) / 7 for _ in range(30)] for i in range(40)}
+    rows = [(k, v) for k, vs in groups.items() for v in vs] + [("none", None), ("inf", float("inf")), ("inf", 1.0)]
+    rnd.shuffle(rows)
+    df = spark.createDataFrame(rows, "g string, v double")
+    for n in (1, 5):
+        got = {r.g: r.v for r in metrics.exact_sum(df.repartition(n), ["g"], "v").collect()}
+        assert {k: got[k] for k in groups} == {k: near(vs) for k, vs in groups.items()}
+        assert got["none"] is None and got["inf"] == float("inf")
+
+
+def test_aggregates_keep_all_digits(spark):
+    g = samples(spark, [("a", t * S, v) for t, v in enumerate([0.001, 0.002])], kind="gauge")
+    assert metrics.aggregate(g, "avg", 0, 10 * S).first().value == 0.0015
+    assert metrics.aggregate(samples(spark, [("a", t * S, 0.001) for t in range(5)]), "sum", 0, 10 * S).first().value == 0.005
+    c = samples(spark, [("a", t * S, v) for t, v in enumerate([0, 0.004, 0.008])])
+    assert metrics.aggregate(c, "increase", 0, 10 * S).first().value == 0.008
+    assert metrics.aggregate(c, "delta", 0, 10 * S).first().value == 0.008
+    assert metrics.aggregate(samples(spark, [("a", 0, 1e17), ("b", S, 1.0)]), "last", 0, 10 * S).first().value == 1e17
+    r = metrics.roll_again(metrics.rollup(samples(spark, [("a", t * S, v) for t, v in enumerate([1e308, 1e308, -1e308, 0.5])]), S, ["name"]), S, 10 * S, ["name"]).first()
+    assert (r.total, r.n, r.low, r.high, r["first"], r["last"]) == (1e308, 4, -1e308, 1e308, 1e308, 0.5)
+    f = spark.createDataFrame([("x", 0.001, 3, 1), ("x", 0.002, 4, 2), ("y", None, None, 3)], "k string, v double, n int, t long")
+    got = {r.k: (r.s, r.m, r.t, r.v, r.n) for r in calc.calculate(f, {"v": {"op": "sum", "as": "s"}}, ["k"]).join(calc.calculate(f, {"v": {"op": "avg", "as": "m"}, "n": {"op": "sum", "as": "t"}}, ["k"]), "k").join(calc.calculate(f, {"v": {"op": "last"}, "n": {"op": "max"}}, ["k"], "t"), "k").collect()}
+    assert got == {"x": (0.003, 0.0015, 7, 0.002, 4), "y": (None, None, None, None, None)}
+    inc = spark.createDataFrame([("a", 0, 0.001), ("a", 1, 0.002)], "k string, at long, n double")
+    assert state.instruments(inc, ["k"], "at", "n", 10, 5).first().added == 0.003
+
+
 def test_refusals(spark):
     s = samples(spark, [("a", 0, 1)])
     for bad in ({"host": None}, {"host": {"not": "a"}}, {"host": []}, {"host": {"prefix": ""}}):
@@ -153,11 +192,11 @@ def test_frames(spark):
         frames.frame(spark, [{"a": 2**60}, {"a": 0.5}])
 
 
-def test_text():
+def test_text(spark):
     assert tx.normalise("Ёлка Ｃafé") == "елка cafe"
     assert tx.close("form", "from", 1) and not tx.close("form", "farm2", 1)
     assert tx.name_tokens("o_custkey") == ["custkey"] and tx.singular("categories") == "category"
-    assert tx.bigrams("日本語") == ["日本", "本語"]
+    assert [r.w for r in spark.createDataFrame([("日本語の can’t Ёлка ﬁne",), ("ก็ไม่",)], "t string").select(tx.words(F.col("t")).alias("w")).collect()] == [["日本", "本語", "語の", "cant", "елка", "fine"], ["ก็ไ", "ไม่"]]
     assert see.key_stem("o_custkey") == "cust"
     assert see.auto_unit(30) == "day" and see.auto_unit(300) == "week" and see.auto_unit(1000) == "month"
 
@@ -237,3 +276,134 @@ def test_candidates():
     mixed = c.Table("pay", "fact", 5000, (*orders.columns, c.Column("currency", "currency"), c.Column("status", "category", distinct=3)))
     assert c.forbidden(c.Candidate("T3", mixed, "sum", orders.columns[2], orders.columns[1])) == "H5"
     assert c.abstains(c.Candidate("T3", mixed, "sum", orders.columns[2], orders.columns[1])) == "needs-population"
+
+
+def test_normalised_letters_as_in_python(spark):
+    texts = ["Ёжик Ångström Ｃafé ﬁne ǅ Ĳ", "ÀÉÎÕÜ àéîõü ß İ", "Άλφα ΌΜΙΚΡΟΝ", "Й й Ї ў", "e\u0301 i\u0308", "한국어 กำ がぎ", "plain ascii TEXT 123"]
+    got = [r.w for r in spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").orderBy("i").select(tx.normalised(F.col("t")).alias("w")).collect()]
+    for t, g in zip(texts[:5] + texts[6:], got[:5] + got[6:], strict=True):
+        assert g == tx.normalise(t), t
+
+
+def test_stems_by_script(spark):
+    words = {"ru": [("книгами", "книг"), ("книга", "книг"), ("дом", "дом")], "de": [("zeitungen", "zeit"), ("hund", "hund")], "fr": [("chantees", "chant"), ("mot", "mot")], "es": [("cantando", "cant"), ("sol", "sol")]}
+    for language, pairs in words.items():
+        df = spark.createDataFrame(pairs, "w string, s string")
+        assert all(r.g == r.s for r in df.select("s", tx.stem(F.col("w"), language).alias("g")).collect()), language
+    df = spark.createDataFrame([("книгами", "книг"), ("walking", "walk"), ("日本", "日本")], "w string, s string")
+    assert all(r.g == r.s for r in df.select("s", tx.stem_by_script(F.col("w")).alias("g")).collect())
+
+
+def test_typo_distance_counts_a_swap_once(spark):
+    rnd = random.Random(2)
+    for word in ("worthless", "banana", "aabb"):
+        terms = {word}
+        for _ in range(300):
+            w = list(word)
+            for _ in range(rnd.randint(0, 3)):
+                p, kind = rnd.randrange(len(w)), rnd.randrange(4)
+                if kind == 0:
+                    w[p] = rnd.choice("abwz")
+                elif kind == 1:
+                    w.insert(p, rnd.choice("abwz"))
+                elif kind == 2 and len(w) > 2:
+                    w.pop(p)
+                elif p + 1 < len(w):
+                    w[p], w[p + 1] = w[p + 1], w[p]
+            terms.add("".join(w))
+        df = spark.createDataFrame([(t,) for t in terms], "term string")
+        for r in df.select("term", tx.distance(F.col("term"), word).alias("d")).collect():
+            for most in (0, 1, 2):
+                assert (r.d <= most) == tx.close(word, r.term, most), (word, r.term, r.d)
+
+
+def test_index_keeps_step_with_its_table(spark, tmp_path):
+    rnd = random.Random(4)
+    word = lambda: f"w{int(rnd.paretovariate(0.7)) % 60}"
+    text = lambda: " ".join(word() for _ in range(rnd.randint(0, 30)))
+    rows = {i: text() for i in range(120)} | {500: "", 501: None}
+    frame = lambda x: spark.createDataFrame(list(x.items()), "doc_id long, text string")
+    own = index.Index(spark, str(tmp_path / "i")).build(frame(rows), "doc_id", "text", files=6)
+
+    def check(own):
+        from collections import Counter
+
+        terms = ["w1", "w2", "w17", "new", "absent"]
+        want = {(i, t, n, len((x or "").split())) for i, x in rows.items() for t, n in Counter((x or "").split()).items() if t in terms}
+        assert {tuple(r) for r in own.postings(terms).collect()} == want
+        lengths = [len((x or "").split()) for x in rows.values()]
+        assert own.statistics[0] == len(rows) and abs(own.statistics[1] - sum(lengths) / len(rows)) < 1e-9
+        df = Counter(t for x in rows.values() for t in set((x or "").split()))
+        assert {r.term: r.df for r in own.dictionary().collect()} == dict(df)
+
+    check(own)
+    for k in range(2):
+        changed = {i: text() + " new" for i in rnd.sample(range(150), 20)}
+        gone = rnd.sample(sorted(set(rows) - set(changed)), 5)
+        rows = {i: x for i, x in (rows | changed).items() if i not in gone}
+        own = own.upsert(frame(changed), "doc_id", "text", deleted=spark.createDataFrame([(i,) for i in gone], "doc_id long"), files=2)
+        check(own)
+    check(own.compact(str(tmp_path / "j"), files=3))
+    assert "PushedFilters: [In(term" in own.postings(["w1", "w2"])._jdf.queryExecution().toString()
+
+
+def test_clustered_search_recalls_the_nearest(spark):
+    e = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    q = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query"), F.col("embedding").alias("q"))
+    exact = {(r.query, r.doc) for r in search.vector_top(e, q, 10).collect()}
+    found = {(r.query, r.doc) for r in search.clustered(e, q, 10).collect()}
+    assert len(exact) == 10 * q.count() and len(exact & found) / len(exact) >= 0.9
+
+
+def test_running_sums_in_order(spark):
+    from tidemark.functions.ordered import running
+
+    rnd = random.Random(1)
+    rows = [(x, rnd.randint(0, 5)) for x in {rnd.paretovariate(1.1) for _ in range(3000)}]
+    got = {r.x: r.o for r in running(spark.createDataFrame(rows, "x double, n long"), "x", "n", "o", 16).collect()}
+    total = 0
+    for x, n in sorted(rows):
+        assert got[x] == total
+        total += n
+    assert running(spark.createDataFrame([], "x double, n long"), "x", "n", "o").count() == 0
+
+
+def test_numbers_as_scripts_write_them(spark):
+    want = {5.0: "5", 0.1: "0.1", 1e21: "1e+21", 1e20: "100000000000000000000", 123456789.25: "123456789.25", 1e-6: "0.000001", 1.5e-7: "1.5e-7", -2.5: "-2.5", 0.0: "0", -0.0: "0", 1e300: "1e+300", 1234.0: "1234", 2e7: "20000000", 1.0e10 / 3: "3333333333.3333335", float("inf"): "Infinity", 0.001: "0.001"}
+    df = spark.createDataFrame([(k, v) for k, v in want.items()], "x double, s string")
+    for r in df.select("x", "s", dash.number_text(F.col("x")).alias("t")).collect():
+        assert r.t == r.s, r.x
+
+
+def test_pages_of_samples_cover_all_in_order(spark):
+    s = samples(spark, [("ab"[i % 2], (i // 4) * S, i) for i in range(23)])
+    seen, cursor = [], None
+    while page := metrics.page(s, 5, cursor).orderBy("series", "us", "seq").collect():
+        seen += [r.seq for r in page]
+        cursor = (page[-1].name, page[-1].series, page[-1].us, page[-1].seq)
+    assert seen == [i for i in range(23) if i % 2 == 0] + [i for i in range(23) if i % 2]
+
+
+def test_panels_known_and_guessed(spark):
+    known = dash.known_panels(spark.createDataFrame([("a", "counter"), ("b", "histogram"), ("c", "odd")], "name string, kind string"))
+    guessed = dash.guessed_panels(spark.createDataFrame([], "id long, at timestamp, n double, s string"), "t", ["id"])
+    assert sorted(map(tuple, known.collect())) == [("a", "a", "rate", False), ("b", "b", "p95", False)]
+    assert sorted(map(tuple, guessed.collect())) == [("t", "at", "rows per day", True), ("t", "n", "sum", True)]
+    told = dash.confirmed(guessed, spark.createDataFrame([("t", "n", "revenue")], "source string, title string, meaning string"))
+    assert sorted(map(tuple, told.collect())) == [("t", "at", "rows per day", True), ("t", "revenue", "sum", False)]
+
+
+def test_features_roles_and_key_scores():
+    assert see.Feature.of(0).get() == 0 and see.Feature.of(None).state == "absent" and see.Feature.of(3, age=5, oldest=4).state == "stale"
+    with pytest.raises(RangeError):
+        see.Feature.of(1, allowed=False).get()
+    t = lambda name, key, **k: see.Columns(name, dict.fromkeys([key, *k], "int"), key)
+    keys = [("link", "a_id", "a", "id"), ("link", "b_id", "b", "id"), ("fact", "a_id", "a", "id"), ("fact", "b_id", "b", "id")]
+    assert see.table_role(t("link", "id"), {"id": "identifier", "a_id": "reference", "b_id": "reference"}, keys, 10**6) == "link"
+    assert see.table_role(t("fact", "id"), {"id": "identifier", "a_id": "reference", "b_id": "reference", "price": "money"}, keys, 10**6) == "fact"
+    assert see.table_role(t("fact", "id"), {"id": "identifier", "a_id": "reference", "b_id": "reference", "day": "event"}, keys, 10**6, (("a_id", "day"),)) == "snapshot"
+    assert see.table_role(t("a", "id"), {"id": "identifier", "name": "text"}, keys, 10**6) == "lookup"
+    assert see.table_role(t("a", "id"), {"id": "identifier", "made": "created", "changed": "updated"}, keys, 10**6) == "entity"
+    assert see.table_role(t("audit_log", "id"), {"id": "identifier", "x": "text"}, keys, 10**6) == "event"
+    s = see.key_scores({1, 2, 3}, {2, 3, 4, 5})
+    assert (round(s["precision"], 3), s["recall"], round(s["f1"], 3)) == (0.667, 0.5, 0.571) and s["low"] <= s["f1"] <= s["high"]

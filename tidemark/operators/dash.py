@@ -72,6 +72,60 @@ def heard(messages: DataFrame, branch: list[str], recursive: bool = False) -> Da
     return messages.where(F.slice("branch", 1, len(branch)) == own if recursive and branch else F.lit(True) if recursive else F.col("branch") == own)
 
 
+# How what a store says of a series is shown.
+KNOWN = {"gauge": "average", "counter": "rate", "histogram": "p95", "stream": "count per hour"}
+
+
+def known_panels(sources: DataFrame) -> DataFrame:
+    """Panels of sources that say what they are: (source, title, panel, guessed = false). sources(name, kind)."""
+    panel = F.element_at(F.create_map(*(F.lit(x) for kv in KNOWN.items() for x in kv)), F.col("kind"))
+    return sources.select(F.col("name").alias("source"), F.col("name").alias("title"), panel.alias("panel"), F.lit(False).alias("guessed")).where("panel is not null")
+
+
+def guessed_panels(df: DataFrame, table: str, keys: list[str]) -> DataFrame:
+    """Panels of a table that says nothing but types: times are rows per day, numbers that are no keys sums; marked as
+    guessed, and titled by the column's name, never by a meaning."""
+    rows = [(table, c, "rows per day" if t.startswith(("timestamp", "date")) else "sum", True) for c, t in df.dtypes if t.startswith(("timestamp", "date", "decimal")) or (t in ("int", "bigint", "smallint", "float", "double") and c not in keys)]
+    return df.sparkSession.createDataFrame(rows, "source string, title string, panel string, guessed boolean")
+
+
+def confirmed(panels: DataFrame, meanings: DataFrame) -> DataFrame:
+    """Panels with the titles that people confirmed; these are known from then on. meanings(source, title, meaning)."""
+    out = panels.join(F.broadcast(meanings), ["source", "title"], "left")
+    return out.select("source", F.coalesce("meaning", "title").alias("title"), "panel", (F.col("guessed") & F.col("meaning").isNull()).alias("guessed"))
+
+
+def repeated(frame: DataFrame, variable: str, values: list | None = None) -> DataFrame:
+    """A panel per value of a variable: the frame's rows with the name of their panel, in one plan for all panels."""
+    rows = frame if values is None else frame.where(F.col(variable).isin(values))
+    return rows.withColumn("panel", F.concat(F.lit(f"{variable} = "), F.col(variable).cast("string")))
+
+
+def number_text(x: Column) -> Column:
+    """A double as scripts write it: ``5``, ``0.1``, ``1e+21``, ``1e-7``; shortest digits that name it."""
+    text = F.abs(x).cast("string")
+    whole, part = F.regexp_extract(text, r"^(\d+)", 1), F.regexp_extract(text, r"\.(\d+)", 1)
+    power = F.coalesce(F.nullif(F.regexp_extract(text, r"E(-?\d+)$", 1), F.lit("")).cast("int"), F.lit(0))
+    # Digits without zeros at either end, and the power of ten before the first of them.
+    lead = F.regexp_replace(F.concat(whole, F.when(part == "0", "").otherwise(part)), "^0+", "")
+    zeros = F.length(F.concat(whole, part)) - F.length(F.regexp_replace(F.concat(whole, part), "^0+", ""))
+    digits = F.regexp_replace(lead, "0+$", "")
+    n, point = F.length(digits), F.length(whole) - zeros + power
+    mantissa = F.when(n > 1, F.concat(F.substring(digits, 1, 1), F.lit("."), F.substring(digits, F.lit(2), n))).otherwise(digits)
+    plain = F.when(point >= n, F.rpad(digits, point, "0")).when(point > 0, F.concat(F.substring(digits, F.lit(1), point), F.lit("."), F.substring(digits, point + 1, n))).otherwise(F.concat(F.lit("0."), F.repeat(F.lit("0"), -point), digits))
+    shown = F.when((point > 21) | (point < -5), F.concat(mantissa, F.when(point > 0, "e+").otherwise("e"), (point - 1).cast("string"))).otherwise(plain)
+    return F.when(F.isnan(x), "NaN").when(x == 0, "0").otherwise(F.concat(F.when(x < 0, "-").otherwise(""), F.when(F.abs(x) == float("inf"), "Infinity").otherwise(shown)))
+
+
+def commas(x: Column, digits: int = 0) -> Column:
+    return F.format_number(x, digits)
+
+
+def share(part: Column, whole: Column, digits: int = 1) -> Column:
+    """A share in percent; of nothing there is none."""
+    return F.when(whole != 0, F.concat(F.format_number(100.0 * part / whole, digits), F.lit("%")))
+
+
 def suggestion(times: int, numbers: int, labels: int, rows: int) -> str:
     """How to draw a frame by its shape, the cheapest drawing first."""
     if rows == 1 and numbers == 1:

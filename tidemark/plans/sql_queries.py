@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import exact
+from ..functions.ordered import running
 from ..functions.ranges import bucket
 from ..operators import calc
 from ..operators import sql as b
@@ -17,10 +19,6 @@ def t(spark: SparkSession, d: str, *names: str):
     return [table(spark, d, n) for n in names]
 
 
-def money(c: str):
-    return F.sum(F.col(c).cast("decimal(18,2)")).cast("double")
-
-
 @query("select o_orderkey, c_name from orders join customer on o_custkey = c_custkey where c_mktsegment = 'MACHINERY'")
 def q_join_inner(spark, d):
     o, c = t(spark, d, "orders", "customer")
@@ -34,10 +32,10 @@ def q_join_left(spark, d):
     return c.join(per, c.c_custkey == per.o_custkey, "left").select("c_custkey", F.coalesce("k", F.lit(0)).alias("n"))
 
 
-@query("select p_partkey, s_suppkey from (select * from part where p_partkey < 300) full join (select * from supplier where s_suppkey > 50) on p_partkey = s_suppkey")
+@query("select p_partkey, s_suppkey from part full join (select * from supplier where s_suppkey > 50) on p_partkey = s_suppkey")
 def q_join_full(spark, d):
     p, s = t(spark, d, "part", "supplier")
-    return p.where("p_partkey < 300").join(s.where("s_suppkey > 50"), p.p_partkey == s.s_suppkey, "full").select("p_partkey", "s_suppkey")
+    return p.join(s.where("s_suppkey > 50"), p.p_partkey == s.s_suppkey, "full").select("p_partkey", "s_suppkey")
 
 
 @query("select c_custkey from customer where exists (select 1 from orders where o_custkey = c_custkey and o_totalprice > 400000)")
@@ -52,12 +50,12 @@ def q_join_anti(spark, d):
     return c.join(o.where("o_totalprice > 400000"), o.o_custkey == c.c_custkey, "left_anti").select("c_custkey")
 
 
-@query(f"select r_name, cast(sum(cast(l_extendedprice as decimal(18,2))) as double) revenue from lineitem join (select distinct o_orderkey, o_custkey from orders) on l_orderkey = o_orderkey join customer on o_custkey = c_custkey join nation on c_nationkey = n_nationkey join region on n_regionkey = r_regionkey group by all")
+@query(f"select r_name, round(fsum(l_extendedprice), 4) revenue from lineitem join (select distinct o_orderkey, o_custkey from orders) on l_orderkey = o_orderkey join customer on o_custkey = c_custkey join nation on c_nationkey = n_nationkey join region on n_regionkey = r_regionkey group by all")
 def q_see_path_join(spark, d):
     li, o, c, n, r = t(spark, d, "lineitem", "orders", "customer", "nation", "region")
     o = o.select("o_orderkey", "o_custkey").distinct()
     j = li.select("l_orderkey", "l_extendedprice").join(o, li.l_orderkey == o.o_orderkey).join(c, o.o_custkey == c.c_custkey).join(n, c.c_nationkey == n.n_nationkey).join(r, n.n_regionkey == r.r_regionkey)
-    return j.groupBy("r_name").agg(money("l_extendedprice").alias("revenue"))
+    return exact.sums(j.select("r_name", "l_extendedprice"), ["r_name"], {"revenue": [F.col("l_extendedprice")]}).withColumn("revenue", F.round("revenue", 4))
 
 
 @query("select a.n_nationkey, b.n_nationkey other from nation a join nation b on a.n_regionkey = b.n_regionkey and a.n_nationkey < b.n_nationkey")
@@ -140,13 +138,14 @@ def q_union_frames(spark, d):
 @query("select l_returnflag, l_linestatus, sum(l_quantity) qty, round(sum(l_extendedprice), 2) price, count(*) n from lineitem where l_shipdate <= timestamp '1998-09-02' group by all")
 def q_pricing_summary(spark, d):
     li = table(spark, d, "lineitem").where("l_shipdate <= timestamp_ntz '1998-09-02'")
-    return li.groupBy("l_returnflag", "l_linestatus").agg(F.sum("l_quantity").alias("qty"), money("l_extendedprice").alias("price"), F.count(F.lit(1)).alias("n"))
+    out = exact.sums(li, ["l_returnflag", "l_linestatus"], {"price": [F.col("l_extendedprice")]}, {"qty": (F.sum("l_quantity"), "sum"), "n": (F.count(F.lit(1)), "sum")})
+    return out.withColumn("price", F.round("price", 2))
 
 
-@query("select o_custkey, o_orderkey, row_number() over (partition by o_custkey order by o_totalprice desc, o_orderkey) rn, ntile(4) over (partition by o_custkey order by o_totalprice desc, o_orderkey) fourth from orders where o_custkey < 200")
+@query("select o_custkey, o_orderkey, row_number() over (partition by o_custkey order by o_totalprice desc, o_orderkey) rn, ntile(4) over (partition by o_custkey order by o_totalprice desc, o_orderkey) fourth from orders")
 def q_quantile_rows(spark, d):
     w = Window.partitionBy("o_custkey").orderBy(F.desc("o_totalprice"), "o_orderkey")
-    return table(spark, d, "orders").where("o_custkey < 200").select("o_custkey", "o_orderkey", F.row_number().over(w).cast("long").alias("rn"), F.ntile(4).over(w).cast("long").alias("fourth"))
+    return table(spark, d, "orders").select("o_custkey", "o_orderkey", F.row_number().over(w).cast("long").alias("rn"), F.ntile(4).over(w).cast("long").alias("fourth"))
 
 
 @query("select year(o_orderdate) y, sum(case when o_orderstatus = 'O' then 1 else 0 end) o, sum(case when o_orderstatus = 'F' then 1 else 0 end) f from orders group by all", longs="o f")
@@ -165,10 +164,10 @@ def site_frame(spark, d):
     return j.select("r_name", "n_name", "n_nationkey", "o_totalprice", "o_orderdate", "o_orderkey")
 
 
-@query(f"select r_name, cast(sum(cast(o_totalprice as decimal(18,2))) as double) revenue, count(o_orderkey) n, arg_max(o_orderkey, (o_orderdate, o_orderkey)) newest from orders join customer on o_custkey = c_custkey join {SITE} on c_nationkey = n_nationkey group by all")
+@query(f"select r_name, round(fsum(o_totalprice), 4) revenue, count(o_orderkey) n, arg_max(o_orderkey, (o_orderdate, o_orderkey)) newest from orders join customer on o_custkey = c_custkey join {SITE} on c_nationkey = n_nationkey group by all")
 def q_calc_sum_by_site(spark, d):
     f = site_frame(spark, d).withColumn("at", F.struct("o_orderdate", "o_orderkey")).withColumn("k", F.col("o_orderkey"))
-    return calc.calculate(f, {"o_totalprice": {"op": "sum", "as": "revenue"}, "o_orderkey": {"op": "count", "as": "n"}, "k": {"op": "last", "as": "newest"}}, ["r_name"], time="at")
+    return calc.calculate(f, {"o_totalprice": {"op": "sum", "as": "revenue"}, "o_orderkey": {"op": "count", "as": "n"}, "k": {"op": "last", "as": "newest"}}, ["r_name"], time="at").withColumn("revenue", F.round("revenue", 4))
 
 
 @query(f"select r_name, bool_and(n_nationkey % 7 <> 0) complete, coalesce(string_agg(case when n_nationkey % 7 = 0 then n_name end, ',' order by n_name), '') missing from {SITE} group by all")
@@ -184,12 +183,12 @@ def q_calc_empty_zero(spark, d):
     return calc.empty_zero(got, table(spark, d, "nation"), ["n_name"], ["n"])
 
 
-@query("select c_mktsegment, c_nationkey % 2 currency, cast(sum(cast(c_acctbal as decimal(18,2))) as double) balance from customer group by all")
+@query("select c_mktsegment, c_nationkey % 2 currency, round(fsum(c_acctbal), 4) balance from customer group by all")
 def q_calc_currency(spark, d):
     c = table(spark, d, "customer").withColumn("currency", F.col("c_nationkey") % 2)
     out = calc.calculate(c, {"c_acctbal": {"op": "sum", "as": "balance"}}, ["c_mktsegment", "currency"])
     one = calc.one_unit(c.withColumn("unit", F.col("currency")), "unit", ["c_mktsegment", "currency"])
-    return out.join(one, ["c_mktsegment", "currency"]).drop("unit")
+    return out.withColumn("balance", F.round("balance", 4)).join(one, ["c_mktsegment", "currency"]).drop("unit")
 
 
 @query("select name, json_extract_string(labels, '$.o_orderstatus') as status, count(*) n from (select unnest(['o_orderkey', 'o_custkey', 'o_totalprice']) as name, json_object('o_orderstatus', o_orderstatus) labels from orders) group by all")
@@ -203,7 +202,7 @@ def q_threshold_states(spark, d):
     return table(spark, d, "supplier").select("s_suppkey", calc.thresholds(F.col("s_acctbal"), 4000, 8000).alias("state"))
 
 
-EVAL = f"(select event_type, at_us, sum(v) > 700 breach from (select event_type, epoch_us(ts) - epoch_us(ts) % {12 * HOUR} at_us, cast(value as decimal(18,2)) v from events) group by all)"
+EVAL = f"(select event_type, at_us, fsum(value) > 700 breach from (select event_type, epoch_us(ts) - epoch_us(ts) % {12 * HOUR} at_us, value from events) group by all)"
 STATES = f"(select *, sum(ch) over (partition by event_type order by at_us) run from (select *, case when lag(breach) over (partition by event_type order by at_us) is distinct from breach then 1 else 0 end ch from {EVAL}))"
 FIRES = f"(select *, breach and at_us - min(at_us) over (partition by event_type, run) >= {DAY} fires, row_number() over (partition by event_type, run order by at_us) no from {STATES})"
 ALERT = f"(select event_type, at_us, case when fires then 'firing' when breach then 'pending' when no = 1 and coalesce(lag(fires) over (partition by event_type order by at_us), false) then 'resolved' else 'ok' end state from {FIRES})"
@@ -211,7 +210,7 @@ ALERT = f"(select event_type, at_us, case when fires then 'firing' when breach t
 
 def evaluations(spark, d):
     e = table(spark, d, "events").withColumn("at_us", bucket(micros(F.col("ts")), 12 * HOUR))
-    return e.groupBy("event_type", "at_us").agg((F.sum(F.col("value").cast("decimal(18,2)")) > 700).alias("breach"))
+    return exact.sums(e, ["event_type", "at_us"], {"total": [F.col("value")]}).select("event_type", "at_us", (F.col("total") > 700).alias("breach"))
 
 
 @query(f"select event_type, at_us, state from {ALERT}")
@@ -236,9 +235,9 @@ def q_row_cap(spark, d):
     return b.checked(table(spark, d, "orders"), 1000).agg(F.count(F.lit(1)).alias("fetched")).select("fetched", (F.col("fetched") > 1000).alias("truncated"))
 
 
-@query("""select o_orderkey, '{"key":"' || o_orderkey || '","status":"' || o_orderstatus || '"}' as json from orders where o_orderkey < 200""")
+@query("""select o_orderkey, '{"key":"' || o_orderkey || '","status":"' || o_orderstatus || '"}' as json from orders""")
 def q_frame_json(spark, d):
-    o = table(spark, d, "orders").where("o_orderkey < 200")
+    o = table(spark, d, "orders")
     return o.select("o_orderkey", F.to_json(F.struct(F.col("o_orderkey").cast("string").alias("key"), F.col("o_orderstatus").alias("status"))).alias("json"))
 
 
@@ -247,11 +246,10 @@ def q_geo_box(spark, d):
     return table(spark, d, "lineitem").where(F.col("l_quantity").between(10, 20) & F.col("l_extendedprice").between(20000, 30000)).select("l_orderkey", "l_linenumber")
 
 
-@query("select round(corr(rx, ry), 9) rho from (select rank() over (order by l_quantity) + (count(*) over (partition by l_quantity) - 1) / 2.0 rx, rank() over (order by l_extendedprice) + (count(*) over (partition by l_extendedprice) - 1) / 2.0 ry from lineitem where l_orderkey < 2000)")
+@query("select round(corr(rx, ry), 9) rho from (select rank() over (order by l_quantity) + (count(*) over (partition by l_quantity) - 1) / 2.0 rx, rank() over (order by l_extendedprice) + (count(*) over (partition by l_extendedprice) - 1) / 2.0 ry from lineitem)")
 def q_spearman(spark, d):
-    li = table(spark, d, "lineitem").where("l_orderkey < 2000").select("l_quantity", "l_extendedprice")
-    for x in ("l_quantity", "l_extendedprice"):  # ranks by counts of values, which are few, not of rows
-        per = li.groupBy(x).agg(F.count(F.lit(1)).alias("c"))
-        per = per.withColumn(f"r_{x}", F.sum("c").over(Window.orderBy(x)) - (F.col("c") - 1) / 2).drop("c")
-        li = li.join(per, x)
+    li = table(spark, d, "lineitem").select("l_quantity", "l_extendedprice")
+    for x in ("l_quantity", "l_extendedprice"):  # ranks by counts of values
+        per = running(li.groupBy(x).agg(F.count(F.lit(1)).alias("c")), x, "c", "ahead")
+        li = li.join(per.select(x, (F.col("ahead") + (F.col("c") + 1) / 2).alias(f"r_{x}")), x)
     return li.agg(F.round(F.corr("r_l_quantity", "r_l_extendedprice"), 9).alias("rho"))
