@@ -407,3 +407,47 @@ def test_features_roles_and_key_scores():
     assert see.table_role(t("audit_log", "id"), {"id": "identifier", "x": "text"}, keys, 10**6) == "event"
     s = see.key_scores({1, 2, 3}, {2, 3, 4, 5})
     assert (round(s["precision"], 3), s["recall"], round(s["f1"], 3)) == (0.667, 0.5, 0.571) and s["low"] <= s["f1"] <= s["high"]
+
+
+def test_corpora(spark, tmp_path):
+    from tidemark.sources import corpora
+
+    (tmp_path / "qrels").mkdir()
+    (tmp_path / "collection.tsv").write_text('1\tsome "text" here\n2\tother\n')
+    (tmp_path / "queries.tsv").write_text("7\twhat\n")
+    (tmp_path / "qrels.tsv").write_text("7 0 1 1\n7\t0\t2\t0\n\n")
+    docs, questions, qrels = corpora.msmarco(spark, str(tmp_path))
+    assert sorted(map(tuple, docs.collect())) == [("1", None, 'some "text" here'), ("2", None, "other")]
+    assert questions.first().text == "what" and [tuple(r) for r in corpora.relevant(qrels).collect()] == [("7", "1")]
+    (tmp_path / "corpus.jsonl").write_text('{"_id": "a", "title": "T", "text": "x"}\n')
+    (tmp_path / "queries.jsonl").write_text('{"_id": "q", "text": "y"}\n')
+    (tmp_path / "qrels" / "test.tsv").write_text("query-id\tcorpus-id\tscore\nq\ta\t2\n")
+    docs, questions, qrels = corpora.beir(spark, str(tmp_path))
+    assert (tuple(docs.first()), tuple(questions.first()), tuple(qrels.first())) == (("a", "T", "x"), ("q", "y"), ("q", "a", 2))
+
+
+def test_backup(spark, tmp_path):
+    from tidemark.sources import backup
+
+    df = spark.range(100).selectExpr("id", "id * 2 as n")
+    told = backup.backup(spark, {"a": df, "b": df.limit(3)}, str(tmp_path / "x"))
+    assert told.count() >= 2 and backup.broken(spark, str(tmp_path / "x")).count() == 0
+    assert sorted(backup.restore(spark, str(tmp_path / "x"), ["a", "b"])["a"].collect()) == sorted(df.collect())
+    part = next((tmp_path / "x" / "data" / "a").glob("part-*.parquet"))
+    (part.parent / f".{part.name}.crc").unlink()
+    part.write_bytes(part.read_bytes()[:-1] + b"x")
+    assert [r.why for r in backup.broken(spark, str(tmp_path / "x")).collect()] == ["changed"]
+    with pytest.raises(ValueError, match="not whole"):
+        backup.restore(spark, str(tmp_path / "x"), ["a"])
+
+
+def test_scrapes_and_probes(spark):
+    from tidemark.sources import reads
+
+    df = spark.createDataFrame([("h1", 5_000_000, 200, 10, "# TYPE x counter\nx_total{a=\"b\"} 3\ny 1 2000\n"), ("h2", 6_000_000, 500, 20, "x 1"), ("h3", 7_000_000, None, None, None), ("h4", 1, 200, 9000, "")], "instance string, us long, status int, took_us long, body string")
+    got = sorted((r.instance, r.name, r.us, r.value, sorted(r.labels.items())) for r in reads.scraped(df).collect())
+    assert [g[:4] for g in got] == [("h1", "x_total", 5_000_000, 3.0), ("h1", "y", 2_000_000_000, 1.0)] or [g[:4] for g in got] == [("h1", "x_total", 5_000_000, 3.0), ("h1", "y", 2_000_000, 1.0)]
+    assert got[0][4] == [("a", "b"), ("instance", "h1")]
+    assert {r.instance: r.state for r in reads.probes(df, 1000).collect()} == {"h1": "up", "h2": "down", "h3": "down", "h4": "slow"}
+    change = spark.createDataFrame([("h1", "up", "down", 5)] * 2, "instance string, was string, state string, us long")
+    assert reads.notices(change, "http://x").count() == 1

@@ -34,12 +34,20 @@ def calls(spark, d):
     return table(spark, d, "events").select(F.col("user_id").alias("user"), micros(F.col("ts")).alias("at"), F.col("event_id").alias("seq"), F.lit(1).cast("long").alias("amount"))
 
 
-@query()
+CALLS = "(select user_id u, event_id seq, epoch_us(ts) us, row_number() over (partition by user_id order by epoch_us(ts), event_id) rn from events)"
+
+
+@query(f"with recursive c as {CALLS}, w as (select u, seq, us, rn, us b, 1 total from c where rn = 1 union all select c.u, c.seq, c.us, c.rn, case when c.us >= w.b + {DAY} then c.us else w.b end, case when c.us >= w.b + {DAY} then 1 else w.total + 1 end from w join c on c.u = w.u and c.rn = w.rn + 1) select u as user, seq, b window_begin, total from w", longs="total")
 def q_counter_windows(spark, d):
     return st.counter_windows(calls(spark, d), "user", "at", "amount", DAY)
 
 
-@query()
+EACH = DAY // 3
+
+
+@query(f"""with recursive c as {CALLS}, w as (select u, seq, us, rn, us base, us + {EACH} tat, true ok from c where rn = 1
+union all select u, seq, us, rn, base, case when base - us > {DAY - EACH} then tat else base + {EACH} end, base - us <= {DAY - EACH} from (select c.u, c.seq, c.us, c.rn, greatest(c.us, w.tat) base, w.tat from w join c on c.u = w.u and c.rn = w.rn + 1))
+select u as user, seq, ok, case when ok then ({DAY} - (tat - us)) // {EACH} else 0 end tokens_left, case when ok then us else base - {DAY - EACH} end retry_at from w""", longs="tokens_left retry_at")
 def q_rate_limit(spark, d):
     return st.rate_limit(calls(spark, d), "user", "at", 3, DAY)
 
@@ -120,6 +128,6 @@ def q_debounce(spark, d):
     return st.debounce(calls(spark, d), "user", "at", 6 * HOUR).select("user", "seq", "run_at")
 
 
-@query()
+@query(f"with recursive c as {CALLS}, w as (select u, seq, us, rn, us b, true added from c where rn = 1 union all select c.u, c.seq, c.us, c.rn, case when c.us >= w.b + {DAY} then c.us else w.b end, c.us >= w.b + {DAY} from w join c on c.u = w.u and c.rn = w.rn + 1) select u as user, seq, added, b + {DAY} run_at from w")
 def q_throttle(spark, d):
     return st.throttle(calls(spark, d), "user", "at", DAY)
