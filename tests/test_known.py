@@ -37,6 +37,9 @@ def test_buckets_add_up_to_the_range_with_resets(spark):
         rows.append(("a", t * S, v))
     s = samples(spark, rows)
     whole = metrics.aggregate(s, "increase", 0, 900 * S).first()
+    for op in ("increase", "delta"):
+        plain, spread = (sorted(metrics.aggregate(s, op, 100 * S, 800 * S, 60 * S, block=b).collect()) for b in (None, 37 * S))
+        assert plain == spread
     parts = metrics.aggregate(s, "increase", 0, 900 * S, 60 * S).agg(F.sum("value").alias("v"), F.sum("resets").alias("r")).first()
     assert whole.value == parts.v and whole.resets == parts.r
 

@@ -74,10 +74,21 @@ def group_key(by: list[str] | None = None, without: list[str] | None = None) ->
     return F.to_json(F.array_sort(F.map_entries(F.map_filter("labels", keep))))
 
 
-def steps(samples: DataFrame) -> DataFrame:
-    """The sample before each in its series: ``prev`` and ``before``, its value and time, and whether ``reset`` (0 or 1)."""
-    w = Window.partitionBy("name", series_key()).orderBy("us", "seq")
-    return samples.withColumns({"prev": F.lag("value").over(w), "before": F.lag("us").over(w)}).withColumn("reset", F.coalesce((F.col("value") < F.col("prev")).cast("long"), F.lit(0)))
+def steps(samples: DataFrame, block: int | None = None) -> DataFrame:
+    """The sample before each in its series: ``prev`` and ``before``, its value and time, and whether ``reset`` (0 or 1).
+
+    With ``block``, a span of time, an enormous series is gone through in blocks, each with the last sample before it.
+    """
+    rows, keys = samples.withColumn("_guest", F.lit(False)), ["name", series_key()]
+    if block is not None:
+        rows, keys = rows.withColumn("_block", F.floor(F.col("us") / block)), [*keys, F.col("_block")]
+        last = rows.groupBy("name", series_key().alias("_series"), "_block").agg(F.max_by(F.struct(*samples.columns), F.struct("us", "seq")).alias("_row"))
+        after = F.lead("_block").over(Window.partitionBy("name", "_series").orderBy("_block"))
+        guests = last.withColumn("_to", after).where("_to is not null").select("_row.*", F.lit(True).alias("_guest"), F.col("_to").alias("_block"))
+        rows = rows.unionByName(guests)
+    w = Window.partitionBy(*keys).orderBy("us", "seq")
+    out = rows.withColumns({"prev": F.lag("value").over(w), "before": F.lag("us").over(w)}).where("not _guest").select(*samples.columns, "prev", "before")
+    return out.withColumn("reset", F.coalesce((F.col("value") < F.col("prev")).cast("long"), F.lit(0)))
 
 
 def with_last(samples: DataFrame, begin: int, end: int, back: int | None = None) -> DataFrame:
@@ -101,12 +112,13 @@ GAUGE = {
 }
 
 
-def aggregate(samples: DataFrame, op: str, begin: int, end: int, every: int | None = None, by: list[str] | None = None, without: list[str] | None = None, back: int | None = None) -> DataFrame:
+def aggregate(samples: DataFrame, op: str, begin: int, end: int, every: int | None = None, by: list[str] | None = None, without: list[str] | None = None, back: int | None = None, block: int | None = None) -> DataFrame:
     """(name, kind, grp, at, value, samples, resets, partial, gap); empty buckets are absent.
 
     Increase, rate and delta count each step in the bucket where it ends; the step before the range's first sample
     begins at the newest sample before the range (``back`` older at most: what retention keeps), so older samples are
     read for it, and only one per series goes on. Steps are not rounded: what is added are the values themselves.
+    ``block`` (a span) spreads an enormous series over tasks.
     """
     every = every or 0
     at = bucket(F.col("us"), every) if every else F.lit(begin)
@@ -114,7 +126,7 @@ def aggregate(samples: DataFrame, op: str, begin: int, end: int, every: int | No
     many = {"samples": (F.count(F.lit(1)), "sum")}
     value, prev = F.col("value"), F.col("prev")
     if op in ("increase", "rate", "delta", "resets"):
-        s = steps(with_last(samples, begin, end, back)).where(within(F.col("us"), begin, end)).withColumns({"at": at, "grp": group_key(by, without)})
+        s = steps(with_last(samples, begin, end, back), block).where(within(F.col("us"), begin, end)).withColumns({"at": at, "grp": group_key(by, without)})
         late = F.coalesce(bucket(F.col("before"), every) < F.col("at") - every, F.lit(False)) if every else F.lit(False)
         less = prev.isNotNull() if op == "delta" else value >= prev
         out = exact.sums(s, keys, {"value": [F.when(prev.isNotNull(), value), F.when(less, -prev)]}, many | {"resets": (F.sum("reset"), "sum"), "gap": (F.max(late), "max")})
