@@ -454,3 +454,63 @@ def test_scrapes_and_probes(spark):
     assert {r.instance: r.state for r in reads.probes(df, 1000).collect()} == {"h1": "up", "h2": "down", "h3": "down", "h4": "slow"}
     change = spark.createDataFrame([("h1", "up", "down", 5)] * 2, "instance string, was string, state string, us long")
     assert reads.notices(change, "http://x").count() == 1
+
+
+def test_entries_versions_and_expiry(spark):
+    rows = [
+        (1, 0, "create", "a", None, None, None), (2, 1, "create", "b", None, None, None), (3, 2, "set", "c", 1, None, None), (4, 3, "set", "d", 1, None, None),
+        (5, 4, "take", None, 3, None, None), (6, 5, "get", None, None, None, None), (7, 6, "set", "e", None, 10, None), (8, 15, "get", None, None, None, None), (9, 16, "get", None, None, None, None),
+        (10, 20, "set", "f", None, None, 10), (11, 28, "get", None, None, None, None), (12, 37, "get", None, None, None, None), (13, 47, "set", "g", 10, None, None), (14, 48, "create", "h", None, None, None), (15, 49, "expire", None, 14, 5, None), (16, 60, "delete", None, None, None, None),
+    ]
+    df = spark.createDataFrame([("k", *r) for r in rows], "key string, seq long, at long, op string, value string, version long, ttl long, idle long")
+    got = {r.seq: (r.answer, r.value, r.version, r.expires) for r in state.entries(df, "key", "at").collect()}
+    assert [got[i][0] for i in range(1, 17)] == ["written", "exists", "written", "conflict", "taken", "missing", "written", "found", "missing", "written", "found", "found", "conflict", "written", "written", "missing"]
+    assert got[2] == ("exists", "a", 1, None) and got[4] == ("conflict", "c", 3, None) and got[5][1] == "c" and got[8] == ("found", "e", 7, 16) and got[12] == ("found", "f", 10, 47) and got[15] == ("written", "h", 14, 54)
+
+
+def test_ranges_in_words():
+    from tidemark.functions.ranges import instant, resolve
+
+    now = 1_709_296_496_789_000  # 2024-03-01 12:34:56.789 UTC
+    assert instant("now", now) == 1_709_296_496_000_000 and instant("now-1h", now) == 1_709_292_896_000_000
+    assert instant("now/d", now, "Europe/Moscow") == 1_709_240_400_000_000 and instant("now/mo", now) == 1_709_251_200_000_000
+    assert instant("now/w", now) == 1_708_905_600_000_000 and instant("now-7d/y", now) == 1_704_067_200_000_000
+    assert instant("2024-03-01T00:00:00", now, "Europe/Moscow") == 1_709_240_400_000_000
+    assert resolve("now-1h", "now", now, width=300)[2] == 15 * S
+    for bad in ("yesterday", "now+1h", "now-0d", "", None):
+        with pytest.raises(RangeError):
+            instant(bad, now)
+
+
+def test_search_filters_are_exact_in_type(spark):
+    docs = ['{"a": 50}', '{"a": "50"}', '{"a": 50.0}', '{"a": [1, 50]}', '{"a": []}', '{"a": null}', '{}', '{"a": true}', '{"a": 9007199254740993}', '{"a": "Ann"}', '{"a": ["x", "Ann", null]}', "not json", None]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(docs)], "i int, f string")
+    ask = lambda **k: [r.i for r in df.where(search.passes(F.col("f"), "a", **k)).orderBy("i").collect()]
+    assert ask(values=[50]) == [0, 2, 3] and ask(values=[50.0]) == [0, 2, 3] and ask(values=["50"]) == [1]
+    assert ask(values=["Ann"]) == [9, 10] and ask(values=["ann"]) == [] and ask(values=[True]) == [7] and ask(values=[9007199254740993]) == [8] and ask(values=[9007199254740992]) == []
+    assert ask(between=(1, 50)) == [3] and ask(between=(50, None)) == [0, 2, 3, 8] and ask(missing=True) == [4, 5, 6, 11, 12]
+    with pytest.raises(RangeError):
+        search.passes(F.col("f"), "a", values=[None])
+
+
+def test_paired_evaluations(spark):
+    a, b = (spark.createDataFrame([(i, v) for i, v in enumerate(x)], "query int, ndcg double") for x in ([1.0, 0.5, 0.5, 1.0], [0.5, 0.5, 0.0, 1.5]))
+    got = search.paired(a, b, "ndcg")
+    assert (got["wins"], got["losses"], got["ties"], got["mean"]) == (2, 1, 1, 0.125) and got["low"] <= 0.125 <= got["high"]
+
+
+def test_branches_names_and_wire(spark):
+    m = spark.createDataFrame([(["eu"], i, "x" * 10) for i in range(9)] + [(["us"], 1, "y")], "branch array<string>, seq long, body string")
+    assert sorted((r.branch[0], r.seq) for r in dash.branch_log(m, 3).collect()) == [("eu", 6), ("eu", 7), ("eu", 8), ("us", 1)]
+    assert sorted(r.seq for r in dash.branch_log(m, 99, 25).collect()) == [1, 7, 8]
+    s = samples(spark, [("a", 0, 1), ("b", 1, 2)]).union(samples(spark, [("ab", 5, 1)], name="n2"))
+    assert [r.name for r in metrics.names(s, limit=1).collect()] == ["m"] and [r.name for r in metrics.names(s, after="m", limit=5).collect()] == ["n2"]
+    assert [r.value for r in metrics.label_values(s, "host", prefix="a", limit=9).collect()] == ["a", "ab"] and [r.label for r in metrics.label_names(s).collect()] == ["host"]
+    told = spark.createDataFrame([("m", "%", "old", 1), ("m", "%", "busy", 2)], "name string, unit string, help string, at long")
+    assert {r.name: (r.unit, r.help) for r in metrics.described(metrics.names(s), told).collect()} == {"m": ("%", "busy"), "n2": ("", "")}
+    import decimal
+    import json
+
+    df = spark.createDataFrame([(2**53 + 1, 5, decimal.Decimal("1.50"), float("nan"), 0.5, 'q"', None), (1, None, None, float("-inf"), 1e21, "é", [1])], 'a long, b int, c decimal(5,2), d double, e double, `f"x` string, g array<int>')
+    got = [json.loads(r.json) for r in dash.wire_json(df).collect()]
+    assert got == [{"a": "9007199254740993", "b": 5, "c": "1.50", "d": "NaN", "e": 0.5, 'f"x': 'q"', "g": None}, {"a": 1, "b": None, "c": None, "d": "-Infinity", "e": 1e21, 'f"x': "é", "g": [1]}]

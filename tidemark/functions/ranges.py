@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import datetime as dt
 import re
+from zoneinfo import ZoneInfo
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -35,6 +37,33 @@ def span(now: int, since: str | None = None, frm: int | None = None, to: int | N
     return begin, end
 
 
+def instant(text: str, now: int, zone: str = "UTC") -> int:
+    """Microseconds of ``now``, ``now-7d``, ``now/d`` or ``now-1w/w``: whole seconds, less a duration, rounded down to the
+    zone's day, week (from Monday), month or year; or of an ISO time, in the zone where it names none."""
+    tz = ZoneInfo(zone)
+    m = re.fullmatch(r"now(?:-(\d+(?:ms|s|m|h|d|w)))?(?:/(d|w|mo|y))?", text or "")
+    if not m:
+        try:
+            at = dt.datetime.fromisoformat(text)
+        except (TypeError, ValueError):
+            raise RangeError(f"not a time: {text!r}") from None
+        return round((at if at.tzinfo else at.replace(tzinfo=tz)).timestamp() * 1e6)
+    us = now // 1_000_000 * 1_000_000 - (duration(m[1]) if m[1] else 0)
+    if not m[2]:
+        return us
+    day = dt.datetime.fromtimestamp(us // 1_000_000, tz).date()
+    day = {"d": day, "w": day - dt.timedelta(days=day.weekday()), "mo": day.replace(day=1), "y": day.replace(month=1, day=1)}[m[2]]
+    return round(dt.datetime.combine(day, dt.time(), tz).timestamp()) * 1_000_000
+
+
+def resolve(frm: str, to: str, now: int, zone: str = "UTC", width: int = 1000, least: int = 0) -> tuple[int, int, int]:
+    """[from, to) and a step, in microseconds, of a dashboard's range: one instant for all its panels."""
+    begin, end = instant(frm, now, zone), instant(to, now, zone)
+    if begin >= end:
+        raise RangeError("the range is empty or inverted")
+    return begin, end, max(least, step(begin, end, width))
+
+
 def step(begin: int, end: int, width: int) -> int:
     """The least step of ``STEPS`` that gives at most ``width`` buckets."""
     for s in STEPS:

@@ -6,7 +6,7 @@ import datetime as dt
 import decimal
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.ranges import RangeError
@@ -126,6 +126,38 @@ def share(part: Column, whole: Column, digits: int = 1) -> Column:
     return F.when(whole != 0, F.concat(F.format_number(100.0 * part / whole, digits), F.lit("%")))
 
 
+def branch_log(messages: DataFrame, most: int = 1024, most_bytes: int = 4 << 20) -> DataFrame:
+    """What a channel's branches still hold: the newest ``most`` messages of each, of ``most_bytes`` in all at most.
+    messages(branch array<string>, seq, body)."""
+    w = Window.partitionBy("branch").orderBy(F.desc("seq"))
+    size = F.sum(F.octet_length("body")).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    return messages.withColumns({"_n": F.row_number().over(w), "_b": size}).where((F.col("_n") <= most) & (F.col("_b") <= most_bytes)).drop("_n", "_b")
+
+
+def wire_json(df: DataFrame, name: str = "json") -> DataFrame:
+    """Each row as JSON that scripts read without loss: whole numbers past 2^53 and decimals as text, floats that are not
+    finite by name."""
+
+    def shown(f) -> Column:
+        c, kind = F.col(f"`{f.name}`"), f.dataType.simpleString()
+        if kind == "bigint":  # text where a double would lose digits: two forms of one field, so it is written by hand
+            return F.when(F.abs(c) > 2**53, F.concat(F.lit('"'), c.cast("string"), F.lit('"'))).otherwise(c.cast("string"))
+        if kind.startswith("decimal"):
+            return F.concat(F.lit('"'), c.cast("string"), F.lit('"'))
+        if kind in ("double", "float"):
+            d = c.cast("double")
+            return F.when(F.isnan(d) | (F.abs(d) == float("inf")), F.concat(F.lit('"'), number_text(d), F.lit('"'))).otherwise(number_text(d))
+        one = F.to_json(F.struct(c.alias("v")), {"ignoreNullFields": "false"})
+        return F.substring(one, F.lit(6), F.length(one) - 6)
+
+    parts = [F.concat(F.to_json(F.array(F.lit(f.name))).substr(F.lit(2), F.length(F.to_json(F.array(F.lit(f.name)))) - 2), F.lit(":"), F.coalesce(shown(f), F.lit("null"))) for f in df.schema.fields]
+    return df.select(F.concat(F.lit("{"), F.concat_ws(",", *parts), F.lit("}")).alias(name))
+
+
+def base36(x: Column) -> Column:
+    return F.lower(F.conv(x.cast("string"), 10, 36))
+
+
 def suggestion(times: int, numbers: int, labels: int, rows: int) -> str:
     """How to draw a frame by its shape, the cheapest drawing first."""
     if rows == 1 and numbers == 1:

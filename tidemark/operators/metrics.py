@@ -249,12 +249,31 @@ def before_range(samples: DataFrame, begin: int) -> DataFrame:
     return latest(samples, -(2**62), begin)
 
 
-def names(samples: DataFrame) -> DataFrame:
-    return samples.groupBy("name", "kind").agg(F.count_distinct(series_key()).alias("series"), F.max("us").alias("newest"))
+def names(samples: DataFrame, prefix: str = "", after: str | None = None, limit: int | None = None) -> DataFrame:
+    """(name, kind, series, newest) of metrics, a page of them in order of the name's bytes."""
+    s = samples.where(F.startswith("name", F.lit(prefix))) if prefix else samples
+    s = s if after is None else s.where(F.col("name") > after)
+    out = s.groupBy("name", "kind").agg(F.count_distinct(series_key()).alias("series"), F.max("us").alias("newest"))
+    return out if limit is None else out.orderBy("name").limit(limit)
 
 
-def label_values(samples: DataFrame, label: str) -> DataFrame:
-    return samples.select(F.col("labels")[label].alias("value")).where("value is not null").distinct()
+def label_names(samples: DataFrame, name: str | None = None) -> DataFrame:
+    s = samples if name is None else samples.where(F.col("name") == name)
+    return s.select(F.explode(F.map_keys("labels")).alias("label")).distinct()
+
+
+def label_values(samples: DataFrame, label: str, prefix: str = "", after: str | None = None, limit: int | None = None) -> DataFrame:
+    """Different values of a label, a page of them in order of their bytes."""
+    v = samples.select(F.col("labels")[label].alias("value")).where("value is not null")
+    v = v.where(F.startswith("value", F.lit(prefix))) if prefix else v
+    v = (v if after is None else v.where(F.col("value") > after)).distinct()
+    return v if limit is None else v.orderBy("value").limit(limit)
+
+
+def described(named: DataFrame, descriptions: DataFrame) -> DataFrame:
+    """Names with the unit and help that were last told of each; descriptions(name, unit, help, at)."""
+    last = descriptions.groupBy("name").agg(F.max_by(F.struct("unit", "help"), "at").alias("d"))
+    return named.join(last, "name", "left").select(*named.columns, F.coalesce("d.unit", F.lit("")).alias("unit"), F.coalesce("d.help", F.lit("")).alias("help"))
 
 
 def refuse_unsound(samples: DataFrame) -> DataFrame:

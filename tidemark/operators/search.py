@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from ..functions.ranges import RangeError
 from .index import counted
 
 K1, B = 1.2, 0.75
@@ -188,6 +189,50 @@ def similar(rows: DataFrame, key: str, grams: str, least: float) -> DataFrame:
     return scored.where(F.col("j") >= least)
 
 
+def passes(fields: Column, path: str, values: list | None = None, between: tuple[float | None, float | None] | None = None, missing: bool = False) -> Column:
+    """Whether a JSON document's field passes: any of its values (a list counts as all of its items) is one of ``values``,
+    exact in type and case (``"50"`` is not 50, 42.0 is 42), or lies in ``[low, high)``; ``missing``: it has no value."""
+    if (values is not None) + (between is not None) + missing != 1:
+        raise RangeError("a filter has values, a range or is missing, one of the three")
+    raw = F.get_json_object(fields, f"$.{path}")
+    own = F.variant_get(F.try_parse_json(fields), f"$.{path}", "variant")
+    kind = F.schema_of_variant(own)
+    items = F.when(F.startswith(kind, F.lit("ARRAY")), F.from_json(raw, "array<string>")).when(raw.isNotNull() & (kind != "VOID"), F.array(raw)).otherwise(F.array().cast("array<string>"))
+    kinds = F.when(F.startswith(kind, F.lit("ARRAY")), F.transform(F.try_variant_get(own, "$", "array<variant>"), lambda v: F.schema_of_variant(v))).otherwise(F.array(kind))
+    pairs = F.filter(F.zip_with(items, kinds, lambda v, k: F.struct(v.alias("v"), k.alias("k"))), lambda p: p["v"].isNotNull() & (p["k"] != "VOID"))
+    number = lambda p: F.when((p["k"] != "STRING") & (p["k"] != "BOOLEAN"), p["v"].try_cast("double"))
+    if missing:
+        return F.coalesce(F.size(pairs) == 0, F.lit(True))
+    if between is not None:
+        low, high = between
+        return F.coalesce(F.exists(pairs, lambda p: F.coalesce((number(p) >= low if low is not None else number(p).isNotNull()) & (number(p) < high if high is not None else F.lit(True)), F.lit(False))), F.lit(False))
+    if any(v is None for v in values):
+        raise RangeError("null is no value: ask for what is missing")
+
+    def equal(p: Column, v) -> Column:
+        if isinstance(v, bool):
+            return (p["k"] == "BOOLEAN") & (p["v"] == str(v).lower())
+        if isinstance(v, str):
+            return (p["k"] == "STRING") & (p["v"] == v)
+        exact = p["v"].try_cast("decimal(38,0)") == F.lit(str(v)).cast("decimal(38,0)") if isinstance(v, int) else F.lit(False)
+        whole = p["v"].rlike(r"^-?\d+$") & F.lit(isinstance(v, int))
+        return F.when(whole, exact).otherwise(F.coalesce(number(p) == float(v), F.lit(False))) & (p["k"] != "STRING") & (p["k"] != "BOOLEAN")
+
+    return F.coalesce(F.exists(pairs, lambda p: reduce(lambda a, b: a | b, (F.coalesce(equal(p, v), F.lit(False)) for v in values), F.lit(False))), F.lit(False))
+
+
+def paired(a: DataFrame, b: DataFrame, metric: str, rounds: int = 2000, seed: int = 7) -> dict[str, float]:
+    """Two evaluations of one stated query set: wins, losses and ties of ``a``, its mean lead, and the middle 95 % of that
+    mean over bootstrapped queries. A number per query comes to the driver."""
+    rows = a.select("query", F.col(metric).alias("x")).join(b.select("query", F.col(metric).alias("y")), "query").orderBy("query").collect()
+    lead = np.array([r["x"] - r["y"] for r in rows])
+    if not len(lead):
+        raise RangeError("no query is in both")
+    rnd = np.random.default_rng(seed)
+    means = np.sort([lead[rnd.integers(0, len(lead), len(lead))].mean() for _ in range(rounds)])
+    return {"wins": int((lead > 0).sum()), "losses": int((lead < 0).sum()), "ties": int((lead == 0).sum()), "mean": float(lead.mean()), "low": float(means[rounds // 40]), "high": float(means[-1 - rounds // 40])}
+
+
 def facets(docs: DataFrame, found: DataFrame, id_col: str, by: list[str], most: int = 10) -> DataFrame:
     """(facet, value, n): how many of the documents found have each value, the most frequent ones of each facet."""
     held = docs.select(F.col(id_col).alias("doc"), *by).join(found.select("doc"), "doc", "left_semi")

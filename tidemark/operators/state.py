@@ -18,10 +18,48 @@ def latest(log: DataFrame, key: str, version: str, now: int | None = None, expir
     return best if expires is None else best.where(F.col(expires).isNull() | (F.col(expires) > now))
 
 
+def entries(log: DataFrame, key: str, at: str) -> DataFrame:
+    """What each call on a key did: (key, seq, answer, value, version, expires).
+
+    ``log``: (key, seq, at, op, value, version, ttl, idle). Calls are set, create, get, take, delete and expire, in the
+    order of (at, seq); a ``version`` makes one conditional, and ``conflict`` its answer where the key has another, is
+    gone or expired. A version is the ``seq`` that wrote the value. An idle key expires so long after its last read or
+    write; a read renews it. ``expires`` null: never.
+    """
+
+    def step(s, row):
+        now, op = row[at], row["op"]
+        told = lambda x: x is not None and x == x
+        if s is not None and s["expires"] is not None and s["expires"] <= now:
+            s = None
+        if told(row["version"]) and (s is None or s["version"] != row["version"]):
+            answer = "conflict"
+        elif op == "create" and s is not None:
+            answer = "exists"
+        elif op in ("set", "create"):
+            idle = int(row["idle"]) if told(row["idle"]) else None
+            left = idle if idle is not None else int(row["ttl"]) if told(row["ttl"]) else None
+            s, answer = {"value": row["value"], "version": row["seq"], "idle": idle, "expires": None if left is None else now + left}, "written"
+        elif s is None:
+            answer = "missing"
+        elif op == "get":
+            s, answer = {**s, "expires": now + s["idle"] if s["idle"] is not None else s["expires"]}, "found"
+        elif op == "expire":
+            s, answer = {**s, "idle": None, "expires": now + int(row["ttl"])}, "written"
+        else:
+            return None, (row[key], row["seq"], "taken" if op == "take" else "deleted", s["value"] if op == "take" else None, None, None)
+        shown = s or {"value": None, "version": None, "expires": None}
+        return s, (row[key], row["seq"], answer, shown["value"], shown["version"], shown["expires"])
+
+    kind = log.schema[key].dataType.simpleString()
+    return fold(log, key, [at, "seq"], step, lambda: None, f"{key} {kind}, seq long, answer string, value string, version long, expires long")
+
+
 def fold(log: DataFrame, key: str, order: list[str], step, state, columns: str):
     """Rows of each key in order through ``step(state, row) -> (state, output)``; keys are spread over tasks, and one
     key's state passes from batch to batch, so that a hot key is never held in memory as a whole."""
-    names = [c.strip().split(" ")[0] for c in columns.split(",")]
+    kinds = dict(c.strip().split(" ") for c in columns.split(","))
+    names = list(kinds)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         current, s = object(), None
@@ -32,7 +70,7 @@ def fold(log: DataFrame, key: str, order: list[str], step, state, columns: str):
                     current, s = row[key], state()
                 s, o = step(s, row)
                 out.append(o)
-            yield pd.DataFrame(out, columns=names)
+            yield pd.DataFrame(out, columns=names, dtype=object).astype({n: "Int64" for n, k in kinds.items() if k == "long"})
 
     return log.repartition(F.col(key)).sortWithinPartitions(key, *order).mapInPandas(run, columns)
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.ranges import bucket, within
 from ..operators import records as r
+from ..operators.dash import base36
 from ..session import micros, table
 from .metric_queries import DAY, HOUR, MINUTE, T0
 from .registry import query
@@ -162,9 +163,9 @@ def q_udtf_lines(spark: SparkSession, d: str) -> DataFrame:
     return e.mapInPandas(r.flatten_values, "id long, path string, value string").groupBy("path").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("""select doc_id folder, strlen(text) size, sha256(text) etag from documents""")
+@query("""select doc_id folder, strlen(text) size, sha256(text) etag, lower(to_base(doc_id + 1000000, 36)) short from documents""")
 def q_sha_identity(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select(F.col("doc_id").alias("folder"), F.octet_length("text").cast("long").alias("size"), F.sha2("text", 256).alias("etag"))
+    return table(spark, d, "documents").select(F.col("doc_id").alias("folder"), F.octet_length("text").cast("long").alias("size"), F.sha2("text", 256).alias("etag"), base36(F.col("doc_id") + 1_000_000).alias("short"))
 
 
 @query("select source folder, count(*) files, sum(strlen(text)) bytes from documents group by all", longs="bytes")
