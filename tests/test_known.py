@@ -514,3 +514,90 @@ def test_branches_names_and_wire(spark):
     df = spark.createDataFrame([(2**53 + 1, 5, decimal.Decimal("1.50"), float("nan"), 0.5, 'q"', None), (1, None, None, float("-inf"), 1e21, "é", [1])], 'a long, b int, c decimal(5,2), d double, e double, `f"x` string, g array<int>')
     got = [json.loads(r.json) for r in dash.wire_json(df).collect()]
     assert got == [{"a": "9007199254740993", "b": 5, "c": "1.50", "d": "NaN", "e": 0.5, 'f"x': 'q"', "g": None}, {"a": 1, "b": None, "c": None, "d": "-Infinity", "e": 1e21, 'f"x': "é", "g": [1]}]
+
+
+def test_flows_go_on_after_the_last_kept_unit(spark, tmp_path):
+    from tidemark.operators.flows import Run
+
+    calls = []
+
+    def read():
+        calls.append("read")
+        return spark.createDataFrame([("a", 1, "x"), ("a", 1, "x"), ("b", 2, "y")], "instance string, at long, body string")
+
+    for attempt in range(2):  # the second attempt finds all units kept
+        r = Run(spark, str(tmp_path / "runs"), "watch", "r1")
+        got = r.collect("collect", read, str(tmp_path / "events"), "instance", "at")
+        assert {x.instance: (x.rows, x.window_end) for x in got.collect()} == {"a": (2, 1), "b": (1, 2)}
+        states = spark.createDataFrame([("s1", "ok"), ("s2", "firing"), ("s3", "firing")], "subject string, state string")
+        found = lambda: spark.createDataFrame([("s1", True), ("s2", True), ("s3", False), ("s4", None)], "subject string, breach boolean")
+        moved = r.evaluate("evaluate", found, states)
+        assert sorted(map(tuple, moved.collect())) == [("s1", "ok", "firing"), ("s3", "firing", "ok")]
+        done = r.commit("commit", moved, states)
+        assert sorted((x.subject, x.state) for x in done.where("kind = 'state'").collect()) == [("s1", "firing"), ("s2", "firing"), ("s3", "ok")]
+        assert sorted(x.operation for x in done.where("kind = 'notify'").collect()) == ["watch/r1/commit/s1", "watch/r1/commit/s3"]
+        acted = r.act("act", moved, lambda s, op: calls.append(op) or f"told {s}")
+        assert sorted(x.result for x in acted.collect()) == ["told s1", "told s3"]
+    assert calls == ["read", "watch/r1/act/s1", "watch/r1/act/s3"]
+    # The same window in another run writes nothing again; two identical rows stay two.
+    Run(spark, str(tmp_path / "runs"), "watch", "r2").collect("collect", read, str(tmp_path / "events"), "instance", "at")
+    assert spark.read.parquet(str(tmp_path / "events")).count() == 3
+
+
+def test_costs_order_statements(spark):
+    from tidemark.operators import costs
+
+    li, o = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("lineitem", "orders"))
+    order = [n for n, _ in costs.by_cost({"join": li.join(o, li.l_orderkey == o.o_orderkey), "one": o.select("o_orderkey"), "all": li})]
+    assert order[0] == "one" and order[-1] == "join"
+    assert costs.leaders(o.where("o_orderstatus <> 'P'").withColumn("g", F.when(F.col("o_orderkey") % 3 == 0, "a").otherwise("b")), "g", 0.1)["same_leader"]
+
+
+def test_keys_by_a_learned_model(spark):
+    from tidemark.operators import keymodel as km
+
+    rnd = random.Random(3)
+    known = []
+    for k in range(30):  # schemas of four tables whose links have several styles of names
+        names = rnd.sample(["customer", "order", "product", "city", "shop", "invoice", "vendor", "ticket"], 4)
+        style = rnd.choice([lambda t: (f"{t}_id", "id"), lambda t: (f"{t[:4]}key", f"{t[:4]}key"), lambda t: (f"{t}_code", f"{t}_code")])
+        cols, true = [], set()
+        for i, t in enumerate(names):
+            n = rnd.randint(20, 200)
+            key = style(t)[1] if style(t)[1] != "id" else "id"
+            cols.append(km.Fact(t, key, "bigint", n, n, 0, frozenset([1, *(("v", hash((t, j)) if key != "id" else j) for j in range(n))]), True))
+            cols.append(km.Fact(t, rnd.choice(["amount", "size", "total"]), "bigint", n, n // 2, 1, frozenset([1, *(("v", 10**6 + j * 7) for j in range(n // 2))])))
+            for p in names[:i]:
+                if rnd.random() < 0.6:
+                    c = style(p)[0]
+                    values = [("v", x[1]) for x in next(f for f in cols if f.table == p and f.key).values if isinstance(x, tuple)]
+                    some = rnd.sample(values, max(1, len(values) // 2))
+                    cols.append(km.Fact(t, c, "bigint", n, len(some), 2, frozenset([1, *some])))
+                    true.add((t, c, p, next(f.column for f in cols if f.table == p and f.key)))
+        known.append(km.pairs(cols, true))
+    import pandas as pd
+
+    model = km.KeyModel.fit(spark, pd.concat(known, ignore_index=True))
+    d = "/root/testdata/sf0.001"
+    keys = {"region": "r_regionkey", "nation": "n_nationkey", "customer": "c_custkey", "supplier": "s_suppkey", "part": "p_partkey", "orders": "o_orderkey"}
+    tables = {t: spark.read.parquet(f"{d}/{t}.parquet") for t in [*keys, "lineitem"]}
+    got = model.predict(spark, km.pairs(km.facts(tables, keys)))
+    true = {("nation", "n_regionkey", "region", "r_regionkey"), ("customer", "c_nationkey", "nation", "n_nationkey"), ("supplier", "s_nationkey", "nation", "n_nationkey"), ("orders", "o_custkey", "customer", "c_custkey"), ("lineitem", "l_orderkey", "orders", "o_orderkey"), ("lineitem", "l_partkey", "part", "p_partkey"), ("lineitem", "l_suppkey", "supplier", "s_suppkey")}
+    found = set(got[["child", "column", "parent", "key"]].itertuples(index=False, name=None))
+    assert see.key_scores(found, true)["f1"] >= 0.8, (found ^ true)
+
+
+def test_a_learned_order_of_panels():
+    from tidemark.operators import candidates as ca
+    from tidemark.operators.ranker import Ranker
+
+    money, day, kind = ca.Column("amount", "money"), ca.Column("day", "event"), ca.Column("kind", "category", distinct=5)
+    tables = [ca.Table(f"t{i}", "fact" if i % 2 else "event", 5000, (money, day, kind)) for i in range(12)]
+    panels = ca.generate(tables)
+    kept = [(c, c.by is not None and c.template == "T2") for c in panels]
+    ranker = Ranker.load(Ranker.train(kept).dump())
+    allowed = ranker.order(panels)
+    assert allowed[0].template == "T2" and all(c.template == "T2" for c in allowed[:12])
+    chosen = ranker.choose(panels)
+    assert len(chosen) == 5 and max(sum(o.table == c.table for o in chosen) for c in chosen) <= 2
+    assert Ranker().order(panels) == sorted((c for c in panels if ca.forbidden(c) is None and ca.abstains(c) is None), key=lambda c: (ca.penalty(c), c.key()))
