@@ -149,6 +149,12 @@ def test_long_user_names_and_ties(spark):
     assert sorted(r.spans for r in got) == ["", "", "", "url_password:3:508"]
 
 
+def test_named_documents_by_shuffle(spark, monkeypatch):
+    monkeypatch.setattr(secrets, "BROADCAST_IDS", 0)
+    df = spark.createDataFrame([(i, f"x token=abcdef{i}" if i % 3 else "none") for i in range(50)], "doc_id long, text string")
+    assert sum(r.n_assign for r in secrets.digest(secrets.scan(df)).collect()) == 33
+
+
 def disclosed(rows):
     """The terms that tell of an entity, by the definition, in Python: (text, term) pairs."""
     from collections import defaultdict

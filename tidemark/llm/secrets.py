@@ -24,6 +24,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import spans
+from .common import materialise
+
 #: (kind, expression, what its matches must fulfil, in base). Expressions read alike in Java and Python.
 RULES = [
     ("assign", r"(?i:(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?)([A-Za-z0-9+/_.=-]+)", True),
@@ -41,6 +43,8 @@ RULES = [
 #: Ids per block of the index: a posting list is so long at most (but for repeated ids, which it holds once).
 BLOCK = 1024
 MOST_STRINGS = 32
+#: Named documents that are broadcast, some 20 MB; more of them are joined by a shuffle of the texts.
+BROADCAST_IDS = 500_000
 #: Trigrams that a conjunction keeps: its rarest by English letters. Fewer name more documents, never fewer.
 MOST_GRAMS = 5
 COMMON_LETTERS = "etaoinshrdlucmfwypvbgkjqxz"
@@ -196,8 +200,9 @@ def scan(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", rules=
     """(id, text, spans array<struct<start,no,kind,end>>) of every row."""
     src = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     open_rules = [i for i, (_, e, _) in enumerate(rules) if query(e) is True]
-    cand = candidates(src, rules)
-    out = src.join(cand.withColumnRenamed("doc_id", "cand_id"), src["doc_id"].cast("long") == F.col("cand_id"), "left").drop("cand_id")
+    cand = materialise(candidates(src, rules).withColumnRenamed("doc_id", "cand_id"), "named")
+    few = cand.count() <= BROADCAST_IDS
+    out = src.join(F.broadcast(cand) if few else cand, src["doc_id"].cast("long") == F.col("cand_id"), "left").drop("cand_id")
     for i, (_, e, _) in enumerate(rules):
         found = spans.matches(F.col("text"), e)
         if i not in open_rules:
