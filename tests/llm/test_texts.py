@@ -235,3 +235,22 @@ def test_license_labels_and_scores_against_the_definition(spark):
         # The index may miss a template whose rare words are gone; it never adds one.
         assert base <= labels <= set(found) | base
         assert got[i].score <= max([1.0] * bool(base) + list(found.values()), default=0) + 1e-9
+
+
+def test_spotsigs_of_a_very_long_text_and_clashing_columns(spark):
+    rnd = random.Random(5)
+    words = ["the", "of", *(f"w{i}" for i in range(3000))]
+    long = " ".join(rnd.choice(words) for _ in range(200_000))
+    names = ["id", "h", "m", "bucket", "guest", "fp", "g", "next_text", "after"]
+    rows = [(1, long), (2, "the short one of all"), (3, long[:-5])]
+    df = spark.createDataFrame([(*r, *(["v"] * len(names))) for r in rows], "doc_id long, text string, " + ", ".join(f"{n} string" for n in names))
+    got = {r.doc_id: r for r in spotsigs.edited(df).collect()}
+    assert got[1].n_chars == len(long) and got[3].near_edited > 0.5 and got[2].near_next < 0.1
+    assert len(got[1].fingerprint.split(",")) > 1000
+
+
+def test_anchors_and_rare_words_of_equal_frequency(spark):
+    df = spark.createDataFrame([(i, " ".join(f"{a}{b}" for a in "zyxw" for b in "abcdefgh")) for i in range(3)], "doc_id long, text string")
+    assert spotsigs.anchors(df) == sorted(f"{a}{b}" for a in "zyxw" for b in "abcdefgh")[: spotsigs.ANCHORS]
+    same = licenses.Index(10, np.full(len(licenses.VOCABULARY) + 1, 5))
+    assert same.rarity.tolist() == list(range(len(same.rarity)))
