@@ -601,3 +601,20 @@ def test_a_learned_order_of_panels():
     chosen = ranker.choose(panels)
     assert len(chosen) == 5 and max(sum(o.table == c.table for o in chosen) for c in chosen) <= 2
     assert Ranker().order(panels) == sorted((c for c in panels if ca.forbidden(c) is None and ca.abstains(c) is None), key=lambda c: (ca.penalty(c), c.key()))
+
+
+def test_roles_with_their_evidence():
+    ask = lambda *a, **k: see.evidence(*a, **k)
+    assert ask("created_at", "timestamp", 9, 10) == ("created", "named") and ask("shipped_on", "timestamp", 9, 10) == ("event", "typed")
+    assert ask("birth_date", "date", 9, 10) == ("calendar", "named") and ask("is_deleted", "boolean", 2, 10) == ("deleted", "named")
+    assert ask("stock_level", "int", 5, 10) == ("level", "named") and ask("lat", "double", 5, 10) == ("place", "named") and ask("x", "decimal(10,2)", 5, 10) == ("money", "typed")
+    assert ask("currency", "string", 3, 10) == ("currency", "named") and ask("email", "string", 3, 10) == ("text", "named") and ask("status", "string", 3, 100) == ("category", "measured")
+    assert ask("x", "int", 5, 10, declared="fk") == ("reference", "declared") and ask("user_id", "bigint", 10, 10) == ("identifier", "measured")
+
+
+def test_column_statistics(spark):
+    df = spark.createDataFrame([(i % 3 if i < 90 else 100 + i, None if i % 4 == 0 else "ab") for i in range(100)], "n int, s string")
+    got = see.column_statistics(df, "n", most=3, parts=3)
+    assert got["null_frac"] == 0 and got["n_distinct"] == -0.13 and got["common"] == ["0", "1", "2"] and got["shares"] == [0.3, 0.3, 0.3] and got["bounds"] == [190, 193, 196, 199]
+    got = see.column_statistics(df, "s")
+    assert (got["null_frac"], got["avg_width"], got["n_distinct"], got["bounds"]) == (0.25, 2.0, 1, [])

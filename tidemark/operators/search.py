@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..functions.ranges import RangeError
-from .index import counted
+from .index import Index, counted
 
 K1, B = 1.2, 0.75
 
@@ -233,6 +233,30 @@ def paired(a: DataFrame, b: DataFrame, metric: str, rounds: int = 2000, seed: in
     return {"wins": int((lead > 0).sum()), "losses": int((lead < 0).sum()), "ties": int((lead == 0).sum()), "mean": float(lead.mean()), "low": float(means[rounds // 40]), "high": float(means[-1 - rounds // 40])}
 
 
+def forms(own: Index, word: str, language: str = "en", most: int = 64) -> list[str]:
+    """The index's terms that share a word's stem, the most frequent ones, and the word itself."""
+    stem = own.spark.range(1).select(tx.stem(F.lit(word), language).alias("stem"))
+    same = own.dictionary().withColumn("stem", tx.stem(F.col("term"), language)).join(F.broadcast(stem), "stem")
+    return sorted({word, *(r["term"] for r in same.orderBy(F.desc("df"), "term").limit(most).collect())})
+
+
+def any_form(post: DataFrame, words: dict[str, list[str]]) -> DataFrame:
+    """Postings of forms as postings of their words: a document's counts add up. ``words``: word -> its forms."""
+    by = {f: w for w, fs in words.items() for f in fs}
+    name = F.element_at(F.create_map(*(F.lit(x) for kv in by.items() for x in kv)), F.col("term"))
+    return post.withColumn("term", name).groupBy("doc", "term").agg(F.sum("tf").alias("tf"), F.first("len").alias("len"))
+
+
+def corrected(own: Index, words: list[str]) -> dict[str, str]:
+    """What to search instead of words that no document holds: the nearest, then most frequent term; others stay."""
+    held = {r["term"] for r in own.dictionary(lambda d: d.where(F.col("term").isin(words))).collect()}
+    out = {}
+    for w in words:
+        best = None if w in held else typo_candidates(own.dictionary(), w, 1).first()
+        out[w] = best["term"] if best else w
+    return out
+
+
 def facets(docs: DataFrame, found: DataFrame, id_col: str, by: list[str], most: int = 10) -> DataFrame:
     """(facet, value, n): how many of the documents found have each value, the most frequent ones of each facet."""
     held = docs.select(F.col(id_col).alias("doc"), *by).join(found.select("doc"), "doc", "left_semi")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import random
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -35,11 +36,11 @@ def common_values(df: DataFrame, column: str, most: int = 30) -> DataFrame:
 
 def histogram(df: DataFrame, column: str, parts: int) -> DataFrame:
     """Bounds of ``parts`` parts of equal count, stored values at whole ranks: by counts of values, not of rows."""
-    per = df.where(F.col(column).isNotNull()).groupBy(column).agg(F.count(F.lit(1)).alias("c"))
-    run = running(per, column, "c", "lo").withColumn("hi", F.col("lo") + F.col("c")).join(F.broadcast(per.agg(F.sum("c").alias("n"))))
+    per = df.where(F.col(column).isNotNull()).select(F.col(column).alias("_v")).groupBy("_v").agg(F.count(F.lit(1)).alias("_c"))
+    run = running(per, "_v", "_c", "_lo").withColumn("_hi", F.col("_lo") + F.col("_c")).join(F.broadcast(per.agg(F.sum("_c").alias("_n"))))
     ranks = df.sparkSession.range(0, parts + 1).select(F.col("id").alias("part"))
-    need = F.greatest(F.lit(1), F.expr(f"(part * n + {parts} - 1) div {parts}"))
-    return run.join(F.broadcast(ranks)).where((need <= F.col("hi")) & (need > F.col("lo"))).select("part", F.col(column).alias("bound"))
+    need = F.greatest(F.lit(1), F.expr(f"(part * _n + {parts} - 1) div {parts}"))
+    return run.join(F.broadcast(ranks)).where((need <= F.col("_hi")) & (need > F.col("_lo"))).select("part", F.col("_v").alias("bound"))
 
 
 @dataclass(frozen=True)
@@ -51,24 +52,69 @@ class Columns:
     key: str | None
 
 
-def role(column: str, kind: str, distinct: int, rows: int) -> str:
-    """One of the column roles, from measured facts first and the name's words second."""
+# Words of names by the role that they suggest.
+TIMES = {
+    "created": {"created", "inserted", "registered", "signup", "joined"},
+    "updated": {"updated", "modified", "changed"},
+    "deleted": {"deleted", "removed", "archived"},
+    "calendar": {"birth", "dob", "birthday", "year"},
+    "period": {"from", "to", "start", "end"},
+}
+NUMBERS = {
+    "money": {"amount", "price", "total", "subtotal", "cost", "fee", "charge", "paid", "salary", "wage", "revenue", "cents", "kopecks", "totalprice", "extendedprice", "retailprice", "acctbal"},
+    "quantity": {"qty", "quantity", "count", "num", "units", "items", "seats", "size"},
+    "level": {"balance", "stock", "inventory", "remaining", "level"},
+    "ratio": {"percent", "pct", "rate", "ratio", "share", "discount", "tax"},
+    "score": {"rating", "score", "stars", "rank", "priority"},
+    "place": {"lat", "lng", "lon", "latitude", "longitude"},
+}
+TEXTS = {"code": {"zip", "postal", "phone", "code", "sku"}, "currency": {"currency", "ccy"}, "identifier": {"uuid", "guid", "hash", "token"}}
+WORDY = {"name", "title", "description", "email", "url", "comment", "note", "body"}
+
+
+def _named(words: list[str], by: dict[str, set[str]]) -> str | None:
+    return next((r for r, own in by.items() if own & set(words)), None)
+
+
+def evidence(column: str, kind: str, distinct: int, rows: int, declared: str | None = None, width: float | None = None) -> tuple[str, str]:
+    """(role, tier): what a column is and what says so, declared before measured before named before typed."""
     words = name_tokens(column)
+    if declared in ("pk", "fk", "enum"):
+        return {"pk": "identifier", "fk": "reference", "enum": "category"}[declared], "declared"
     if distinct == rows and rows > 1 and kind in ("int", "bigint") and words and words[-1].endswith(("id", "key", "no")):
-        return "identifier"
-    if kind.startswith("timestamp"):
-        return "event"
+        return "identifier", "measured"
+    if kind.startswith(("timestamp", "date")):
+        named = _named(words, TIMES)
+        return (named, "named") if named else ("event", "typed")
+    if kind == "boolean":
+        return ("deleted", "named") if _named(words, {"deleted": TIMES["deleted"]}) else ("category", "declared")
     if words and words[-1] in ("id", "key") or any(w.endswith("key") for w in words):
-        return "reference"
-    if words and any(w in ("price", "totalprice", "extendedprice", "retailprice", "acctbal", "amount") for w in words):
-        return "money"
-    if words and words[-1] in ("quantity", "size", "count"):
-        return "quantity"
-    if kind in ("double", "float"):
-        return "ratio" if any(w in ("discount", "tax", "rate") for w in words) else "number"
-    if kind == "string":
-        return "category" if distinct <= 50 else "text"
-    return "number"
+        return "reference", "named"
+    if kind != "string":
+        named = _named(words, NUMBERS) or _named(words, {"calendar": TIMES["calendar"]})
+        return (named, "named") if named else ("money", "typed") if re.fullmatch(r"decimal\(\d+,[24]\)", kind) else ("number", "typed")
+    if named := _named(words, TEXTS):
+        return named, "named"
+    if distinct <= 50 and not WORDY & set(words) and (width or 0) <= 40:
+        return "category", "measured"
+    return "text", "named" if WORDY & set(words) else "measured"
+
+
+def role(column: str, kind: str, distinct: int, rows: int) -> str:
+    """One of the column roles."""
+    return evidence(column, kind, distinct, rows)[0]
+
+
+def column_statistics(df: DataFrame, column: str, most: int = 30, parts: int = 10) -> dict[str, object]:
+    """A column as a planner's catalog has it: null_frac, avg_width, n_distinct (negative: a share of the rows, where
+    these are many), the commonest values with their shares, and bounds of equal counts of the others (numbers only)."""
+    c = F.col(column)
+    r = df.agg(F.count(F.lit(1)).alias("n"), F.count(c).alias("k"), F.count_distinct(c).alias("d"), F.avg(F.octet_length(c.cast("string"))).alias("w")).first()
+    n, d = max(1, r["n"]), r["d"]
+    common = [x for x in common_values(df.where(c.isNotNull()), column, most).collect() if x["n"] > 1] if d < r["k"] else []
+    kind = dict(df.dtypes)[column]
+    bounds = [x["bound"] for x in histogram(df.where(~F.coalesce(c.cast("string").isin([x["value"] for x in common]), F.lit(False))), column, parts).orderBy("part").collect()] if kind in ("int", "bigint", "double", "float") and d > len(common) else []
+    return {"null_frac": (r["n"] - r["k"]) / n, "avg_width": r["w"] or 0.0, "n_distinct": -d / n if d > 0.1 * n else d, "common": [x["value"] for x in common], "shares": [x["n"] / n for x in common], "bounds": bounds}
 
 
 def key_stem(column: str) -> str:

@@ -209,6 +209,19 @@ def q_search_stem(spark, d):
     return s.groupBy("stem").agg(F.count_distinct("term").alias("forms"), F.count(F.lit(1)).alias("uses"))
 
 
+@query(f"with t as (select doc, len(w) len, unnest(w) term from {TOK}), p as (select doc, len, count(*) tf from (select doc, len, {STEM3} stem from (select doc, len, {STEM2} x from (select doc, len, {STEM1} w from t))) where stem = 'idiot' group by all), d as (select count(*) df from p) select doc, round(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / mean)), 9) score from p, d, {ST}")
+def q_search_forms(spark, d):
+    own = indexed(spark, d)
+    words = {"idiot": se.forms(own, "idiots")}
+    return se.scored(se.any_form(own.postings(words["idiot"]), words), *own.statistics).select("doc", "score")
+
+
+@query(f"select word, coalesce(max(term), word) as searched from (select unnest(['wrothless', 'tion', 'zzzzzzzzzz']) word) left join (select 'wrothless' word, term from (select term, damerau_levenshtein(term, 'wrothless') distance, count(*) df from (select distinct doc, unnest(w) term from {TOK}) where len(term) between 7 and 11 group by all) where distance between 1 and 2 order by distance, df desc, term limit 1) using (word) group by word")
+def q_search_corrected(spark, d):
+    found = se.corrected(indexed(spark, d), ["wrothless", "tion", "zzzzzzzzzz"])
+    return spark.createDataFrame(sorted(found.items()), "word string, searched string")
+
+
 @query(f"with kept as (select doc, w from {TOK} where doc % 10 <> 3 union all select doc, ['replaced'] from {TOK} where doc % 10 = 3) select term, count(distinct doc) df from (select doc, unnest(w) term from kept) where term in ('the', 'replaced', 'tion') group by all")
 def q_index_upsert(spark, d):
     docs = table(spark, d, "documents").select("doc_id", "text")

@@ -22,6 +22,15 @@ def q_profile_columns(spark, d):
     return see.profile(table(spark, d, "customer"), "customer").drop("width")
 
 
+STATS = [("customer", "c_mktsegment"), ("customer", "c_custkey"), ("orders", "o_orderpriority"), ("orders", "o_custkey")]
+
+
+@query(" union all ".join(f"select '{t}' as \"table\", '{c}' as \"column\", round((count(*) - count({c})) / cast(count(*) as double), 6) null_frac, round(avg(strlen(cast({c} as varchar))), 6) avg_width, round(case when count(distinct {c}) > 0.1 * count(*) then -count(distinct {c}) / cast(count(*) as double) else count(distinct {c}) end, 6) n_distinct from {t}" for t, c in STATS))
+def q_column_statistics(spark, d):
+    found = [(t, c, see.column_statistics(table(spark, d, t), c)) for t, c in STATS]
+    return spark.createDataFrame([(t, c, round(x["null_frac"], 6), round(x["avg_width"], 6), round(float(x["n_distinct"]), 6)) for t, c, x in found], "`table` string, `column` string, null_frac double, avg_width double, n_distinct double")
+
+
 @query("select c_mktsegment as value, count(*) n from customer group by all order by n desc, value limit 30")
 def q_profile_mcv(spark, d):
     return see.common_values(table(spark, d, "customer"), "c_mktsegment")
