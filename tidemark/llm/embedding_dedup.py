@@ -29,6 +29,8 @@ from .common import components, materialise
 THRESHOLD = 0.93
 #: Pivots over all labels at most: they are broadcast. Labels with fewer vectors than this are one cell.
 PIVOTS, ONE_CELL = 65_536, 512
+#: Numbers in all pivots at most, 64 MB: longer vectors have fewer pivots.
+PIVOT_VALUES = 1 << 23
 #: A vector visits pivots whose inner product is this much below its home's, at most.
 MARGIN = 0.16
 #: Width of the confidence bound in standard deviations.
@@ -94,10 +96,11 @@ def classes(vectors: DataFrame, id_col: str, vec_col: str, label_col: str) -> tu
 
 
 def pivots(found: DataFrame) -> dict[str, np.ndarray]:
-    """Unit vectors per group: at most about PIVOTS in all, more for larger groups. Groups of one cell have none."""
+    """Unit vectors per group: at most about PIVOTS (and PIVOT_VALUES numbers) in all, more for larger groups. Groups of one cell have none."""
     sizes = found.groupBy("group").agg(F.count(F.lit(1)).alias("n"))
-    total = found.count()
-    share = sizes.where(F.col("n") > ONE_CELL).withColumn("rate", F.least(F.least(4 * F.sqrt("n"), F.lit(PIVOTS) * F.col("n") / max(1, total)) / F.col("n"), F.lit(1.0)))
+    facts = found.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("v")).alias("dim")).first()
+    total, most = facts["n"], max(1, min(PIVOTS, PIVOT_VALUES // max(1, facts["dim"] or 1)))
+    share = sizes.where(F.col("n") > ONE_CELL).withColumn("rate", F.least(F.least(4 * F.sqrt("n"), F.lit(most) * F.col("n") / max(1, total)) / F.col("n"), F.lit(1.0)))
     chosen = found.join(share, "group").where(F.pmod(F.xxhash64(F.lit(SEED), "key"), F.lit(1 << 30)) < F.col("rate") * (1 << 30)).select("group", "key", "v").toPandas()
     out = {}
     for g, pdf in chosen.sort_values(["group", "key"]).groupby("group"):
