@@ -21,7 +21,7 @@ from .common import write_lines
 
 ANCHORS, CHAIN = 24, 3
 #: Rows that are put in order together, to find each row's successor; the most such buckets (beyond, they grow).
-BUCKET, MOST_BUCKETS = 32_768, 65_536
+BUCKET, MOST_BUCKETS = 2_048, 65_536
 MARK = "\u0001"
 
 

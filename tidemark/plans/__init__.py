@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import metric_queries, record_queries, search_queries, see_queries, sql_queries, state_queries  # noqa: F401
+from . import metric_queries, record_queries, search_queries, see_queries, source_queries, sql_queries, state_queries  # noqa: F401
 from .registry import ORACLE, QUERIES
 
 

@@ -84,7 +84,7 @@ def influx(lines: DataFrame, line: str = "value") -> DataFrame:
     parts = F.split(line, " ")
     head = F.split(parts[0], ",", 2)
     tags = F.when(F.size(head) > 1, F.str_to_map(head[1], F.lit(","), F.lit("="))).otherwise(F.create_map().cast("map<string,string>"))
-    rows = lines.select(head[0].alias("measurement"), tags.alias("labels"), (parts[2].cast("long") / 1000).cast("long").alias("us"), F.explode(F.str_to_map(parts[1], F.lit(","), F.lit("="))).alias("field", "text"))
+    rows = lines.select(head[0].alias("measurement"), tags.alias("labels"), F.expr(f"cast(split(`{line}`, ' ')[2] as bigint) div 1000").alias("us"), F.explode(F.str_to_map(parts[1], F.lit(","), F.lit("="))).alias("field", "text"))
     return rows.select(F.concat_ws("_", "measurement", "field").alias("name"), "labels", "us", F.regexp_replace("text", "i$", "").cast("double").alias("value"))
 
 
