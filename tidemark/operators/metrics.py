@@ -154,11 +154,21 @@ def aggregate(samples: DataFrame, op: str, begin: int, end: int, every: int | No
     return out.withColumn("partial", cut).select("name", "kind", "grp", "at", "value", "samples", "resets", "partial", "gap")
 
 
-def nearest_rank(df: DataFrame, keys: list[str], value: str, num: int, den: int) -> DataFrame:
-    """The stored value at rank ceil(num n / den) of each group, ranks in whole numbers."""
+def nearest_ranks(df: DataFrame, keys: list[str], value: str, ranks: dict[str, tuple[int, int]]) -> DataFrame:
+    """(keys, pct, value, samples): the stored value at rank ceil(num n / den) of each group, for every named (num, den).
+
+    Equal values meet before the shuffle; ranks are whole numbers over counts of values, found once for all names.
+    """
+    per = df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
     w = Window.partitionBy(*keys)
-    ranked = df.withColumns({"_rn": F.row_number().over(w.orderBy(value)), "_n": F.count(F.lit(1)).over(w)})
-    return ranked.where(f"_rn = greatest(1, ({num} * _n + {den} - 1) div {den})").select(*keys, F.col(value).alias("value"), F.col("_n").alias("samples"))
+    run = per.withColumns({"_hi": F.sum("_c").over(w.orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)), "_n": F.sum("_c").over(w)})
+    need = lambda num, den: F.expr(f"greatest(1, ({num} * _n + {den} - 1) div {den})")
+    hit = F.array(*(F.when((need(*r) <= F.col("_hi")) & (need(*r) > F.col("_hi") - F.col("_c")), F.lit(name)) for name, r in ranks.items()))
+    return run.select(*keys, F.explode(F.array_compact(hit)).alias("pct"), F.col("_v").alias("value"), F.col("_n").alias("samples"))
+
+
+def nearest_rank(df: DataFrame, keys: list[str], value: str, num: int, den: int) -> DataFrame:
+    return nearest_ranks(df, keys, value, {"": (num, den)}).drop("pct")
 
 
 def exact_sum(df: DataFrame, keys: list[str], value: str) -> DataFrame:

@@ -99,9 +99,7 @@ def q_metric_first_group(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"select event_type, pct, value from (select event_type, value, row_number() over (partition by event_type order by value) rn, count(*) over (partition by event_type) n from {G}), (values ('p50', 50, 100), ('p95', 95, 100), ('p99.9', 999, 1000)) t(pct, num, den) where rn = greatest(1, (num * n + den - 1) // den)")
 def q_metric_percentile(spark: SparkSession, d: str) -> DataFrame:
-    e = events(spark, d).select("event_type", "value")
-    parts = [m.nearest_rank(e, ["event_type"], "value", num, den).select("event_type", F.lit(p).alias("pct"), "value") for p, num, den in (("p50", 50, 100), ("p95", 95, 100), ("p99.9", 999, 1000))]
-    return parts[0].union(parts[1]).union(parts[2])
+    return m.nearest_ranks(events(spark, d), ["event_type"], "value", {"p50": (50, 100), "p95": (95, 100), "p99.9": (999, 1000)}).drop("samples")
 
 
 LE = "(select unnest([1.0, 5.0, 10.0, 25.0, 50.0, 100.0, 250.0, 'inf'::double]) le)"
