@@ -164,6 +164,12 @@ def lines_of(texts: DataFrame, id_col: str, text_col: str = "text") -> DataFrame
     return texts.select(F.col(id_col), F.posexplode(F.split(text_col, "\n")).alias("no", "line"))
 
 
+def lines_with(texts: DataFrame, id_col: str, phrases: list[str], text_col: str = "text") -> DataFrame:
+    """Lines that hold any of some phrases; only texts that hold one are cut into lines."""
+    held = lambda c: reduce(lambda a, b: a | b, (contains(p, c) for p in phrases))
+    return lines_of(texts.where(held(F.col(text_col))), id_col, text_col).where(held(F.col("line")))
+
+
 def flatten_values(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """(id, json) -> (id, path, value): every leaf of nested JSON, for searches at any depth."""
     import json

@@ -112,12 +112,12 @@ LINES = "(select doc_id, unnest(str_split(text, chr(10))) line from documents)"
 
 @query(f"select count(*) n from {LINES} where contains(lower(line), 'all rights reserved')")
 def q_log_needle_count(spark: SparkSession, d: str) -> DataFrame:
-    return r.lines_of(table(spark, d, "documents"), "doc_id").where(r.contains("all rights reserved", F.col("line"))).agg(F.count(F.lit(1)).alias("n"))
+    return r.lines_with(table(spark, d, "documents"), "doc_id", ["all rights reserved"]).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(f"select doc_id, count(*) n from {LINES} where contains(lower(line), 'error') or contains(lower(line), 'token') group by all")
 def q_log_error_count(spark: SparkSession, d: str) -> DataFrame:
-    return r.lines_of(table(spark, d, "documents"), "doc_id").where(r.contains("error", F.col("line")) | r.contains("token", F.col("line"))).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
+    return r.lines_with(table(spark, d, "documents"), "doc_id", ["error", "token"]).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("select doc_id, n_chars from documents order by doc_id desc limit 100")
