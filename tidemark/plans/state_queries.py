@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import state as st
-from ..session import micros, table
+from ..session import micros, shared_dir, table
 from .metric_queries import DAY, HOUR, T0
 from .registry import query
 
@@ -131,3 +133,32 @@ def q_debounce(spark, d):
 @query(f"with recursive c as {CALLS}, w as (select u, seq, us, rn, us b, true added from c where rn = 1 union all select c.u, c.seq, c.us, c.rn, case when c.us >= w.b + {DAY} then c.us else w.b end, c.us >= w.b + {DAY} from w join c on c.u = w.u and c.rn = w.rn + 1) select u as user, seq, added, b + {DAY} run_at from w")
 def q_throttle(spark, d):
     return st.throttle(calls(spark, d), "user", "at", DAY)
+
+
+@query("select event_type instance, count(*) n, max(epoch_us(ts)) window_end from events group by all")
+def q_flow_collect(spark, d):
+    """Two runs that read the same window: the dataset holds each event once."""
+    from ..operators.flows import Run
+
+    at = f"{shared_dir(spark)}/tidemark-flow-{uuid.uuid4().hex}"
+    rows = table(spark, d, "events").select("event_type", micros(F.col("ts")).alias("us"), "user_id", "value")
+    for run in ("r1", "r2"):
+        Run(spark, at, "collect", run).collect("events", lambda: rows, f"{at}/dataset", "event_type", "us")
+    return spark.read.parquet(f"{at}/dataset").groupBy(F.col("event_type").alias("instance")).agg(F.count(F.lit(1)).alias("n"), F.max("us").alias("window_end"))
+
+
+BREACH = "(select user_id, max(value) > 60 breach from events where user_id % 7 <> 0 group by all)"
+
+
+@query(f"select cast(user_id as varchar) subject, case when user_id % 2 = 0 then 'firing' else 'ok' end was, case when breach then 'firing' else 'ok' end state, 'watch/r1/commit/' || user_id as operation from {BREACH} where (user_id % 2 = 0) <> breach")
+def q_flow_transitions(spark, d):
+    """Who moves from which state to which, and the notification that was written with the new state."""
+    from ..operators.flows import Run
+
+    e = table(spark, d, "events")
+    states = e.select("user_id").distinct().select(F.col("user_id").cast("string").alias("subject"), F.when(F.col("user_id") % 2 == 0, "firing").otherwise("ok").alias("state"))
+    run = Run(spark, f"{shared_dir(spark)}/tidemark-flow-{uuid.uuid4().hex}", "watch", "r1")
+    found = e.groupBy("user_id").agg((F.max("value") > 60).alias("b")).select(F.col("user_id").cast("string").alias("subject"), F.when(F.col("user_id") % 7 != 0, F.col("b")).alias("breach"))
+    moved = run.evaluate("evaluate", lambda: found, states)
+    told = run.commit("commit", moved, states).where("kind = 'notify'")
+    return moved.join(told.select("subject", "operation"), "subject")
