@@ -227,10 +227,5 @@ def test_pipeline(spark):
     import corpus_pipeline as c
 
     d = "/root/testdata/sf0.001"
-    docs = spark.read.parquet(f"{d}/documents.parquet")
     out = c.run(spark, d)
-    assert set(out.columns) == {"doc_id", "ids", "n_tokens"} and 0 < out.count() <= docs.count()
-    step = docs
-    for name, f in c.STAGES[:-1]:
-        step = f(spark, step, d)
-        assert step.columns == docs.columns, name
+    assert set(out.columns) == {"doc_id", "ids", "n_tokens"} and 0 < out.count() <= spark.read.parquet(f"{d}/documents.parquet").count()
