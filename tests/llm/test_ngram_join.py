@@ -2,6 +2,8 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
+
 from tidemark.llm import ngram_join
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -106,3 +108,12 @@ def test_ids_of_letters_and_a_very_long_text(spark):
     long = [f"w{rnd.randrange(50_000)}" for _ in range(300_000)]
     rows = [("b", " ".join(long)), ("a", " ".join([*long[:-1], "end"])), ("c", "some other words than those")]
     assert joined(spark.createDataFrame(rows, "doc_id string, text string")) == brute(rows)
+
+
+def test_sets_are_packed_without_loss():
+    rnd = np.random.default_rng(1)
+    for n in (0, 1, 2, 30, 850, 20_000):
+        x = np.unique(rnd.integers(0, 2**64, n, dtype=np.uint64))
+        assert (ngram_join.unpacked_set(ngram_join.packed_set(x)) == x).all()
+    x = np.array([0, 2**64 - 1], dtype=np.uint64)
+    assert (ngram_join.unpacked_set(ngram_join.packed_set(x)) == x).all()
