@@ -13,6 +13,7 @@ import sentencepiece
 import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from tidemark.llm import licenses, sentencepiece_bpe, spotsigs, toxicity
 
@@ -107,9 +108,8 @@ def test_spotsigs_pairs_and_edges(spark):
     near = [*base[:295], "zz", *base[296:]]
     rows = [(1, " ".join(base)), (2, " ".join(near)), (3, " ".join(base)), (4, "something the else of entirely"), (5, None), (None, "the x")]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    pairs, members = spotsigs.near_pairs(df)
-    assert [(r.a, r.b) for r in pairs.collect()] == [(1, 2)]
-    assert {r.id: r.representative for r in members.collect()}[3] == 1
+    assert {(r.doc_id, r.class_id) for r in spotsigs.near_classes(df).collect()} == {(1, 1), (2, 1), (3, 1), (4, 4), (5, 5), (None, None)}
+    assert spotsigs.near_classes(df.limit(0)).count() == 0
     assert spotsigs.edited(df).count() == len(rows) and spotsigs.edited(df.limit(0)).count() == 0
     one = spotsigs.edited(df.where("doc_id = 4")).first()
     assert one.near_next == 1.0
@@ -237,6 +237,41 @@ def test_license_labels_and_scores_against_the_definition(spark):
         assert got[i].score <= max([1.0] * bool(base) + list(found.values()), default=0) + 1e-9
 
 
+def test_spotsigs_classes_against_brute_force(spark):
+    rnd = random.Random(6)
+    words, rows = ["the", "of", "and", *(f"w{i}" for i in range(150))], []
+    for g in range(40):
+        base = [rnd.choice(words[:3] if rnd.random() < 0.4 else words) for _ in range(rnd.choice([3, 8, 20, 40, 90]))]
+        for _ in range(rnd.choice([1, 2, 6, 15])):
+            w = list(base)
+            for _ in range(rnd.choice([0, 0, 1, 2, 4])):
+                w[rnd.randrange(len(w))] = rnd.choice(words)
+            rows.append((len(rows) * 7, " ".join(w)))
+    rows += [(rows[3][0], rows[40][1])]  # a repeated id: its rows keep their own classes
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    common = spotsigs.anchors(df)
+    sets = [frozenset(r.fp) for r in df.select(spotsigs.fingerprint(F.col("text"), common).alias("fp")).collect()]
+    up = list(range(len(rows)))
+
+    def find(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    links = 0
+    for i in range(len(rows)):
+        for j in range(i):
+            if sets[i] and sets[j] and len(sets[i] & sets[j]) >= 0.75 * len(sets[i] | sets[j]):
+                links += 1
+                a, b = find(i), find(j)
+                up[max(a, b)] = min(a, b)
+    least = {}
+    for i, (d, _) in enumerate(rows):
+        least[find(i)] = min(least.get(find(i), d), d)
+    want = Counter((d, least[find(i)] if sets[i] else d) for i, (d, _) in enumerate(rows))
+    assert links > 200 and Counter((r.doc_id, r.class_id) for r in spotsigs.near_classes(df).collect()) == want
+
+
 def test_spotsigs_of_a_very_long_text_and_clashing_columns(spark):
     rnd = random.Random(5)
     words = ["the", "of", *(f"w{i}" for i in range(3000))]

@@ -17,11 +17,13 @@ import json
 from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
-from .common import write_lines
+from .common import components, materialise, release, write_lines
 
 ANCHORS, CHAIN = 24, 3
 #: Rows that are put in order together, to find each row's successor; the most such buckets (beyond, they grow).
-BUCKET, MOST_BUCKETS = 2_048, 65_536
+BUCKET, MOST_BUCKETS = 32_768, 65_536
+#: Counts by which hashes are ordered, rare ones first.
+ORDERS = 1 << 14
 MARK = "\u0001"
 
 
@@ -70,25 +72,57 @@ def shown(fp: Column) -> Column:
     return F.array_join(F.transform(fp, lambda x: F.lower(F.lpad(F.hex(x), 16, "0"))), ",")
 
 
-def near_pairs(docs: DataFrame, least: float = 0.75, text_col: str = "text", id_col: str = "doc_id") -> tuple[DataFrame, DataFrame]:
-    """(a, b, likeness) between representatives, and (id, representative) of every row with a fingerprint.
+def near_classes(docs: DataFrame, least: float = 0.75, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
+    """(id, class_id) of every row: the least id that links of likeness ``least`` reach, its own included.
 
-    Rows of equal fingerprints have one representative. A fingerprint of n hashes meets others through its first
-    n - ceil(least n) + 1 hashes, in its own partition of lengths and as the shorter one in the next.
+    Rows of equal fingerprints are one. A fingerprint of n hashes, rare ones first, meets others through its first
+    n - ceil(least n) + 1 hashes, in lists of its own partition of lengths and of the next shorter one. In each list
+    every member is compared with the list's leader; in lists that then hold several classes, members outside the
+    largest one are compared with those of others. Null ids and empty fingerprints have no links; a null id has no class.
     """
     src = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    fp = src.select("id", fingerprint(F.col("text"), anchors(src)).alias("fp")).where("size(fp) > 0 and id is not null")
-    keyed = fp.withColumn("key", F.md5(shown(F.col("fp"))))
-    reps = keyed.groupBy("key").agg(F.min("id").alias("rep"), F.first("fp").alias("fp"))
-    members = keyed.select("id", "key").join(reps.select("key", "rep"), "key").select("id", F.col("rep").alias("representative"))
+    hashed = src.select("id", fingerprint(F.col("text"), anchors(src)).alias("fp")).withColumns({"k": F.xxhash64("fp"), "l": F.xxhash64(F.lit(1), "fp")})
+    rows = materialise(hashed, "fingerprints")
+    able = F.col("id").isNotNull() & (F.size("fp") > 0)
+    reps = materialise(rows.where(able).groupBy("k", "l").agg(F.first("fp").alias("fp")).withColumn("node", F.monotonically_increasing_id()), "representatives")
+    # How many fingerprints hold each hash, by a table of fixed size: it only orders them.
+    counted = reps.select(F.explode("fp").alias("sig")).groupBy(F.pmod("sig", F.lit(ORDERS)).cast("int").alias("at")).agg(F.count(F.lit(1)).alias("n")).collect()
+    load = [0] * ORDERS
+    for r in counted:
+        load[r["at"]] = r["n"]
+    loads = F.from_json(F.lit(json.dumps(load)), "array<bigint>")
+    ordered = F.array_sort(F.transform("fp", lambda s: F.struct(F.get(loads, F.pmod(s, F.lit(ORDERS)).cast("int")).alias("load"), s.alias("sig"))))
     n = F.size("fp")
     part = F.floor(F.log(n.cast("double")) / F.log(F.lit(1 / least)) + 1e-9)
-    entries = reps.select("rep", n.alias("n"), part.alias("part"), F.explode(F.slice("fp", 1, (n - F.ceil(n * least - 1e-9) + 1).cast("int"))).alias("sig"))
-    own, up = entries.select("sig", "part", F.col("rep").alias("a"), F.col("n").alias("an")), entries.select("sig", F.explode(F.array(F.col("part"), F.col("part") - 1)).alias("part"), F.col("rep").alias("b"), F.col("n").alias("bn"))
-    met = own.join(up, ["sig", "part"]).where((F.col("a") != F.col("b")) & (F.col("an") <= F.col("bn")) & (F.col("an") >= F.col("bn") * least - 1e-9)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    x, y = reps.select(F.col("rep").alias("a"), F.col("fp").alias("x")), reps.select(F.col("rep").alias("b"), F.col("fp").alias("y"))
-    scored = met.join(x, "a").join(y, "b").select("a", "b", likeness(F.col("x"), F.col("y")).alias("likeness"))
-    return scored.where(F.col("likeness") >= least), members
+    first = reps.select("node", n.alias("n"), part.alias("part"), F.explode(F.slice(ordered, 1, (n - F.ceil(n * least - 1e-9) + 1).cast("int"))).alias("x"))
+    entries = materialise(first.select("x.sig", F.explode(F.array(F.col("part"), F.col("part") - 1)).alias("part"), "node", "n"), "entries")
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        """Those of (a, b) that are alike enough; written."""
+        x, y = (reps.select(F.col("node").alias(c), F.col("fp").alias(f"{c}_fp")) for c in "ab")
+        both = F.size(F.array_intersect("a_fp", "b_fp"))
+        near = both >= least * (F.size("a_fp") + F.size("b_fp") - both) - 1e-9
+        return materialise(pairs.distinct().join(x, "a").join(y, "b").where(near).select("a", "b"), "links")
+
+    fits = F.least("n", "m") >= least * F.greatest("n", "m") - 1e-9
+    # A hot list is a row per task until its leader is known.
+    led = entries.groupBy("sig", "part").agg(F.min(F.struct("node", "n")).alias("lead"), F.count(F.lit(1)).alias("c")).where("c > 1").select("sig", "part", F.col("lead.node").alias("a"), F.col("lead.n").alias("m"))
+    stars = linked(entries.join(led, ["sig", "part"]).where((F.col("node") != F.col("a")) & fits).select("a", F.col("node").alias("b")))
+    comp = materialise(components(stars), "comp")
+    held = entries.join(led.select("sig", "part"), ["sig", "part"], "left_semi").join(comp, "node", "left").withColumn("comp", F.coalesce("component", "node")).drop("component")
+    held = materialise(held, "held")
+    share = held.groupBy("sig", "part", "comp").agg(F.count(F.lit(1)).alias("c")).groupBy("sig", "part").agg(F.max(F.struct("c", "comp")).alias("main"), F.count(F.lit(1)).alias("parts"))
+    mixed = materialise(held.join(share.where("parts > 1").select("sig", "part", F.col("main.comp").alias("main")), ["sig", "part"]), "mixed")
+    out = mixed.where("comp <> main").select("sig", "part", F.col("node").alias("a"), F.col("n").alias("m"), F.col("comp").alias("ac"), F.col("main").alias("am"))
+    rest = out.join(mixed.select("sig", "part", "node", "n", "comp"), ["sig", "part"]).where(F.expr("ac <> comp and (comp = am or a < node)") & fits).select("a", F.col("node").alias("b"))
+    whole = components(stars.union(linked(rest)))
+    named = rows.where(able).join(reps.select("k", "l", "node"), ["k", "l"]).join(whole, "node", "left").select("id", F.coalesce("component", "node").alias("component"))
+    named = materialise(named, "named")
+    smallest = named.groupBy("component").agg(F.min("id").alias("class_id"))
+    found = named.join(smallest, "component").select("id", "class_id").union(rows.where(~able).select("id", F.col("id")))
+    for t in (entries, comp, held, mixed):
+        release(t)
+    return found.select(F.col("id").alias(id_col), "class_id")
 
 
 def ranges(keys: DataFrame, bucket: int = BUCKET) -> tuple[list[Row], list[Row], int]:
