@@ -21,7 +21,7 @@ from .common import components, materialise, release, write_lines
 
 ANCHORS, CHAIN = 24, 3
 #: Rows that are put in order together, to find each row's successor; the most such buckets (beyond, they grow).
-BUCKET, MOST_BUCKETS = 32_768, 65_536
+BUCKET, MOST_BUCKETS = 2_048, 65_536
 #: Counts by which hashes are ordered, rare ones first.
 ORDERS = 1 << 14
 MARK = "\u0001"
@@ -173,7 +173,8 @@ def edited(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", buck
     lines = (json.dumps({"kid": r["id"], "kh": r["h"], "after": (i + 1) % len(top)}, default=str) for i, r in enumerate(top))
     heads = F.broadcast(spark.read.schema(f"kid {kind}, kh long, after int").json(write_lines(spark, lines, "heads")))
     guests = src.join(heads, F.col("id").eqNullSafe(F.col("kid")) & (F.col("h") == F.col("kh"))).groupBy("after").agg(F.min(F.struct("id", "h", "text")).alias("g")).select("g.*", F.col("after").alias("bucket"))
-    every = rows.withColumn("guest", F.lit(False)).unionByName(guests.withColumn("guest", F.lit(True)), allowMissingColumns=True).withColumn("fp", fingerprint(F.col("text"), common))
+    every = rows.withColumn("guest", F.lit(False)).unionByName(guests.withColumn("guest", F.lit(True)), allowMissingColumns=True)
+    every = every.repartition("bucket").withColumn("fp", fingerprint(F.col("text"), common))
     w = Window.partitionBy("bucket").orderBy("guest", F.desc_nulls_last("id"), F.desc("h"))
     ahead = every.withColumns({"next_text": F.lead("text").over(w), "next_fp": F.lead("fp").over(w)}).where("not guest")
     if most > 1:
