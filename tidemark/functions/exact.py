@@ -17,66 +17,51 @@ BITS = 24
 LOW, HIGH = -60, 52  # places that occur, with room for carries
 
 
-def power(halves: Column) -> Column:
-    """2^(12 halves), from a table so that no rounding moves it."""
-    return F.get(F.array(*(F.lit(2.0 ** (12 * k)) for k in range(LOW, HIGH + 33))), (halves - LOW).cast("int"))
+#: 2^(12 k) for the half places from LOW on, from a table so that no rounding moves them.
+POWERS = "array(" + ", ".join(f"{2.0 ** (12 * k)!r}D" for k in range(LOW, HIGH + 33)) + ")"
 
 
-def cut(df: DataFrame, x: str) -> DataFrame:
-    """``df`` with ``x_place`` of the leading part and parts ``x_d0`` to ``x_d3`` of a double; null where it isn't finite.
-
-    Each step is a projection of its own, so that nothing is found twice; the units are powers of two.
+def cut(df: DataFrame, cols: list[str]) -> DataFrame:
+    """``df`` with, for each column ``x``, ``x_place`` of the leading part and parts ``x_d0`` to ``x_d3``; null where it
+    isn't finite. Each step is one projection for all columns; the units are powers of two.
     """
-    value = F.col(x)
     # Very small values are lifted by 30 places, so that the units of their parts are ordinary doubles.
-    small = F.abs(value) < 2.0**-600
-    out = df.withColumn(f"{x}_y", F.when(F.abs(value) < float("inf"), F.when(small, value * 2.0**720).otherwise(value)))
+    small = lambda x: f"abs({x}) < {2.0**-600!r}D"
+    out = df.withColumns({f"{x}_y": F.expr(f"if(abs({x}) < double('infinity'), if({small(x)}, {x} * {2.0**720!r}D, {x}), null)") for x in cols})
     # A logarithm that is a little off moves the leading part by one place at most, for which there is room.
-    out = out.withColumn(f"{x}_p", F.when(F.col(f"{x}_y").isNotNull(), F.coalesce(F.floor(F.log2(F.abs(f"{x}_y")) / BITS).cast("int"), F.lit(0))))
-    out = out.withColumns({f"{x}_place": F.when(small, F.col(f"{x}_p") - 30).otherwise(F.col(f"{x}_p")), f"{x}_u": power(2 * F.col(f"{x}_p"))})
+    out = out.withColumns({f"{x}_p": F.expr(f"if({x}_y is null, null, coalesce(cast(floor(log2(abs({x}_y)) / {BITS}) as int), 0))") for x in cols})
+    out = out.withColumns({k: v for x in cols for k, v in {f"{x}_place": F.expr(f"if({small(x)}, {x}_p - 30, {x}_p)"), f"{x}_u": F.expr(f"get({POWERS}, 2 * {x}_p - {LOW})")}.items()})
     for i in range(4):
-        out = out.withColumn(f"{x}_d{i}", (F.col(f"{x}_y") / F.col(f"{x}_u") * 2.0 ** (BITS * i)).cast("long"))
-        out = out.withColumn(f"{x}_y", F.col(f"{x}_y") - F.col(f"{x}_d{i}") * (F.col(f"{x}_u") * 2.0 ** (-BITS * i)))
+        out = out.withColumns({f"{x}_d{i}": F.expr(f"cast({_rest(x, i)} / {x}_u * {2.0 ** (BITS * i)!r}D as bigint)") for x in cols})
     return out
 
 
-def assembled(parts: Column) -> Column:
-    """The double nearest to the sum of ``parts``, an array of (place, d0, d1, d2, d3)."""
-    every = F.flatten(F.transform(parts, lambda p: F.array(*(F.struct((p["place"] - i).alias("at"), p[f"d{i}"].alias("d")) for i in range(4)))))
-
-    def let(value: Column, body) -> Column:
-        return F.element_at(F.transform(F.array(value), body), 1)
-
-    def carried(digits: Column) -> Column:
-        start = F.struct(F.lit(0).cast("long").alias("over"), F.array().cast("array<bigint>").alias("out"))
-
-        def step(acc: Column, d: Column) -> Column:
-            t = acc["over"] + d
-            return F.struct(F.shiftright(t, BITS).alias("over"), F.concat(acc["out"], F.array(t.bitwiseAND((1 << BITS) - 1))).alias("out"))
-
-        return F.aggregate(digits, start, step)
+def _rest(x: str, i: int) -> str:
+    """What the first ``i`` parts leave of a value, exactly."""
+    return f"{x}_y" if i == 0 else f"({_rest(x, i - 1)} - {x}_d{i - 1} * ({x}_u * {2.0 ** (-BITS * (i - 1))!r}D))"
 
-    def of(entries: Column) -> Column:
-        low = F.array_min(F.transform(entries, lambda e: e["at"]))
-        # Sums of longs carry three places up.
-        high = F.array_max(F.transform(entries, lambda e: e["at"])) + 4
-        plain = F.transform(F.sequence(low, high), lambda b: F.aggregate(F.filter(entries, lambda e: e["at"] == b), F.lit(0).cast("long"), lambda a, e: a + e["d"]))
-        return let(plain, lambda digits: let(carried(digits), lambda c: F.when(c["over"] < 0, -rounded(carried(F.transform(digits, lambda d: -d))["out"], low)).otherwise(rounded(c["out"], low))))
 
-    def rounded(digits: Column, low: Column) -> Column:
-        def nearest(d: Column) -> Column:
-            top = F.size(d) - F.coalesce(F.nullif(F.array_position(F.reverse(F.transform(d, lambda x: x != 0)), True), F.lit(0)) - 1, F.size(d)).cast("int")  # digits up to the leading one
-            at = lambda k: F.coalesce(F.get(d, top - k), F.lit(0).cast("long"))
-            more = F.exists(F.slice(d, 1, F.greatest(top - 4, F.lit(0))), lambda x: x != 0)
-            head, tail = at(1) * (1 << BITS) + at(2), at(3) * (1 << BITS) + at(4)
-            # Two exact doubles, the lower below half of the upper's last bit but for a trace of what follows: one rounding.
-            near = head.cast("double") * 2.0 ** (2 * BITS) + (tail.cast("double") + F.when(more, 0.5).otherwise(0.0))
-            place = low + top - 4
-            return F.when(top <= 0, 0.0).otherwise(near * power(place) * power(place))
+def assembled(parts: str) -> Column:
+    """The double nearest to the sum of ``parts``, a column of arrays of (place, d0, d1, d2, d3)."""
+    let = lambda value, name, body: f"transform(array({value}), {name} -> {body})[0]"
+    every = f"flatten(transform({parts}, p -> array({', '.join(f"named_struct('at', p.place - {i}, 'd', p.d{i})" for i in range(4))})))"
+    # Sums of longs carry three places up.
+    places = "sequence(array_min(transform(e, x -> x.at)), array_max(transform(e, x -> x.at)) + 4)"
+    plain = f"transform({places}, b -> aggregate(filter(e, x -> x.at = b), 0L, (a, x) -> a + x.d))"
 
-        return let(digits, nearest)
+    def carried(digits: str) -> str:
+        return f"aggregate({digits}, named_struct('over', 0L, 'out', cast(array() as array<bigint>)), (a, x) -> named_struct('over', shiftright(a.over + x, {BITS}), 'out', concat(a.out, array((a.over + x) & {(1 << BITS) - 1}L))))"
 
-    return let(every, of)
+    # A sum below zero is carried as its opposite.
+    signed = let(carried("g"), "c", f"if(c.over < 0, named_struct('sign', -1.0D, 'd', {carried('transform(g, y -> -y)')}.out), named_struct('sign', 1.0D, 'd', c.out))")
+    top = "cast(size(s.d) - coalesce(nullif(array_position(reverse(transform(s.d, x -> x != 0)), true), 0) - 1, size(s.d)) as int)"  # digits up to the leading one
+    at = lambda k: f"coalesce(get(s.d, t - {k}), 0L)"
+    # Two exact doubles, the lower below half of the upper's last bit but for a trace of what follows: one rounding.
+    head, tail = f"cast({at(1)} * {1 << BITS}L + {at(2)} as double)", f"cast({at(3)} * {1 << BITS}L + {at(4)} as double)"
+    more = "exists(slice(s.d, 1, greatest(t - 4, 0)), x -> x != 0)"
+    power = f"get({POWERS}, array_min(transform(e, x -> x.at)) + t - 4 - {LOW})"
+    near = let(power, "u", f"s.sign * ({head} * {2.0 ** (2 * BITS)!r}D + ({tail} + if({more}, 0.5D, 0.0D))) * u * u")
+    return F.expr(let(every, "e", let(plain, "g", let(signed, "s", let(top, "t", f"if(t <= 0, 0.0D, {near})")))))
 
 
 PARTS = "array<struct<place:int,d0:bigint,d1:bigint,d2:bigint,d3:bigint>>"
@@ -89,24 +74,24 @@ def sums(df: DataFrame, keys: list[str], totals: dict[str, list[Column]], others
     also ``name_parts`` of each total, by which ``again`` adds totals up exactly.
     """
     others = others or {}
-    cols = {f"_{n}_{i}": c.cast("double") for n, cs in totals.items() for i, c in enumerate(cs)}
-    split = reduce(cut, cols, df.withColumns(cols))
+    cols = {f"_t{k}_{i}": c.cast("double") for k, cs in enumerate(totals.values()) for i, c in enumerate(cs)}
+    split = cut(df.withColumns(cols), list(cols))
     aggs = [F.sum(f"{c}_d{i}").alias(f"{c}_d{i}") for c in cols for i in range(4)]
     odd = [F.sum(F.when(F.col(c).isNotNull() & F.col(f"{c}_place").isNull(), F.col(c))).alias(f"{c}_odd") for c in cols]
     first = split.groupBy(*keys, *(f"{c}_place" for c in cols)).agg(*aggs, *odd, *(a.alias(n) for n, (a, _) in others.items()))
     out = []
-    for n, cs in totals.items():
-        own = [f"_{n}_{i}" for i in range(len(cs))]
+    for k, cs in enumerate(totals.values()):
+        own = [f"_t{k}_{i}" for i in range(len(cs))]
         held = F.flatten(F.array(*(F.collect_list(F.when(F.col(f"{c}_place").isNotNull(), F.struct(F.col(f"{c}_place").alias("place"), *(F.col(f"{c}_d{i}").alias(f"d{i}") for i in range(4))))) for c in own)))
-        out += [held.alias(f"_{n}"), reduce(lambda a, b: F.coalesce(a + b, a, b), [F.sum(f"{c}_odd") for c in own]).alias(f"_{n}_odd")]
+        out += [held.alias(f"_t{k}"), reduce(lambda a, b: F.coalesce(a + b, a, b), [F.sum(f"{c}_odd") for c in own]).alias(f"_t{k}_odd")]
     met = first.groupBy(*keys).agg(*out, *(getattr(F, how)(n).alias(n) for n, (_, how) in others.items()))
     return finished(met, keys, totals, others, parts)
 
 
 def finished(met: DataFrame, keys: list[str], totals, others, parts: bool) -> DataFrame:
-    final = [F.when(F.col(f"_{n}_odd").isNotNull(), F.col(f"_{n}_odd")).when(F.size(f"_{n}") > 0, assembled(F.col(f"_{n}"))).alias(n) for n in totals]
+    final = [F.when(F.col(f"_t{k}_odd").isNotNull(), F.col(f"_t{k}_odd")).when(F.size(f"_t{k}") > 0, assembled(f"_t{k}")).alias(n) for k, n in enumerate(totals)]
     # What is not finite goes along in place of its total.
-    own = [F.struct(F.col(f"_{n}").cast(PARTS).alias("parts"), F.col(f"_{n}_odd").alias("odd")).alias(f"{n}_parts") for n in totals] if parts else []
+    own = [F.struct(F.col(f"_t{k}").cast(PARTS).alias("parts"), F.col(f"_t{k}_odd").alias("odd")).alias(f"{n}_parts") for k, n in enumerate(totals)] if parts else []
     return met.select(*keys, *final, *own, *others)
 
 
@@ -115,7 +100,7 @@ def again(df: DataFrame, keys: list[str], total: str, others: dict[str, tuple[Co
     others, p = others or {}, F.col(f"{total}_parts")
     rows = df.select(*keys, F.posexplode_outer(p["parts"]).alias("_no", "_p"))
     first = rows.groupBy(*keys, F.col("_p.place").alias("_place")).agg(*(F.sum(f"_p.d{i}").alias(f"d{i}") for i in range(4)))
-    met = first.groupBy(*keys).agg(F.collect_list(F.when(F.col("_place").isNotNull(), F.struct(F.col("_place").alias("place"), *(f"d{i}" for i in range(4))))).alias(f"_{total}"))
-    plain = df.groupBy(*(F.col(k).alias(f"_k_{k}") for k in keys)).agg(F.sum(p["odd"]).alias(f"_{total}_odd"), *(a.alias(n) for n, (a, _) in others.items()))
+    met = first.groupBy(*keys).agg(F.collect_list(F.when(F.col("_place").isNotNull(), F.struct(F.col("_place").alias("place"), *(f"d{i}" for i in range(4))))).alias("_t0"))
+    plain = df.groupBy(*(F.col(k).alias(f"_k_{k}") for k in keys)).agg(F.sum(p["odd"]).alias("_t0_odd"), *(a.alias(n) for n, (a, _) in others.items()))
     joined = met.join(plain, reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys))) if keys else met.crossJoin(plain)
     return finished(joined, keys, [total], others, False)

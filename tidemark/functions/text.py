@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Callable
 from functools import cache, reduce
 
 from pyspark.sql import Column
@@ -41,22 +42,28 @@ def folding() -> tuple[str, str, list[tuple[str, str]]]:
 def normalised(text: Column) -> Column:
     """``normalise`` as a column, for letters and digits: by a table, and by taking marks off the folded scripts."""
     one, to, several = folding()
-    bare = F.translate(F.lower(text), one, to)
     # The few letters that become several are rare: they are looked for together first.
-    some = bare.rlike("[" + "".join(a for a, _ in several) + "]")
-    bare = F.when(some, reduce(lambda t, x: F.replace(t, F.lit(x[0]), F.lit(x[1])), several, bare)).otherwise(bare)
-    return F.when(bare.rlike(r"\p{M}"), F.regexp_replace(bare, r"(?<=[\p{IsLatin}\p{IsCyrillic}\p{IsGreek}])\p{M}+", "")).otherwise(bare)
+    some = "[" + "".join(a for a, _ in several) + "]"
+    single = let(F.translate(F.lower(text), one, to), lambda t: F.when(t.rlike(some), reduce(lambda a, x: F.replace(a, F.lit(x[0]), F.lit(x[1])), several, t)).otherwise(t))
+    return let(single, lambda t: F.when(t.rlike(r"\p{M}"), F.regexp_replace(t, r"(?<=[\p{IsLatin}\p{IsCyrillic}\p{IsGreek}])\p{M}+", "")).otherwise(t))
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is found once, however often it is used."""
+    return F.element_at(F.transform(F.array(value), body), 1)
 
 
 def words(text: Column) -> Column:
     """Normalised runs of letters, marks and digits; apostrophes inside words vanish; overlapping pairs of characters
     for scripts that put no spaces between words."""
-    plain = F.translate(text, "'’", "")
+
+    def cut(low: Column) -> Column:
+        pairs = lambda found: F.flatten(F.transform(found, lambda w: F.when(w.rlike(f"^[{UNSPACED}]"), bigrams(w)).otherwise(F.array(w))))
+        return F.when(low.rlike(f"[{UNSPACED}]"), pairs(F.regexp_extract_all(low, F.lit(WORD), F.lit(0)))).otherwise(F.regexp_extract_all(low, F.lit(r"[\p{L}\p{M}\p{N}]+"), F.lit(0)))
+
     # Most texts are ASCII: for them nothing is folded.
-    low = F.when(plain.rlike(r"[^\x00-\x7F]"), normalised(plain)).otherwise(F.lower(plain))
-    found = F.regexp_extract_all(low, F.lit(WORD), F.lit(0))
-    paired = F.flatten(F.transform(found, lambda w: F.when(w.rlike(f"^[{UNSPACED}]"), bigrams(w)).otherwise(F.array(w))))
-    return F.when(low.rlike(f"[{UNSPACED}]"), paired).otherwise(found)
+    plain = F.translate(text, "'’", "")
+    return let(let(plain, lambda t: F.when(t.rlike(r"[^\x00-\x7F]"), normalised(t)).otherwise(F.lower(t))), cut)
 
 
 def bigrams(run: Column) -> Column:

@@ -24,14 +24,30 @@ POSTINGS = "term string, doc {id}, tf long, len int"
 BROADCAST_IDS = 500_000
 
 
+def tokenised(docs: DataFrame, id_col: str, words: Column) -> DataFrame:
+    """(doc, len, pairs array<struct<term,tf>>): a document's words are sorted and counted where they are, no shuffle."""
+
+    def pairs(w: Column, b: Column) -> Column:
+        """``b``: places at which a run of equal words begins; its length is the distance to the next."""
+        ends = F.concat(F.slice(b, 2, F.greatest(F.size(b) - 1, F.lit(0))), F.array(F.size(w) + 1))
+        return F.zip_with(b, ends, lambda x, y: F.struct(F.get(w, x - 1).alias("term"), (y - x).cast("long").alias("tf")))
+
+    def of(w: Column) -> Column:
+        begins = F.filter(F.sequence(F.lit(1), F.size(w)), lambda i: (i == 1) | (F.get(w, i - 1) != F.get(w, i - 2)))
+        none = F.array().cast("array<struct<term:string,tf:bigint>>")
+        return F.struct(F.size(w).alias("len"), F.when(F.size(w) > 0, tx.let(begins, lambda b: pairs(w, b))).otherwise(none).alias("pairs"))
+
+    # Variables of lambdas: an array that a plan's projections share might be found again for each of its elements.
+    return docs.select(F.col(id_col).alias("doc"), tx.let(F.sort_array(words), of).alias("t")).select("doc", "t.len", "t.pairs")
+
+
+def exploded(tokens: DataFrame) -> DataFrame:
+    return tokens.select("doc", "len", F.explode("pairs").alias("p")).select("p.term", "doc", "p.tf", "len")
+
+
 def counted(docs: DataFrame, id_col: str, words: Column) -> DataFrame:
-    """(term, doc, tf, len): a document's words are sorted and counted where they are, without a shuffle."""
-    w = docs.select(F.col(id_col).alias("doc"), words.alias("w")).select("doc", F.size("w").alias("len"), F.array_sort("w").alias("w")).where("len > 0")
-    # Places at which a run of equal words begins; its length is the distance to the next.
-    begins = F.filter(F.sequence(F.lit(1), F.col("len")), lambda i: (i == 1) | (F.get("w", i - 1) != F.get("w", i - 2)))
-    runs = w.withColumn("b", begins).withColumn("e", F.concat(F.slice("b", 2, F.size("b") - 1), F.array(F.col("len") + 1)))
-    each = runs.select("doc", "len", "w", F.explode(F.arrays_zip("b", "e")).alias("r"))
-    return each.select(F.get("w", F.col("r.b") - 1).alias("term"), "doc", (F.col("r.e") - F.col("r.b")).cast("long").alias("tf"), "len")
+    """(term, doc, tf, len) of a table."""
+    return exploded(tokenised(docs, id_col, words))
 
 
 class Index:
@@ -51,7 +67,10 @@ class Index:
 
     def _write(self, docs: DataFrame, id_col: str, text_col: str, gone: DataFrame | None, files: int | None) -> Index:
         at = f"{self.path}/{len(self.segments):06d}-{uuid.uuid4().hex[:8]}"
-        post = counted(docs, id_col, tx.words(F.col(text_col)))
+        # Written first: texts are cut into words once, not again for the sample that deals the postings.
+        tokenised(docs, id_col, tx.words(F.col(text_col))).write.option("compression", "zstd").parquet(f"{at}/tokens")
+        tokens = self.spark.read.parquet(f"{at}/tokens")
+        post = exploded(tokens)
         n = files or int(self.spark.conf.get("spark.sql.shuffle.partitions"))
         post.repartitionByRange(n, "term", "doc").sortWithinPartitions("term", "doc").write.option("compression", "zstd").parquet(f"{at}/postings")
         kept = self.spark.read.parquet(f"{at}/postings")
@@ -61,7 +80,9 @@ class Index:
         if self.segments:
             changed.distinct().write.parquet(f"{at}/changed")
         # Last: a segment without its documents is not there.
-        docs.select(F.col(id_col).alias("doc"), F.size(tx.words(F.col(text_col))).alias("len")).write.parquet(f"{at}/documents")
+        tokens.select("doc", "len").write.parquet(f"{at}/documents")
+        fs, p = self._fs(f"{at}/tokens")
+        fs.delete(p, True)
         return Index(self.spark, self.path)
 
     def build(self, docs: DataFrame, id_col: str, text_col: str, files: int | None = None) -> Index:
